@@ -75,3 +75,16 @@ def rows(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
             yield from zip(*(part.column(part.schema.get_field_index(c)).to_pylist() for c in columns), strict=True)
+
+
+def groups(found: Iterator[tuple], chars: int = 1 << 20) -> Iterator[list[tuple]]:
+    """Rows whose last value is a text, gathered up to a number of characters."""
+    some, size = [], 0
+    for row in found:
+        some.append(row)
+        size += len(row[-1] or "") + 64
+        if size > chars:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradewind.llm.byte_bpe import ByteBpeFile, rows, splitters, tokenizer_path
+from tradewind.llm.byte_bpe import ByteBpeFile, groups, rows, splitters, tokenizer_path
 
 #: Bits of a sequence's id that number the sequences of one task.
 RUNNING_BITS = 36
@@ -46,18 +46,25 @@ class PieceIds(dict):
         self.library, self.bound = Tokenizer.from_file(path), bound
         self.pieces, self.special = splitters(ByteBpeFile(path).special)
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.library.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self) >= self.bound:
+    def learn(self, pieces: set[str]) -> None:
+        """Adds the ids of new pieces, all by one call of the library."""
+        words = [*pieces]
+        got = self.library.encode(words, is_pretokenized=True, add_special_tokens=False)
+        ends = np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(words) + 1)).tolist()
+        ids = np.array(got.ids, "<u4").tobytes()
+        if len(self) + len(words) > self.bound:
             self.clear()
-        if len(piece) <= 64:
-            self[piece] = ids
-        return ids
+        self.update((w, ids[4 * a : 4 * b]) for w, a, b in zip(words, ends, ends[1:]))
 
-    def ids(self, text: str) -> bytes:
-        """All ids of a text; special strings are one id each."""
-        parts = self.special.split(text) if self.special else [text]
-        return b"".join([b"".join(map(self.__getitem__, self.pieces.findall(p))) if i % 2 == 0 else self[p] for i, p in enumerate(parts)])
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """All ids of each text; special strings are one id each, as the library does by default."""
+        cut = [self.special.split(t) if self.special and self.special.search(t) else [t] for t in texts]
+        found = [[p for i, s in enumerate(parts) for p in (self.pieces.findall(s) if i % 2 == 0 else [s])] if len(parts) > 1 else self.pieces.findall(parts[0]) for parts in cut]
+        if new := set().union(*found) - self.keys():
+            self.learn(new)
+            if lost := set().union(*found) - self.keys():  # the bound was met
+                self.learn(lost)
+        return [b"".join(map(self.__getitem__, pieces)) for pieces in found]
 
 
 _LIBRARIES: dict[str, PieceIds] = {}
@@ -195,9 +202,9 @@ def pack(
         out: list[tuple] = []
         for batch in batches:
             id_type = batch.schema.field("doc_id").type
-            for i, t in rows(iter((batch,)), "doc_id", "text"):
-                ids = known.ids(t or "") + end
-                out += packer.add((i, len(ids) // 4), ids)
+            for some in groups(rows(iter((batch,)), "doc_id", "text")):
+                for (i, _), got in zip(some, known.ids([t or "" for _, t in some]), strict=True):
+                    out += packer.add((i, len(got) // 4 + 1), got + end)
                 if len(out) > 2000:
                     yield table(out)
                     out = []

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tradewind.llm import oracles
 
@@ -11,6 +12,18 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tradewind.llm.token_counts import count_tokens
+
+    return count_tokens(_documents(spark, sf_dir), "byte_bpe_50k.json").withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tradewind.llm.packing import pack
+
+    return pack(_documents(spark, sf_dir), window=2048, end_id=1, tokenizer="byte_bpe_50k.json", with_ids=False)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tradewind.llm.quality_rules import quality
 
@@ -19,5 +32,5 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op8_quality_rules,)}
+QUERIES = {f.__name__: f for f in (op4_token_counts, op5_packing, op8_quality_rules)}
 ORACLES = {"op8_quality_rules": oracles.QUALITY_RULES}
