@@ -60,9 +60,10 @@ class PieceIds(dict):
         """All ids of each text; special strings are one id each, as the library does by default."""
         cut = [self.special.split(t) if self.special and self.special.search(t) else [t] for t in texts]
         found = [[p for i, s in enumerate(parts) for p in (self.pieces.findall(s) if i % 2 == 0 else [s])] if len(parts) > 1 else self.pieces.findall(parts[0]) for parts in cut]
-        if new := set().union(*found) - self.keys():
+        seen = set().union(*found)
+        if new := {p for p in seen if p not in self}:
             self.learn(new)
-            if lost := set().union(*found) - self.keys():  # the bound was met
+            if lost := {p for p in seen if p not in self}:  # the bound was met
                 self.learn(lost)
         return [b"".join(map(self.__getitem__, pieces)) for pieces in found]
 
