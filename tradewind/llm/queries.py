@@ -12,6 +12,12 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tradewind.llm.license_scan import license_digest, scan_licenses
+
+    return license_digest(scan_licenses(_documents(spark, sf_dir)))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tradewind.llm.token_counts import count_tokens
 
@@ -32,5 +38,5 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op4_token_counts, op5_packing, op8_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_license_scan, op4_token_counts, op5_packing, op8_quality_rules)}
 ORACLES = {"op8_quality_rules": oracles.QUALITY_RULES}
