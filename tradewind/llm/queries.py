@@ -30,6 +30,12 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir), window=2048, end_id=1, tokenizer="byte_bpe_50k.json", with_ids=False)
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tradewind.llm.simhash import near_duplicates
+
+    return near_duplicates(_documents(spark, sf_dir), shingle=4, radius=4)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tradewind.llm.quality_rules import quality
 
@@ -38,5 +44,5 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_license_scan, op4_token_counts, op5_packing, op8_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_license_scan, op4_token_counts, op5_packing, op6_simhash, op8_quality_rules)}
 ORACLES = {"op8_quality_rules": oracles.QUALITY_RULES}
