@@ -8,6 +8,7 @@ links is a skewed join, which Spark splits, and never one task's group.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,3 +55,32 @@ def _small_star(pairs: DataFrame) -> DataFrame:
     least = pairs.groupBy("u").agg(F.min("v").alias("m"))
     moved = pairs.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+
+
+class Forest:
+    """A spanning forest of the pairs that are added."""
+
+    def __init__(self, n: int) -> None:
+        self.label = np.arange(n)
+        self.edges: list[tuple[int, int]] = []
+
+    def _root(self, i: int) -> int:
+        label = self.label
+        while label[i] != i:
+            label[i] = label[label[i]]
+            i = label[i]
+        return i
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Adds pairs; those that join two trees become edges."""
+        while True:  # labels are roots after this
+            up = self.label[self.label]
+            if (up == self.label).all():
+                break
+            self.label[:] = up
+        apart = self.label[a] != self.label[b]
+        for x, y in zip(a[apart].tolist(), b[apart].tolist()):
+            rx, ry = self._root(x), self._root(y)
+            if rx != ry:
+                self.label[max(rx, ry)] = min(rx, ry)
+                self.edges.append((x, y))

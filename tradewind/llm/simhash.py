@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradewind.llm.components import connected_components
+from tradewind.llm.components import Forest, connected_components
 from tradewind.llm.storage import partitions, stored
 
 BITS = 64
@@ -136,15 +136,7 @@ def bucket_links(fps: np.ndarray, bucket: np.ndarray, radius: int) -> tuple[np.n
     left = np.repeat(ends, ends - begins) - np.arange(n)  # rows of the bucket from here on
     keep = np.flatnonzero(np.repeat(ends - begins, ends - begins) > 1)
     fps, left = fps[keep], left[keep]
-    label = np.arange(len(fps))
-    found: list[tuple[int, int]] = []
-
-    def root(i: int) -> int:
-        while label[i] != i:
-            label[i] = label[label[i]]
-            i = label[i]
-        return i
-
+    forest = Forest(len(fps))
     store, s = planes(fps), 1
     ids = np.arange(len(fps))
     while len(ids):
@@ -161,20 +153,9 @@ def bucket_links(fps: np.ndarray, bucket: np.ndarray, radius: int) -> tuple[np.n
         near = _within(store, _shifted(store, s), np.packbits(lanes, bitorder="little").view(np.uint64), radius)
         if near.any():
             hit = np.flatnonzero(np.unpackbits(near.view(np.uint8), bitorder="little")[: len(ids)])
-            a, b = ids[hit], ids[hit + s]
-            while True:  # labels are roots after this
-                up = label[label]
-                if (up == label).all():
-                    break
-                label[:] = up
-            apart = label[a] != label[b]
-            for x, y in zip(a[apart].tolist(), b[apart].tolist()):
-                rx, ry = root(x), root(y)
-                if rx != ry:
-                    label[max(rx, ry)] = min(rx, ry)
-                    found.append((x, y))
+            forest.add(ids[hit], ids[hit + s])
         s += 1
-    pairs = keep[np.array(found, np.int64).reshape(-1, 2)]
+    pairs = keep[np.array(forest.edges, np.int64).reshape(-1, 2)]
     return pairs[:, 0], pairs[:, 1]
 
 
