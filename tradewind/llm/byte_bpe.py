@@ -8,13 +8,15 @@ kind of character, whatever stands around it: such places cut a text safely.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
 
-#: The tokenizer's pattern for pieces and its contractions (fixed values of the public file format).
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The tokenizer's pattern for pieces (a fixed value of the public file format), words first; and what it is on ASCII.
+PIECES = regex.compile(r" ?\p{L}+|'(?:[stmd]|re|ve|ll)| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+ASCII_PIECES = re.compile(r" ?[A-Za-z]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
 SAFE_CUT = r"(?<=\S)(?=\s)"
 
 
@@ -63,10 +65,15 @@ class ByteBpeFile:
         return parts
 
 
-def splitters(special: dict[str, int]) -> tuple[regex.Pattern, regex.Pattern | None]:
-    """The pattern for pieces and, if there are special strings, one that splits them off."""
+def pieces(text: str) -> list[str]:
+    """A text without special strings, cut by the tokenizer's pattern."""
+    return (ASCII_PIECES if text.isascii() else PIECES).findall(text)
+
+
+def special_pattern(special: dict[str, int]) -> regex.Pattern | None:
+    """A pattern that splits special strings off, if there are any."""
     strings = sorted(special, key=len, reverse=True)
-    return regex.compile(PIECES), regex.compile("(" + "|".join(map(regex.escape, strings)) + ")") if strings else None
+    return regex.compile("(" + "|".join(map(regex.escape, strings)) + ")") if strings else None
 
 
 def rows(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:

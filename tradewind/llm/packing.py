@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradewind.llm.byte_bpe import ByteBpeFile, groups, rows, splitters, tokenizer_path
+from tradewind.llm.byte_bpe import ByteBpeFile, byte_letters, groups, pieces, rows, special_pattern, tokenizer_path
 
 #: Bits of a sequence's id that number the sequences of one task.
 RUNNING_BITS = 36
@@ -39,33 +39,47 @@ RUNNING_BITS = 36
 class PieceIds(dict):
     """Little-endian ids by piece of text, from the tokenizers library, kept within a bound."""
 
-    def __init__(self, path: str, bound: int = 600_000) -> None:
+    def __init__(self, path: str, bound: int = 1_000_000) -> None:
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.library, self.bound = Tokenizer.from_file(path), bound
-        self.pieces, self.special = splitters(ByteBpeFile(path).special)
-
-    def learn(self, pieces: set[str]) -> None:
+        whole = Tokenizer.from_file(path)
+        # the file's model alone: the pieces are cut already, and are given in the vocabulary's letters
+        self.library, self.bound = Tokenizer(whole.model), bound
+        self.letters = {chr(b): c for c, b in byte_letters().items()}
+        self.table = str.maketrans(self.letters)
+        special = ByteBpeFile(path).special
+        self.special = special_pattern(special)
+        self.fixed = {s: np.array([i], "<u4").tobytes() for s, i in special.items()}
+
+    def learn(self, new: list[str]) -> None:
         """Adds the ids of new pieces, all by one call of the library."""
-        words = [*pieces]
+        if len(self) + len(new) > self.bound:
+            self.clear()
+        plain = [p for p in new if "\0" not in p]
+        words = "\0".join(plain).encode().decode("latin-1").translate(self.table).split(self.letters["\0"]) if plain else []
+        odd = [p for p in new if "\0" in p]
+        words += [p.encode().decode("latin-1").translate(self.table) for p in odd]
         got = self.library.encode(words, is_pretokenized=True, add_special_tokens=False)
         ends = np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(words) + 1)).tolist()
         ids = np.array(got.ids, "<u4").tobytes()
-        if len(self) + len(words) > self.bound:
-            self.clear()
-        self.update((w, ids[4 * a : 4 * b]) for w, a, b in zip(words, ends, ends[1:]))
+        self.update((w, ids[4 * a : 4 * b]) for w, a, b in zip((*plain, *odd), ends, ends[1:]))
+
+    def _pieces(self, text: str) -> list[str]:
+        if self.special and self.special.search(text):
+            return [p for i, s in enumerate(self.special.split(text)) for p in (pieces(s) if i % 2 == 0 else [s])]
+        return pieces(text)
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """All ids of each text; special strings are one id each, as the library does by default."""
-        cut = [self.special.split(t) if self.special and self.special.search(t) else [t] for t in texts]
-        found = [[p for i, s in enumerate(parts) for p in (self.pieces.findall(s) if i % 2 == 0 else [s])] if len(parts) > 1 else self.pieces.findall(parts[0]) for parts in cut]
+        found = [self._pieces(t) for t in texts]
         seen = set().union(*found)
-        if new := {p for p in seen if p not in self}:
+        if new := [p for p in seen if p not in self and p not in self.fixed]:
             self.learn(new)
-            if lost := {p for p in seen if p not in self}:  # the bound was met
+            if lost := [p for p in seen if p not in self and p not in self.fixed]:  # the bound was met
                 self.learn(lost)
-        return [b"".join(map(self.__getitem__, pieces)) for pieces in found]
+        self.update(self.fixed)
+        return [b"".join(map(self.__getitem__, cut)) for cut in found]
 
 
 _LIBRARIES: dict[str, PieceIds] = {}

@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradewind.llm.byte_bpe import SAFE_CUT, ByteBpeFile, rows, splitters, tokenizer_path
+from tradewind.llm.byte_bpe import SAFE_CUT, ByteBpeFile, pieces, rows, special_pattern, tokenizer_path
 
 
 class CountTransducer:
@@ -114,9 +114,8 @@ class TokenCounter:
 
     def __init__(self, path: str) -> None:
         spec = ByteBpeFile(path)
-        self.pieces, self.special = splitters(spec.special)
+        self.special = special_pattern(spec.special)
         self.strings = set(spec.special)
-        self.longest = max(map(len, self.strings), default=0)
         self.known = _Counts(CountTransducer(spec))
         self.first, self.last = regex.compile(SAFE_CUT), regex.compile("(?r)" + SAFE_CUT)
 
@@ -127,7 +126,7 @@ class TokenCounter:
         return self._plain(text)
 
     def _plain(self, text: str) -> int:
-        return sum(map(self.known.__getitem__, self.pieces.findall(text)))
+        return sum(map(self.known.__getitem__, pieces(text)))
 
     def state_map(self, chunk: str) -> tuple[str, int, str | None]:
         """(head, tokens between, tail); tail is None, and head the chunk, where no place cuts it safely.
