@@ -52,8 +52,8 @@ class PieceIds(dict):
         self.special = special_pattern(special)
         self.fixed = {s: np.array([i], "<u4").tobytes() for s, i in special.items()}
 
-    def learn(self, new: list[str]) -> None:
-        """Adds the ids of new pieces, all by one call of the library."""
+    def learn(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of new pieces, all by one call of the library; they are kept as well."""
         if len(self) + len(new) > self.bound:
             self.clear()
         plain = [p for p in new if "\0" not in p]
@@ -63,7 +63,9 @@ class PieceIds(dict):
         got = self.library.encode(words, is_pretokenized=True, add_special_tokens=False)
         ends = np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(words) + 1)).tolist()
         ids = np.array(got.ids, "<u4").tobytes()
-        self.update((w, ids[4 * a : 4 * b]) for w, a, b in zip((*plain, *odd), ends, ends[1:]))
+        known = {w: ids[4 * a : 4 * b] for w, a, b in zip((*plain, *odd), ends, ends[1:])}
+        self.update(known)
+        return known
 
     def _pieces(self, text: str) -> list[str]:
         if self.special and self.special.search(text):
@@ -72,14 +74,28 @@ class PieceIds(dict):
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """All ids of each text; special strings are one id each, as the library does by default."""
-        found = [self._pieces(t) for t in texts]
-        seen = set().union(*found)
-        if new := [p for p in seen if p not in self and p not in self.fixed]:
-            self.learn(new)
-            if lost := [p for p in seen if p not in self and p not in self.fixed]:  # the bound was met
-                self.learn(lost)
         self.update(self.fixed)
-        return [b"".join(map(self.__getitem__, cut)) for cut in found]
+        found = [self._pieces(t) for t in texts]
+        parts = [[*map(self.get, cut)] for cut in found]
+        holes = [_holes(own) for own in parts]
+        new = {cut[j] for cut, at in zip(found, holes) for j in at}
+        if new:
+            known = self.learn([*new])
+            for cut, own, at in zip(found, parts, holes):
+                for j in at:
+                    own[j] = known[cut[j]]
+        return [b"".join(own) for own in parts]
+
+
+def _holes(values: list) -> list[int]:
+    """The places of None."""
+    out, at = [], -1
+    try:
+        while True:
+            at = values.index(None, at + 1)
+            out.append(at)
+    except ValueError:
+        return out
 
 
 _LIBRARIES: dict[str, PieceIds] = {}
