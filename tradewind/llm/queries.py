@@ -12,6 +12,12 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tradewind.llm.lm_scoring import score
+
+    return score(_documents(spark, sf_dir), order=2, folds=7, held_out_fold=2)
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tradewind.llm.license_scan import license_digest, scan_licenses
 
@@ -50,5 +56,5 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), cosine=0.95)
 
 
-QUERIES = {f.__name__: f for f in (op2_license_scan, op4_token_counts, op5_packing, op6_simhash, op8_quality_rules, op10_embedding_dedup)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_license_scan, op4_token_counts, op5_packing, op6_simhash, op8_quality_rules, op10_embedding_dedup)}
 ORACLES = {"op8_quality_rules": oracles.QUALITY_RULES}
