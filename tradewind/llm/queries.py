@@ -50,11 +50,17 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tradewind.llm.debruijn_dedup import repeated_passages
+
+    return repeated_passages(_documents(spark, sf_dir), window=35, with_text=False).drop("spans")
+
+
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tradewind.llm.embedding_dedup import near_vectors
 
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), cosine=0.95)
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_license_scan, op4_token_counts, op5_packing, op6_simhash, op8_quality_rules, op10_embedding_dedup)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_license_scan, op4_token_counts, op5_packing, op6_simhash, op8_quality_rules, op9_debruijn_dedup, op10_embedding_dedup)}
 ORACLES = {"op8_quality_rules": oracles.QUALITY_RULES}
