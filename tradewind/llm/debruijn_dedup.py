@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tradewind.llm.exchange import bucket_count, chunked, texts
+from tradewind.llm.exchange import chunked, sizes, texts
 from tradewind.llm.hashing import words_of
 from tradewind.llm.repeats import Plan, Sequences, find, runs
 
@@ -36,7 +36,8 @@ def _sequences(table: pa.Table) -> Sequences:
 def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 35, k: int = 12, with_text: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, spans (begin, end in words), kept_sha256 and, with_text, clean_text."""
     kind = docs.schema[doc_id].dataType.simpleString()
-    plan = Plan(_sequences, window, k, earlier=False, width=4, buckets=bucket_count(docs, text))
+    buckets, rows_log2 = sizes(docs, text)
+    plan = Plan(_sequences, window, k, earlier=False, width=4, buckets=buckets)
     span = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
 
     def finish(table: pa.Table, s: Sequences, marked: np.ndarray) -> pa.Table:
@@ -59,4 +60,4 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         return pa.table(columns | ({"clean_text": pa.array(clean, pa.string())} if with_text else {}))
 
     schema = f"doc_id {kind}, n_words bigint, n_removed bigint, spans array<struct<begin:bigint,end:bigint>>, kept_sha256 string"
-    return find(plan, chunked(docs, doc_id, text), finish, schema + ", clean_text string" * with_text)
+    return find(plan, chunked(docs, doc_id, text, rows_log2), finish, schema + ", clean_text string" * with_text)

@@ -14,6 +14,7 @@ grows with the texts.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +23,10 @@ from pyspark.sql import functions as F
 
 from tradewind.llm.storage import partitions
 
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES, CHUNK_BYTES = 16 << 20, 2 << 20
 
 
-def chunked(docs: DataFrame, doc_id: str, text: str, rows_log2: int = 9, *more: object) -> DataFrame:
+def chunked(docs: DataFrame, doc_id: str, text: str, rows_log2: int, *more: object) -> DataFrame:
     """(rid, chunk, doc_id, text as bytes, *more); the same rows get the same chunk in every run over the same files."""
     rid = F.monotonically_increasing_id()
     return docs.select(rid.alias("rid"), F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"), *more).withColumn(
@@ -33,10 +34,18 @@ def chunked(docs: DataFrame, doc_id: str, text: str, rows_log2: int = 9, *more:
     )
 
 
-def bucket_count(docs: DataFrame, text: str) -> int:
-    """Buckets for the table: no fewer than shuffle partitions, and one for every few megabytes of text."""
-    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    return max(partitions(docs.sparkSession), -(-size // BUCKET_BYTES))
+class Sizes(NamedTuple):
+    """How a table is dealt: buckets, no fewer than shuffle partitions, and 2 ** rows_log2 rows a chunk."""
+
+    buckets: int
+    rows_log2: int
+
+
+def sizes(docs: DataFrame, text: str) -> Sizes:
+    """A bucket for every few megabytes of text, and chunks of about two megabytes."""
+    size, rows = docs.agg(F.sum(F.octet_length(text)), F.count("*")).first()
+    mean = (size or 0) / max(rows, 1) + 64
+    return Sizes(max(partitions(docs.sparkSession), -(-(size or 0) // BUCKET_BYTES)), max(0, min(12, int(CHUNK_BYTES / mean).bit_length() - 1)))
 
 
 def by_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradewind.llm.exchange import answer, answers_of, ask, bucket_count, chunked, cuts, pack, texts, unpack
+from tradewind.llm.exchange import answer, answers_of, ask, chunked, cuts, pack, sizes, texts, unpack
 from tradewind.llm.hashing import mix, words_of
 from tradewind.llm.storage import stored
 
@@ -172,8 +172,8 @@ def score(
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row."""
     fold = F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(folds)), F.lit(-1))
-    chunks = chunked(docs, doc_id, text, 9, (fold == held_out_fold).alias("held_out"))
-    buckets = bucket_count(docs, text)
+    buckets, rows_log2 = sizes(docs, text)
+    chunks = chunked(docs, doc_id, text, rows_log2, (fold == held_out_fold).alias("held_out"))
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def questions(table: pa.Table) -> list[tuple]:

@@ -42,6 +42,12 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir), shingle=4, radius=4)
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tradewind.llm.suffix_dedup import repeated_strings
+
+    return repeated_strings(_documents(spark, sf_dir), length=50, with_text=False).drop("spans")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tradewind.llm.quality_rules import quality
 
@@ -62,5 +68,5 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), cosine=0.95)
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_license_scan, op4_token_counts, op5_packing, op6_simhash, op8_quality_rules, op9_debruijn_dedup, op10_embedding_dedup)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_license_scan, op4_token_counts, op5_packing, op6_simhash, op7_suffix_dedup, op8_quality_rules, op9_debruijn_dedup, op10_embedding_dedup)}
 ORACLES = {"op8_quality_rules": oracles.QUALITY_RULES}
