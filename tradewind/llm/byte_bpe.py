@@ -95,3 +95,14 @@ def groups(found: Iterator[tuple], chars: int = 1 << 20) -> Iterator[list[tuple]
             some, size = [], 0
     if some:
         yield some
+
+
+def holes(values: list) -> list[int]:
+    """The places of None."""
+    out, at = [], -1
+    try:
+        while True:
+            at = values.index(None, at + 1)
+            out.append(at)
+    except ValueError:
+        return out

@@ -71,14 +71,18 @@ class Forest:
             i = label[i]
         return i
 
-    def add(self, a: np.ndarray, b: np.ndarray) -> None:
-        """Adds pairs; those that join two trees become edges."""
-        while True:  # labels are roots after this
+    def roots(self) -> np.ndarray:
+        """Every node's root."""
+        while True:
             up = self.label[self.label]
             if (up == self.label).all():
-                break
+                return self.label
             self.label[:] = up
-        apart = self.label[a] != self.label[b]
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Adds pairs; those that join two trees become edges."""
+        label = self.roots()
+        apart = label[a] != label[b]
         for x, y in zip(a[apart].tolist(), b[apart].tolist()):
             rx, ry = self._root(x), self._root(y)
             if rx != ry:

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradewind.llm.byte_bpe import ByteBpeFile, byte_letters, groups, pieces, rows, special_pattern, tokenizer_path
+from tradewind.llm.byte_bpe import ByteBpeFile, byte_letters, groups, holes, pieces, rows, special_pattern, tokenizer_path
 
 #: Bits of a sequence's id that number the sequences of one task.
 RUNNING_BITS = 36
@@ -77,27 +77,16 @@ class PieceIds(dict):
         self.update(self.fixed)
         found = [self._pieces(t) for t in texts]
         parts = [[*map(self.get, cut)] for cut in found]
-        holes = [_holes(own) for own in parts]
-        new = {cut[j] for cut, at in zip(found, holes) for j in at}
+        gaps = [holes(own) for own in parts]
+        new = {cut[j] for cut, at in zip(found, gaps) for j in at}
         if new:
             known = self.learn([*new])
-            for cut, own, at in zip(found, parts, holes):
+            for cut, own, at in zip(found, parts, gaps):
                 for j in at:
                     own[j] = known[cut[j]]
         return [b"".join(own) for own in parts]
 
 
-def _holes(values: list) -> list[int]:
-    """The places of None."""
-    out, at = [], -1
-    try:
-        while True:
-            at = values.index(None, at + 1)
-            out.append(at)
-    except ValueError:
-        return out
-
-
 _LIBRARIES: dict[str, PieceIds] = {}
 
 

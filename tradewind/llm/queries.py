@@ -24,6 +24,14 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_digest(scan_licenses(_documents(spark, sf_dir)))
 
 
+def op3_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tradewind.llm.sentence_pieces import decode, encode
+
+    encoded = encode(_documents(spark, sf_dir), "piece_bpe_32k.model", keep=("doc_id", "text"))
+    decoded = decode(encoded.select("doc_id", "n_tokens", "ids_crc32", "same_ids", F.coalesce("text", F.lit("")).alias("given"), "ids"), to="decoded")
+    return decoded.select("doc_id", "n_tokens", "ids_crc32", "same_ids", (F.col("decoded") == F.col("given")).alias("round_trip"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tradewind.llm.token_counts import count_tokens
 
@@ -68,5 +76,5 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), cosine=0.95)
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_license_scan, op4_token_counts, op5_packing, op6_simhash, op7_suffix_dedup, op8_quality_rules, op9_debruijn_dedup, op10_embedding_dedup)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_license_scan, op3_sentence_pieces, op4_token_counts, op5_packing, op6_simhash, op7_suffix_dedup, op8_quality_rules, op9_debruijn_dedup, op10_embedding_dedup)}
 ORACLES = {"op8_quality_rules": oracles.QUALITY_RULES}

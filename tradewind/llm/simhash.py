@@ -13,8 +13,16 @@ bit vectors; 64 rows advance per machine word.  Words of lanes in which all
 distances exceed the radius, or whose buckets ended, are abandoned.
 
 Buckets above ``tile`` rows are dealt as pairs of tiles, so none is one task's.
-Links within a task's bucket are reduced to a spanning forest; pairs aren't
-emitted.  The links' components give every document the smallest id reachable.
+Links within a task's bucket are reduced to a spanning forest, and a bucket that
+has become one tree is compared no further; pairs aren't emitted.  The links'
+components give every document the smallest id reachable.
+
+``similar_documents`` finds texts of a given similarity on word shingles by the
+same comparison, for which 64 bits are too coarse: its fingerprints have 256
+bits, and the radius is the distance expected at that similarity with a margin.
+So wide a radius leaves no block that must agree; instead every fingerprint is
+dealt under enough sampled sets of bits that a pair at the expected distance
+shares a bucket with the probability ``recall``.
 
 Defined results: a null or empty text has fingerprint 0 and is linked like any
 other; rows may repeat; rows with a null id get the component of their
@@ -23,6 +31,7 @@ fingerprint's other rows, or null; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 from itertools import combinations
@@ -34,6 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tradewind.llm.components import Forest, connected_components
+from tradewind.llm.hashing import RunHashes, mix, words_of
 from tradewind.llm.storage import partitions, stored
 
 BITS = 64
@@ -65,6 +75,37 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(made, f"doc_id {kind}, fp bigint")
 
 
+def wide_fingerprints(docs: DataFrame, bits: int, doc_id: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
+    """(doc_id, f0, f1, ...) with fingerprints of any multiple of 64 bits; texts in lower case (A-Z)."""
+    kind = docs.schema[doc_id].dataType.simpleString()
+    n_words = bits // BITS
+    seeds = np.random.default_rng(77).integers(1, 1 << 63, n_words, dtype=np.uint64)
+
+    def of(own: np.ndarray) -> list[int]:
+        ones = np.zeros(bits, np.int64)
+        if not len(own):
+            return [0] * n_words
+        hashes = RunHashes(own).of(np.zeros(1, np.int64), np.array([len(own)])) if len(own) < shingle else RunHashes(own).fixed(shingle)
+        for at in range(0, len(hashes), 1024):
+            wide = mix(hashes[at : at + 1024, None] ^ seeds)
+            ones += np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        return np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64).tolist()
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values, counts = words_of([v or b"" for v in batch.column(1).to_pylist()], lower=True)
+            ends = np.cumsum(counts)
+            fps = [of(values[a:b]) for a, b in zip((ends - counts).tolist(), ends.tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([f[k] for f in fps], pa.int64()) for k in range(n_words))], ["doc_id", *_names(n_words)])
+
+    schema = f"doc_id {kind}, " + ", ".join(f"{c} bigint" for c in _names(n_words))
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(made, schema)
+
+
+def _names(n_words: int) -> list[str]:
+    return [f"f{k}" for k in range(n_words)]
+
+
 def block_masks(radius: int, blocks: int) -> list[int]:
     """Masks of the bits on which two fingerprints must agree, one for each choice of blocks."""
     edges = [BITS * k // blocks for k in range(blocks + 1)]
@@ -74,8 +115,8 @@ def block_masks(radius: int, blocks: int) -> list[int]:
 
 def planes(fps: np.ndarray) -> np.ndarray:
     """Bit planes, one row of lanes per bit, packed to 64-bit words with a word to spare."""
-    bits = np.unpackbits(fps.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").T
-    wide = np.zeros((BITS, (len(fps) + 63) // 64 * 64 + 64), np.uint8)
+    bits = np.unpackbits(fps.view(np.uint8).reshape(len(fps), -1), axis=1, bitorder="little").T
+    wide = np.zeros((len(bits), (len(fps) + 63) // 64 * 64 + 64), np.uint8)
     wide[:, : len(fps)] = bits
     return np.packbits(wide, axis=1, bitorder="little").view(np.uint64)
 
@@ -137,14 +178,20 @@ def bucket_links(fps: np.ndarray, bucket: np.ndarray, radius: int) -> tuple[np.n
     keep = np.flatnonzero(np.repeat(ends - begins, ends - begins) > 1)
     fps, left = fps[keep], left[keep]
     forest = Forest(len(fps))
-    store, s = planes(fps), 1
     ids = np.arange(len(fps))
+    store, s = planes(fps) if len(fps) else None, 1
     while len(ids):
         alive = left > s
         if not alive.any():
             break
         if s & (s - 1) == 0 and s > 1:  # now and then, only the rows of buckets that go on stay
-            on = np.flatnonzero(np.repeat(_run_sizes(left), _run_sizes(left)) > s)
+            runs = _run_sizes(left)
+            begins = np.cumsum(runs) - runs
+            root = forest.roots()[ids]
+            open_ = np.minimum.reduceat(root, begins) != np.maximum.reduceat(root, begins)
+            on = np.flatnonzero(np.repeat((runs > s) & open_, runs))
+            if not len(on):
+                break
             if len(on) < len(ids):
                 fps, left, ids = fps[on], left[on], ids[on]
                 store, alive = planes(fps), left > s
@@ -165,29 +212,30 @@ def _run_sizes(left: np.ndarray) -> np.ndarray:
     return left[starts]
 
 
-def near_links(distinct: DataFrame, radius: int, blocks: int, tile: int) -> DataFrame:
-    """Links (a, b) that connect all fingerprints of distinct(fp) within the radius of each other."""
-    masks = block_masks(radius, blocks)
-    keys = F.array(*(F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("value")) for i, m in enumerate(masks)))
-    dealt = distinct.select("fp", F.explode(keys).alias("k")).select("fp", "k.choice", "k.value")
+def near_links(distinct: DataFrame, words: list[str], masks: list[list[int]], radius: int, tile: int, tasks: int) -> DataFrame:
+    """Links (a, b) that connect all nodes of distinct(node, *words) within the radius whose words agree under some mask."""
+    value = lambda own: F.xxhash64(*(F.col(w).bitwiseAND(F.lit(_signed(m))) for w, m in zip(words, own, strict=True)))
+    keys = F.array(*(F.struct(F.lit(i).alias("choice"), value(m).alias("value")) for i, m in enumerate(masks)))
+    dealt = distinct.select("node", *words, F.explode(keys).alias("k")).select("node", *words, "k.choice", "k.value")
     # how many tiles a large bucket is cut into; Spark broadcasts this only if it is small
     large = dealt.groupBy("choice", "value").agg(F.count("*").alias("n")).where(F.col("n") > tile)
     large = large.select("choice", "value", F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
-    own = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("tiles")).cast("int")
+    own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("tiles")).cast("int")
     other = F.sequence(F.lit(0), F.col("tiles") - 1)
     pair = F.explode(F.when(F.col("tiles").isNull(), F.array(F.lit(0))).otherwise(F.transform(other, lambda o: F.least(o, own) * F.col("tiles") + F.greatest(o, own))))
     tiled = dealt.join(large, ["choice", "value"], "left").withColumn("pair", pair)
-    rows = tiled.select("fp", F.xxhash64("choice", "value", "pair").alias("bucket")).repartition(partitions(distinct.sparkSession), "bucket")
+    rows = tiled.select("node", *(w for w in words if w != "node"), F.xxhash64("choice", "value", "pair").alias("bucket")).repartition(tasks, "bucket")
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches)) if (batches := [*batches]) else None
         if table is None:
             return
-        bucket, fp = table["bucket"].to_numpy(), table["fp"].to_numpy()
-        order = np.lexsort((fp, bucket))
-        bucket, fp = bucket[order], fp[order]
-        a, b = bucket_links(np.ascontiguousarray(fp).view(np.uint64), bucket, radius)
-        yield pa.RecordBatch.from_arrays([pa.array(fp[a]), pa.array(fp[b])], ["a", "b"])
+        bucket, node = table["bucket"].to_numpy(), table["node"].to_numpy()
+        order = np.lexsort((node, bucket))
+        fps = np.stack([table[w].to_numpy()[order] for w in words], axis=1)
+        a, b = bucket_links(np.ascontiguousarray(fps).view(np.uint64), bucket[order], radius)
+        node = node[order]
+        yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
 
     return rows.mapInArrow(linked, "a bigint, b bigint").distinct()
 
@@ -196,6 +244,17 @@ def _signed(n: int) -> int:
     return n - (1 << 64) if n >> 63 else n
 
 
+def _grouped(prints: DataFrame, words: list[str], masks: list[list[int]], radius: int, tile: int, tasks: int) -> DataFrame:
+    """The rows of prints(doc_id, node, *words) with their component's smallest doc_id."""
+    own = [w for w in words if w != "node"]
+    classes = prints.groupBy("node", *own).agg(F.min("doc_id").alias("first_id"))
+    component = connected_components(near_links(classes.select("node", *own), words, masks, radius, tile, tasks))
+    placed = classes.join(component, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("component"))
+    smallest = placed.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    by_print = placed.join(smallest, "component").select("node", "component_id").distinct()
+    return prints.join(by_print, "node")
+
+
 def near_duplicates(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -206,12 +265,46 @@ def near_duplicates(
     tile: int = 1 << 15,
 ) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row."""
-    prints = stored(fingerprints(docs, doc_id, text, shingle), "fingerprints")
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    component = connected_components(near_links(classes.select("fp"), radius, blocks, tile))
-    placed = classes.join(component.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "first_id", F.coalesce("component", "fp").alias("component")
-    )
-    smallest = placed.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    by_print = placed.join(smallest, "component").select("fp", "component_id")
-    return prints.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    prints = stored(fingerprints(docs, doc_id, text, shingle).withColumnRenamed("fp", "node"), "fingerprints")
+    masks = [[m] for m in block_masks(radius, blocks)]
+    found = _grouped(prints, ["node"], masks, radius, tile, partitions(docs.sparkSession))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def expected_distance(similarity: float) -> float:
+    """The share of bits in which two texts differ whose sets of shingles have that Jaccard similarity, if of like size."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def sampled_masks(bits: int, sampled: int, choices: int, seed: int = 5) -> list[list[int]]:
+    """Masks, by word, of so many sampled bits for each choice."""
+    rng = np.random.default_rng(seed)
+    picks = [rng.choice(bits, sampled, replace=False) for _ in range(choices)]
+    return [[sum(1 << int(b % BITS) for b in pick if b // BITS == k) for k in range(bits // BITS)] for pick in picks]
+
+
+def similar_documents(
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    shingle: int = 5,
+    similarity: float = 0.8,
+    margin: float = 0.035,
+    bits: int = 256,
+    recall: float = 0.97,
+    tile: int = 1 << 14,
+) -> DataFrame:
+    """(doc_id, component_id) of every row, linked at a similarity of word shingles as the fingerprints tell it.
+
+    ``margin`` is the share of bits added to the expected distance: one and a
+    half standard deviations, for the spread of a fingerprint's distances.
+    Sampled sets have as many bits as keep buckets at some dozens of classes.
+    """
+    share = expected_distance(similarity)
+    words = _names(bits // BITS)
+    prints = stored(wide_fingerprints(docs, bits, doc_id, text, shingle).withColumn("node", F.xxhash64(*words)), "fingerprints")
+    n = prints.count()
+    sampled = max(10, min(24, (n // 32).bit_length()))
+    choices = math.ceil(math.log(1 - recall) / math.log(1 - (1 - share) ** sampled))
+    tasks = max(partitions(docs.sparkSession), n * choices >> 19)
+    return _grouped(prints, words, sampled_masks(bits, sampled, choices), round((share + margin) * bits), tile, tasks).select("doc_id", "component_id")

@@ -82,9 +82,20 @@ class SuffixSorter:
 
 
 def repeated_strings(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 50, k: int = 20, sort_classes: int = 4096, with_text: bool = True
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    length: int = 50,
+    k: int = 20,
+    sort_classes: int = 4096,
+    with_text: bool = True,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, spans (begin, end in bytes), kept_sha256 and, with_text, clean_text."""
+    """doc_id, n_bytes, n_removed, n_spans, spans (begin, end in bytes), kept_sha256 and, with_text, clean_text.
+
+    The columns of keep pass through.
+    """
+    names = [f"kept_{i}" for i in range(len(keep))]
     kind = docs.schema[doc_id].dataType.simpleString()
     least, most = docs.agg(F.min(doc_id).cast("bigint"), F.max(doc_id).cast("bigint")).first()
     base, beyond = least or 0, (most or 0) - (least or 0) + 1
@@ -116,8 +127,10 @@ def repeated_strings(
             "n_spans": pa.array([len(x) for x in spans], pa.int64()),
             "spans": pa.array(spans, span),
             "kept_sha256": pa.array(digests, pa.string()),
-        }
+        } | {n: table[n] for n in names}
         return pa.table(columns | ({"clean_text": pa.array(clean, pa.string())} if with_text else {}))
 
     schema = f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, spans array<struct<begin:bigint,end:bigint>>, kept_sha256 string"
-    return find(plan, chunked(docs, doc_id, text, rows_log2), finish, schema + ", clean_text string" * with_text)
+    schema += "".join(f", {n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, keep)) + ", clean_text string" * with_text
+    chunks = chunked(docs, doc_id, text, rows_log2, *(F.col(c).alias(n) for n, c in zip(names, keep)))
+    return find(plan, chunks, finish, schema).withColumnsRenamed(dict(zip(names, keep)))
