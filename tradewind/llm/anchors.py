@@ -64,7 +64,8 @@ def anchors_of(values: np.ndarray, lengths: np.ndarray, window: int, k: int, has
     tail = np.append(head[1:], len(at))[: len(head)] - 1
     place, first, last = at[head], begin[head], begin[tail] if len(head) else begin[:0]
     edge = mix(hashes.of(first, last + window) + (place - first).astype(np.uint64) * np.uint64(0x8CB92BA72F3D8DD7))
-    return Anchors(kmers[place], edge, place, first, last, owner[head])
+    # anchors have small hashes: mixed again, their keys spread evenly over buckets
+    return Anchors(mix(kmers[place]), edge, place, first, last, owner[head])
 
 
 def covered(length: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
