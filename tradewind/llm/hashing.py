@@ -55,9 +55,9 @@ def words_of(texts: list[bytes], lower: bool) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the white-space separated words of all texts, and the number of words of each text."""
     hashes, counts = [], []
     at = 0
-    while at < len(texts):  # a few megabytes at a time
+    while at < len(texts):  # about a megabyte at a time
         to, size = at, 0
-        while to < len(texts) and (to == at or size + len(texts[to]) < 1 << 22):
+        while to < len(texts) and (to == at or size + len(texts[to]) < 1 << 20):
             size += len(texts[to]) + 1
             to += 1
         joined = b"\n".join(texts[at:to]) + b"\n"

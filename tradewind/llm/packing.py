@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradewind.llm.byte_bpe import ByteBpeFile, byte_letters, groups, holes, pieces, rows, special_pattern, tokenizer_path
+from tradewind.llm.byte_bpe import byte_letters, groups, holes, pieces, rows, special_pattern, tokenizer_path
 
 #: Bits of a sequence's id that number the sequences of one task.
 RUNNING_BITS = 36
@@ -39,7 +39,7 @@ RUNNING_BITS = 36
 class PieceIds(dict):
     """Little-endian ids by piece of text, from the tokenizers library, kept within a bound."""
 
-    def __init__(self, path: str, bound: int = 1_000_000) -> None:
+    def __init__(self, path: str, bound: int = 300_000) -> None:
         from tokenizers import Tokenizer
 
         super().__init__()
@@ -48,7 +48,7 @@ class PieceIds(dict):
         self.library, self.bound = Tokenizer(whole.model), bound
         self.letters = {chr(b): c for c, b in byte_letters().items()}
         self.table = str.maketrans(self.letters)
-        special = ByteBpeFile(path).special
+        special = {t.content: i for i, t in whole.get_added_tokens_decoder().items()}
         self.special = special_pattern(special)
         self.fixed = {s: np.array([i], "<u4").tobytes() for s, i in special.items()}
 

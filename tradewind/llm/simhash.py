@@ -92,7 +92,7 @@ def wide_fingerprints(docs: DataFrame, bits: int, doc_id: str = "doc_id", text:
         return np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64).tolist()
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
             values, counts = words_of([v or b"" for v in batch.column(1).to_pylist()], lower=True)
             ends = np.cumsum(counts)
             fps = [of(values[a:b]) for a, b in zip((ends - counts).tolist(), ends.tolist())]
