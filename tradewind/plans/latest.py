@@ -34,16 +34,17 @@ def card_prices_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The price rows that daily_prices() makes, as a common table expression.
-DAILY = """daily AS (
-  SELECT product_id, printing, price_date, low,
-         CASE WHEN day(price_date) % 10 = 3 THEN NULL ELSE mean END AS market
-  FROM (SELECT product_id, printing, price_date, min(unit) AS low,
-               CAST(CAST(sum(unit) AS DOUBLE) / count(unit) AS DECIMAL(12,2)) AS mean
-        FROM (SELECT CAST(l_partkey AS BIGINT) AS product_id, l_returnflag AS printing,
-                     CAST(l_shipdate AS DATE) AS price_date,
-                     CAST(l_extendedprice / l_quantity AS DECIMAL(12,2)) AS unit
-              FROM lineitem)
-        GROUP BY ALL))"""
+DAILY = """units AS (
+  SELECT CAST(l_partkey AS BIGINT) AS product_id, l_returnflag AS printing, CAST(l_shipdate AS DATE) AS price_date,
+         (2 * CAST(round(l_extendedprice * 100) AS BIGINT) + CAST(l_quantity AS BIGINT)) // (2 * CAST(l_quantity AS BIGINT)) AS unit
+  FROM lineitem),
+means AS (
+  SELECT product_id, printing, price_date, min(unit) AS least, CAST((2 * sum(unit) + count(unit)) // (2 * count(unit)) AS BIGINT) AS mean
+  FROM units GROUP BY ALL),
+daily AS (
+  SELECT product_id, printing, price_date, CAST(CAST(least AS DECIMAL(14,0)) * 0.01 AS DECIMAL(12,2)) AS low,
+         CASE WHEN day(price_date) % 10 <> 3 THEN CAST(CAST(mean AS DECIMAL(14,0)) * 0.01 AS DECIMAL(12,2)) END AS market
+  FROM means)"""
 
 QUERIES = {"card_prices_latest": card_prices_latest}
 ORACLES = {

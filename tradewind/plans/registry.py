@@ -6,8 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tradewind.plans.latest import ORACLES as LATEST_ORACLES
-from tradewind.plans.latest import QUERIES as LATEST
+from tradewind.plans import latest, people, prices
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**LATEST}
-ORACLES: dict[str, str] = {**LATEST_ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**latest.QUERIES, **prices.QUERIES, **people.QUERIES}
+ORACLES: dict[str, str] = {**latest.ORACLES, **prices.ORACLES, **people.ORACLES}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -14,30 +14,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def daily_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Price rows per product, printing and day, out of the order lines.
 
-    The unit price is the line's value over its quantity, as DECIMAL(12,2);
-    market is the day's mean and low its smallest, both to the cent.  A tenth
-    of the returned days have no market price, so that rules on missing prices
-    have rows to work on.
+    The unit price is the line's value over its quantity, rounded to the cent;
+    market is the day's mean and low its smallest, both to the cent.  All of it
+    is counted in whole cents, so no result depends on the order of rows.  A
+    tenth of the returned days have no market price, so that rules on missing
+    prices have rows to work on.
     """
-    unit = (F.col("l_extendedprice") / F.col("l_quantity")).cast("decimal(12,2)")
+    value, quantity = "CAST(round(l_extendedprice * 100) AS BIGINT)", "CAST(l_quantity AS BIGINT)"
     return (
         table(spark, sf_dir, "lineitem")
         .select(
             F.col("l_partkey").cast("bigint").alias("product_id"),
             F.col("l_returnflag").alias("printing"),
             F.to_date("l_shipdate").alias("price_date"),
-            unit.alias("unit"),
+            F.expr(f"(2 * {value} + {quantity}) div (2 * {quantity})").alias("unit"),
         )
         .groupBy("product_id", "printing", "price_date")
-        .agg(
-            F.min("unit").alias("low"),
-            F.expr("CAST(sum(unit) / count(unit) AS DECIMAL(12,2))").alias("mean"),
-        )
+        .agg(F.min("unit").alias("least"), F.expr("(2 * sum(unit) + count(unit)) div (2 * count(unit))").alias("mean"))
         .select(
             "product_id",
             "printing",
             "price_date",
-            "low",
-            F.expr("CASE WHEN day(price_date) % 10 = 3 THEN NULL ELSE mean END").alias("market"),
+            _dollars("least").alias("low"),
+            F.when(F.dayofmonth("price_date") % 10 != 3, _dollars("mean")).alias("market"),
         )
     )
+
+
+def _dollars(cents: str) -> Column:
+    return F.expr(f"CAST(CAST({cents} AS DECIMAL(14,0)) * 0.01BD AS DECIMAL(12,2))")
