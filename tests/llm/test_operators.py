@@ -229,6 +229,43 @@ def test_similar_documents(spark, docs, rows, none):
     assert similar_documents(none).count() == 0
 
 
+def test_similar_documents_at_the_threshold(spark):
+    """Pairs at 0.8 and a little over are linked, those a little under are not, by the sets themselves."""
+    from tradewind.llm.simhash import similar_documents
+
+    rng = np.random.default_rng(21)
+    texts, want = [], {}
+    for g in range(200):
+        words = [f"v{x}" for x in rng.integers(0, 10**9, 184)]  # 180 shingles
+        end = 20 if g % 2 else 22  # another end changes as many shingles: 160 / 200 = 0.8, or 158 / 202
+        texts += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(words[:-end] + [f"u{g}x{k}" for k in range(end)]))]
+        want[2 * g], want[2 * g + 1] = 2 * g, 2 * g + (g + 1) % 2
+    got = {r.doc_id: r.component_id for r in similar_documents(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()}
+    assert all(got[2 * g + 1] == 2 * g + 1 for g in range(0, 200, 2))  # exact: never under 0.8
+    assert sum(got[i] == want[i] for i in want) >= len(want) - 4  # a pair at 0.8 is a candidate with probability over 0.99
+
+
+@pytest.mark.parametrize("text_tile", [512, 3])
+def test_verified_links(spark, text_tile):
+    """Links within a component are exact, also where it is cut into tiles."""
+    from tradewind.llm.components import connected_components
+    from tradewind.llm.simhash import verified_links
+
+    rng = np.random.default_rng(4)
+    words = [f"v{x}" for x in range(40)]
+    texts = []
+    for _ in range(40):
+        own = words.copy()
+        for at in rng.integers(0, 40, int(rng.integers(0, 4))):
+            own[at] = f"u{rng.integers(0, 3)}"
+        texts.append(" ".join(own))
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(36)} for t in texts]
+    want = roots(40, [(a, b) for a, b in itertools.combinations(range(40), 2) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8])
+    rows = spark.createDataFrame([(i, 0, t.encode()) for i, t in enumerate(texts)], "node bigint, component bigint, text binary")
+    got = {r.node: r.component for r in connected_components(verified_links(rows, 5, 0.8, text_tile, 4)).collect()}
+    assert 1 < len(set(want)) < 40 and [got.get(i, i) for i in range(40)] == want
+
+
 def brute_strings(rows) -> dict:
     first: dict[bytes, int] = {}
     bodies = [(i, (t or "").encode()) for i, t, *_ in rows]

@@ -17,16 +17,19 @@ Links within a task's bucket are reduced to a spanning forest, and a bucket that
 has become one tree is compared no further; pairs aren't emitted.  The links'
 components give every document the smallest id reachable.
 
-``similar_documents`` finds texts of a given similarity on word shingles by the
-same comparison, for which 64 bits are too coarse: its fingerprints have 256
-bits, and the radius is the distance expected at that similarity with a margin.
-So wide a radius leaves no block that must agree; instead every fingerprint is
-dealt under enough sampled sets of bits that a pair at the expected distance
-shares a bucket with the probability ``recall``.
-
-Defined results: a null or empty text has fingerprint 0 and is linked like any
-other; rows may repeat; rows with a null id get the component of their
-fingerprint's other rows, or null; an empty table gives no rows.
+``similar_documents`` links texts whose sets of word shingles have a given
+Jaccard similarity.  The same comparison only gathers candidates: fingerprints
+of 256 bits over the sets, a radius of the distance expected at that similarity
+and some three standard deviations, and enough sampled sets of bits that a pair
+at the radius shares a bucket with the probability ``recall``, however many rows
+there are.  The candidates' components then meet as texts, large ones as pairs
+of tiles, and every pair that isn't connected yet is compared set with set; only
+pairs that reach the similarity become links.
+
+Defined results: a null or empty text has fingerprint 0 and an empty set, and is
+linked to its like only (by the fingerprint in ``near_duplicates``); rows may
+repeat; rows with a null id get the component of their fingerprint's or set's
+other rows, or null; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -41,6 +44,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
 from tradewind.llm.components import Forest, connected_components
 from tradewind.llm.hashing import RunHashes, mix, words_of
@@ -75,31 +79,42 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(made, f"doc_id {kind}, fp bigint")
 
 
-def wide_fingerprints(docs: DataFrame, bits: int, doc_id: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
-    """(doc_id, f0, f1, ...) with fingerprints of any multiple of 64 bits; texts in lower case (A-Z)."""
-    kind = docs.schema[doc_id].dataType.simpleString()
+def shingle_sets(texts: list[bytes], shingle: int) -> Iterator[np.ndarray]:
+    """The sorted distinct hashes of each text's shingles; texts in lower case (A-Z), those too short are one shingle."""
+    values, counts = words_of(texts, lower=True)
+    ends = np.cumsum(counts)
+    for a, b in zip((ends - counts).tolist(), ends.tolist()):
+        own = values[a:b]
+        if 0 < len(own) < shingle:
+            yield RunHashes(own).of(np.zeros(1, np.int64), np.array([len(own)]))
+        else:
+            yield np.unique(RunHashes(own).fixed(shingle))
+
+
+def wide_fingerprints(docs: DataFrame, bits: int, shingle: int = 5) -> DataFrame:
+    """The columns of docs(text binary, ...), f0, f1, ... with fingerprints of any multiple of 64 bits, and node, a hash of the set of shingles."""
     n_words = bits // BITS
+    names = [*docs.columns, *_names(n_words), "node"]
+    at_text = docs.columns.index("text")
     seeds = np.random.default_rng(77).integers(1, 1 << 63, n_words, dtype=np.uint64)
 
-    def of(own: np.ndarray) -> list[int]:
+    def of(hashes: np.ndarray) -> list[int]:
         ones = np.zeros(bits, np.int64)
-        if not len(own):
-            return [0] * n_words
-        hashes = RunHashes(own).of(np.zeros(1, np.int64), np.array([len(own)])) if len(own) < shingle else RunHashes(own).fixed(shingle)
         for at in range(0, len(hashes), 1024):
             wide = mix(hashes[at : at + 1024, None] ^ seeds)
             ones += np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        return np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64).tolist()
+        node = np.array([xxhash.xxh64_intdigest(hashes.tobytes())], np.uint64).view(np.int64)
+        return [*np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64).tolist(), int(node[0])]
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
-            values, counts = words_of([v or b"" for v in batch.column(1).to_pylist()], lower=True)
-            ends = np.cumsum(counts)
-            fps = [of(values[a:b]) for a, b in zip((ends - counts).tolist(), ends.tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([f[k] for f in fps], pa.int64()) for k in range(n_words))], ["doc_id", *_names(n_words)])
+            fps = [of(h) for h in shingle_sets([v or b"" for v in batch.column(at_text).to_pylist()], shingle)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([f[k] for f in fps], pa.int64()) for k in range(n_words + 1))], names)
 
-    schema = f"doc_id {kind}, " + ", ".join(f"{c} bigint" for c in _names(n_words))
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(made, schema)
+    schema = StructType(list(docs.schema.fields))
+    for name in names[len(docs.columns) :]:
+        schema = schema.add(name, LongType())
+    return docs.mapInArrow(made, schema)
 
 
 def _names(n_words: int) -> list[str]:
@@ -212,14 +227,20 @@ def _run_sizes(left: np.ndarray) -> np.ndarray:
     return left[starts]
 
 
-def near_links(distinct: DataFrame, words: list[str], masks: list[list[int]], radius: int, tile: int, tasks: int) -> DataFrame:
-    """Links (a, b) that connect all nodes of distinct(node, *words) within the radius whose words agree under some mask."""
+def near_links(distinct: DataFrame, words: list[str], masks: list[list[int]], radius: int, tile: int, tasks: int, one_in: int = 1) -> DataFrame:
+    """Links (a, b) that connect all nodes of distinct(node, *words) within the radius whose words agree under some mask.
+
+    Buckets to be tiled are counted over one in ``one_in`` nodes; that shifts only where work is done.
+    """
     value = lambda own: F.xxhash64(*(F.col(w).bitwiseAND(F.lit(_signed(m))) for w, m in zip(words, own, strict=True)))
     keys = F.array(*(F.struct(F.lit(i).alias("choice"), value(m).alias("value")) for i, m in enumerate(masks)))
-    dealt = distinct.select("node", *words, F.explode(keys).alias("k")).select("node", *words, "k.choice", "k.value")
+    deal = lambda nodes: nodes.select("node", *words, F.explode(keys).alias("k")).select("node", *words, "k.choice", "k.value")
+    dealt = deal(distinct)
+    counted = dealt if one_in == 1 else deal(distinct.where(F.pmod(F.xxhash64("node", F.lit(11)), F.lit(one_in)) == 0))
     # how many tiles a large bucket is cut into; Spark broadcasts this only if it is small
-    large = dealt.groupBy("choice", "value").agg(F.count("*").alias("n")).where(F.col("n") > tile)
+    large = counted.groupBy("choice", "value").agg((F.count("*") * one_in).alias("n")).where(F.col("n") > tile)
     large = large.select("choice", "value", F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
+    large = large if one_in == 1 else F.broadcast(large)  # few, and the dealt rows aren't shuffled for them
     own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("tiles")).cast("int")
     other = F.sequence(F.lit(0), F.col("tiles") - 1)
     pair = F.explode(F.when(F.col("tiles").isNull(), F.array(F.lit(0))).otherwise(F.transform(other, lambda o: F.least(o, own) * F.col("tiles") + F.greatest(o, own))))
@@ -283,28 +304,112 @@ def sampled_masks(bits: int, sampled: int, choices: int, seed: int = 5) -> list[
     return [[sum(1 << int(b % BITS) for b in pick if b // BITS == k) for k in range(bits // BITS)] for pick in picks]
 
 
-def similar_documents(
+def exact_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of sorted sets whose Jaccard similarity is reached."""
+    n = len(sets)
+    sizes = np.array([len(x) for x in sets], np.int64)
+    owner = np.repeat(np.arange(n), sizes)
+    values, which = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(which, kind="stable")
+    holders, starts = owner[order], np.searchsorted(which[order], np.arange(len(values) + 1))
+    begins = np.cumsum(sizes) - sizes
+    forest = Forest(n)
+    for i in range(n - 1):
+        root = forest.roots()
+        if (root == root[0]).all():
+            break
+        apart = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1
+        least, most = np.minimum(sizes[apart], sizes[i]), np.maximum(sizes[apart], sizes[i])
+        apart = apart[least >= similarity * most * (1 - 1e-9)]
+        if not len(apart):
+            continue
+        if len(apart) <= 8:
+            both = np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for j in apart.tolist()])
+        else:
+            own = which[begins[i] : begins[i] + sizes[i]]
+            k = starts[own + 1] - starts[own]
+            at = np.repeat(starts[own], k) + np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
+            both = np.bincount(holders[at], minlength=n)[apart]
+        union = sizes[apart] + sizes[i] - both
+        near = apart[both / np.maximum(union, 1) >= similarity]
+        forest.add(np.full(len(near), i), near)
+    return forest.edges
+
+
+def verified_links(texts: DataFrame, shingle: int, similarity: float, tile: int, tasks: int) -> DataFrame:
+    """Links (a, b) that connect all nodes of texts(node, component, text) of that similarity within each component.
+
+    Components above ``tile`` texts are dealt as pairs of tiles; a task holds one component or pair of tiles at a time.
+    """
+    large = texts.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > tile)
+    large = F.broadcast(large.select("component", F.ceil(F.col("n") / tile).cast("int").alias("tiles")))
+    own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("tiles")).cast("int")
+    other = F.sequence(F.lit(0), F.col("tiles") - 1)
+    pair = F.explode(F.when(F.col("tiles").isNull(), F.array(F.lit(0))).otherwise(F.transform(other, lambda o: F.least(o, own) * F.col("tiles") + F.greatest(o, own))))
+    tiled = texts.join(large, "component", "left").withColumn("pair", pair)
+    rows = tiled.select(F.xxhash64("component", "pair").alias("bucket"), "node", "text").repartition(tasks, "bucket").sortWithinPartitions("bucket", "node")
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, nodes, sets = None, [], []
+
+        def done() -> pa.RecordBatch:
+            edges = exact_links(sets, similarity) if len(sets) > 1 else []
+            a, b = ([nodes[e[k]] for e in edges] for k in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        for batch in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
+            given = shingle_sets([v or b"" for v in batch.column(2).to_pylist()], shingle)
+            for of, node, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), given, strict=True):
+                if of != bucket:
+                    yield done()
+                    bucket, nodes, sets = of, [], []
+                nodes.append(node)
+                sets.append(own)
+        yield done()
+
+    return rows.mapInArrow(linked, "a bigint, b bigint").distinct()
+
+
+def similar_rows(
     docs: DataFrame,
     doc_id: str = "doc_id",
     text: str = "text",
     shingle: int = 5,
     similarity: float = 0.8,
-    margin: float = 0.035,
+    margin: float = 0.07,
     bits: int = 256,
+    sampled: int = 12,
     recall: float = 0.97,
     tile: int = 1 << 14,
+    text_tile: int = 512,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(doc_id, component_id) of every row, linked at a similarity of word shingles as the fingerprints tell it.
+    """(doc_id, text, *keep, component_id, is_first) of every row; of each component one row is the first, that of the smallest id.
 
-    ``margin`` is the share of bits added to the expected distance: one and a
-    half standard deviations, for the spread of a fingerprint's distances.
-    Sampled sets have as many bits as keep buckets at some dozens of classes.
+    ``margin`` is the share of bits added to the expected distance: some three
+    standard deviations, for the spread of a fingerprint's distances.
     """
-    share = expected_distance(similarity)
     words = _names(bits // BITS)
-    prints = stored(wide_fingerprints(docs, bits, doc_id, text, shingle).withColumn("node", F.xxhash64(*words)), "fingerprints")
-    n = prints.count()
-    sampled = max(10, min(24, (n // 32).bit_length()))
-    choices = math.ceil(math.log(1 - recall) / math.log(1 - (1 - share) ** sampled))
-    tasks = max(partitions(docs.sparkSession), n * choices >> 19)
-    return _grouped(prints, words, sampled_masks(bits, sampled, choices), round((share + margin) * bits), tile, tasks).select("doc_id", "component_id")
+    radius = round((expected_distance(similarity) + margin) * bits)
+    meet = math.comb(bits - radius, sampled) / math.comb(bits, sampled)  # of a pair at the radius, in one choice
+    choices = math.ceil(math.log(1 - recall) / math.log(1 - meet))
+    given = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"), F.struct(F.lit(0), *keep).alias("kept"))
+    # numbered once, as they are written
+    prints = stored(wide_fingerprints(given, bits, shingle).withColumn("row", F.monotonically_increasing_id()), "fingerprints")
+    tasks = max(partitions(docs.sparkSession), prints.count() * choices >> 19)
+    first = F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "row")).alias("first")
+    classes = stored(prints.groupBy("node", *words).agg(first), "sets")
+    near = connected_components(near_links(classes.select("node", *words), words, sampled_masks(bits, sampled, choices), radius, tile, tasks, one_in=64))
+    chosen = classes.join(near, "node").select(F.col("first.row").alias("row"), "node", "component")
+    texts = chosen.join(prints.select("row", "text"), "row").select("node", "component", "text")
+    component = connected_components(verified_links(texts, shingle, similarity, text_tile, partitions(docs.sparkSession)))
+    placed = classes.join(component, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
+    smallest = placed.groupBy("component").agg(F.min("first").alias("least"))
+    by_set = placed.join(smallest, "component").select("node", "least")
+    found = prints.join(by_set, "node")
+    return found.select("doc_id", F.col("text").cast(docs.schema[text].dataType).alias("text"), *(F.col(f"kept.`{c}`") for c in keep), F.col("least.doc_id").alias("component_id"), (F.col("row") == F.col("least.row")).alias("is_first"))
+
+
+def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) of every row, linked at a Jaccard similarity of the sets of word shingles."""
+    return similar_rows(docs, doc_id, text, shingle, similarity).select("doc_id", "component_id")
