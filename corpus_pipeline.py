@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tradewind.llm.packing import pack
 from tradewind.llm.quality_rules import quality
-from tradewind.llm.simhash import similar_documents
+from tradewind.llm.simhash import similar_rows
 from tradewind.llm.storage import stored
 from tradewind.llm.suffix_dedup import repeated_strings
 
@@ -30,10 +30,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the smallest id stays."""
-    groups = similar_documents(docs, shingle=5, similarity=0.8)
-    gone = groups.where("doc_id <> component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the row of the smallest id stays.
+
+    One row of each group, also where rows repeat an id; rows with a null id come last.
+    """
+    found = similar_rows(docs, shingle=5, similarity=0.8, keep=("lang", "source", "n_chars"))
+    return found.where("is_first").select(*COLUMNS)
 
 
 def repeated_strings_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -421,6 +421,18 @@ def test_pipeline(spark, sf_dir):
     assert {r.doc_id for r in now.select("doc_id").distinct().collect()} == {r[0] for r in kept[2]}
 
 
+def test_near_duplicates_stage_by_row(spark, sf_dir):
+    """One row of each group stays where ids repeat or are null, and no clean row goes because of its id."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    a, b, c = (" ".join(f"{x}{k}" for k in range(80)) for x in "abc")
+    given = [(1, a), (1, a), (2, b), (1, b), (None, c), (None, c), (None, a), (3, "alone " + c[::-1])]
+    rows = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in given], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = corpus_pipeline.near_duplicates_stage(spark, rows.repartition(3), sf_dir)
+    assert got.columns == list(corpus_pipeline.COLUMNS)
+    want = [(1, a), (1, b), (None, c), (3, "alone " + c[::-1])]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_queries_are_registered():
     import __spark_entry__ as entry
 
