@@ -461,3 +461,17 @@ def test_null_ids(spark):
     got = sorted((r.doc_id or 0, r.n_removed > 0) for r in repeated_strings(table).collect())
     assert got == [(0, True), (5, False), (5, False), (9, True)]
     assert [r.component_id for r in near_duplicates(table).collect()] == [5] * 4
+
+
+@pytest.mark.parametrize("sort_classes", [4096, 0])
+def test_repeated_ids_in_several_chunks(spark, sort_classes):
+    """Every row of an id loses what a smaller id holds, in whichever chunk it lies; null ids come last."""
+    from tradewind.llm.suffix_dedup import repeated_strings
+
+    own = lambda x: " ".join(f"{x}{i * 37 % 101}" for i in range(60))
+    for shared in (60, 75, 200):
+        passage = "|" + "".join(chr(97 + i * i * 31 % 23) + str(i) for i in range(shared))[:shared] + "|"
+        given = [(1, own("a") + "<" + passage + ">" + own("b"))] + [(5, own("c") + passage + own("d"))] * 3 + [(None, own("e") + "!" + passage + "!" + own("f"))] * 3
+        rows = spark.createDataFrame(spark.sparkContext.parallelize(given, 7), "doc_id bigint, text string")
+        got = sorted((r.doc_id or 9, r.n_removed) for r in repeated_strings(rows, sort_classes=sort_classes).collect())
+        assert got == [(1, 0)] + [(5, len(passage))] * 3 + [(9, len(passage))] * 3

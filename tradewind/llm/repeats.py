@@ -7,7 +7,8 @@ Three passes over chunks of documents, with an exchange between them:
    the k-mer also has other classes, so that it branches.  Occurrences in a
    class that repeats are settled, since all their windows do.
 2. Only where a k-mer branches, one representative of each class sends its
-   windows, and those that repeat in another class are found.
+   windows, and those that repeat in another class are found; with ``earlier``,
+   one in each chunk that holds the class's smallest number.
 3. Each document marks what its windows cover.
 
 ``earlier`` counts a window as repeated only if a smaller document number holds
@@ -96,10 +97,11 @@ def settle(plan: Plan) -> Callable[[dict[str, list]], list[tuple]]:
         classes = np.bincount(of_key[head])[of_key]  # of the pair's k-mer
         code = np.zeros(len(order), np.uint8)
         if plan.earlier:
-            code[v > v[head][of_class]] |= SETTLED
+            least = v == v[head][of_class]  # in several chunks, where rows repeat an id
+            code[~least] |= SETTLED
             heads = np.flatnonzero(new_key)
             many = np.minimum.reduceat(v, heads) != np.maximum.reduceat(v, heads)
-            sends = (classes > 1) & new & many[of_key]
+            sends = (classes > 1) & least & many[of_key]
         else:
             total = np.add.reduceat(v, head)
             code[total[of_class] > 1] |= SETTLED
