@@ -383,6 +383,16 @@ def test_boilerplate_lines(spark):
     assert all(r.n_removed_lines == 2 and r.kept and r.clean_text == body(r.doc_id) for r in got)
 
 
+def test_boilerplate_lines_of_null_ids(spark):
+    """Rows with a null id lose boilerplate lines like all others."""
+    from tradewind.llm.quality_rules import quality
+
+    given = [(None if k < 2 else k, "the same footer here\n" + " ".join(f"{chr(97 + k)}y{i}" for i in range(60)), "h") for k in range(12)]
+    got = quality(spark.createDataFrame(given, "doc_id bigint, text string, source string")).collect()
+    assert sum(r.doc_id is None for r in got) == 2 and [(r.n_removed_words, r.n_removed_lines) for r in got] == [(4, 1)] * 12
+    assert all("footer" not in r.clean_text for r in got)
+
+
 def test_components(spark):
     from tradewind.llm.components import connected_components
 

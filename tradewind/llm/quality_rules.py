@@ -13,7 +13,8 @@ shuffled for the verdicts; the texts move only if the cleaned text is used.
 
 Defined results: a null text counts as empty (no words, rejected); a null host
 is a host of its own; rows may repeat, each gets a row; other columns of the
-input pass through, but for those named in STATS, which are replaced.
+input pass through, but for those named in STATS, which are replaced; a null
+id is an id like any other.
 """
 
 from __future__ import annotations
@@ -125,7 +126,9 @@ def quality(
         }
     ).drop("_words")
     left_lines = f"filter(split(_body, '\\n'), l -> trim(BOTH '{WHITE}' FROM l) = '' OR NOT array_contains(_gone, xxhash64({_normal('l')})))"
-    out = counted.join(removed, list(_KEY), "left").withColumns(
+    removed = removed.withColumnsRenamed({c: f"_gone{c}" for c in _KEY})
+    same = F.col("_id").eqNullSafe(F.col("_gone_id")) & (F.col("_host") == F.col("_gone_host")) & (F.col("_text") == F.col("_gone_text"))
+    out = counted.join(removed, same, "left").withColumns(
         {
             "n_removed_lines": F.coalesce(F.col("_gone_lines"), F.lit(0)),
             "n_removed_words": F.coalesce(F.col("_gone_words"), F.lit(0)),
@@ -135,5 +138,5 @@ def quality(
     )
     left = F.col("n_words") - F.col("n_removed_words")
     return out.withColumn("kept", ~F.col("base_failed") & (left >= F.lit(min_left) * F.col("n_words"))).drop(
-        *_KEY, "_body", "_gone", "_gone_words", "_gone_lines"
+        *_KEY, *(f"_gone{c}" for c in _KEY), "_body", "_gone", "_gone_words", "_gone_lines"
     )
