@@ -25,11 +25,9 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tradewind.llm.sentence_pieces import decode, encode
+    from tradewind.llm.sentence_pieces import round_trip
 
-    encoded = encode(_documents(spark, sf_dir), "piece_bpe_32k.model", keep=("doc_id", "text"))
-    decoded = decode(encoded.select("doc_id", "n_tokens", "ids_crc32", "same_ids", F.coalesce("text", F.lit("")).alias("given"), "ids"), to="decoded")
-    return decoded.select("doc_id", "n_tokens", "ids_crc32", "same_ids", (F.col("decoded") == F.col("given")).alias("round_trip"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return round_trip(_documents(spark, sf_dir), "piece_bpe_32k.model")
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

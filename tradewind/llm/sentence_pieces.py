@@ -9,18 +9,21 @@ byte fallback.
 Where no piece holds a marker behind another character (this is checked when
 the model is read), a normalised text is cut before each run of markers, and at
 line ends where no piece holds one; its ids are those of the cut pieces.  A worker keeps the ids of pieces within a
-bound; new ones are encoded in batches by the library's own threads.  Parity is
-verified for each new piece, so ``same_ids`` says of every row whether the
-sentencepiece library gives the same ids for all of it.
+bound of bytes; new ones are encoded in batches by the library's own threads.
+Parity is verified for each new piece, so ``same_ids`` says of every row whether
+the sentencepiece library gives the same ids for all of it.  Decoding is equal
+to that library's for every list of ids.
 
 Defined results: a null or empty text has no ids and decodes to an empty text;
-rows may repeat; columns named in ``keep`` pass through; an empty table gives
-no rows; a null list of ids decodes to null; bytes that aren't UTF-8 decode as
-the library decodes them.
+rows may repeat, and null ids pass through; columns named in ``keep`` pass
+through whatever their names; an empty table gives no rows; a null list of ids
+decodes to null; bytes that aren't UTF-8 decode to one U+FFFD each.
 """
 
 from __future__ import annotations
 
+import codecs
+import hashlib
 import os
 import re
 import struct
@@ -128,7 +131,8 @@ class Model(NamedTuple):
         out = Tokenizer(made)
         steps = [normalizers.Precompiled(self.charsmap)] if self.charsmap else []
         if self.trim:
-            steps += [normalizers.Replace(Regex("^ +| +$"), ""), normalizers.Replace(Regex(" {2,}"), " ")]
+            # a marker in the text counts as white space at its end only; ^ and $ would match at every line
+            steps += [normalizers.Replace(Regex(f"\\A +|[ {MARKER}]+\\z"), ""), normalizers.Replace(Regex(" {2,}"), " ")]
         steps += [normalizers.Prepend(MARKER)] if self.dummy_prefix else []
         out.normalizer = normalizers.Sequence([*steps, normalizers.Replace(" ", MARKER)])
         out.decoder = decoders.Sequence(
@@ -137,28 +141,50 @@ class Model(NamedTuple):
         return out
 
 
+def _each_byte(error: UnicodeDecodeError) -> tuple[str, int]:
+    """One replacement character for each byte that isn't UTF-8."""
+    return "\ufffd" * (error.end - error.start), error.end
+
+
+codecs.register_error("tradewind-each-byte", _each_byte)
+
+
 class Codec(dict):
-    """Little-endian ids by normalised piece, and the way back."""
+    """Little-endian ids by normalised piece, and the way back.
 
-    def __init__(self, path: str, bound: int = 1_000_000) -> None:
+    Two generations of pieces are kept, of at most ``bound`` bytes each: pieces
+    that are met again move to the younger one, so frequent ones always stay.
+    """
+
+    #: Bytes that an entry takes besides its piece and its ids, about.
+    ENTRY = 200
+
+    def __init__(self, path: str, bound: int = 96 << 20) -> None:
         import sentencepiece
         from tokenizers import Tokenizer
 
         super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
-        self.model, self.bound = Model.read(path), bound
-        self.rebuilt, self.original = self.model.library(), sentencepiece.SentencePieceProcessor(model_file=path)
+        self.model, self.bound, self.size = Model.read(path), bound, 0
+        self.older: dict[str, bytes] = {}
+        rebuilt = self.model.library()
         self.plain = not self.model.charsmap and not self.model.trim
-        # pieces are normalised already: neither library may add a prefix to them
-        self.of_pieces = Tokenizer(self.rebuilt.model)
-        with open(path, "rb") as f:
-            self.same = sentencepiece.SentencePieceProcessor(model_proto=f.read() + NO_PREFIX)
+        self.normalizer = rebuilt.normalizer
+        # pieces are normalised already: the libraries must not add a prefix to them
+        self.of_pieces = Tokenizer(rebuilt.model)
+        if self.plain:
+            with open(path, "rb") as f:
+                self.original = sentencepiece.SentencePieceProcessor(model_proto=f.read() + NO_PREFIX)
+        else:
+            self.original = sentencepiece.SentencePieceProcessor(model_file=path)
         safe = not any(MARKER in p.lstrip(MARKER) for p, *_ in self.model.pieces)
         line = "\n" if self.model.byte_fallback and not any("\n" in p for p, *_ in self.model.pieces) else ""
         inner = f"{MARKER}*[^{MARKER}{line}]+|{MARKER}+"
         self.cut = re.compile((f"{line}|" * bool(line) + inner) if safe else "(?s:.+)").findall
         self.odd: set[str] = set()  # pieces for which the two libraries differ
-        self.bytes = [bytes((int(p[3:5], 16),)) if k == BYTE else p.replace(MARKER, " ").encode() for p, _, k in self.model.pieces]
+        self.spelled = [_spelled(p, k) for p, _, k in self.model.pieces]
+        self.silent = {i for i, (*_, k) in enumerate(self.model.pieces) if k == CONTROL}
+        self.marked = {i for i, (p, _, k) in enumerate(self.model.pieces) if k == NORMAL and p.startswith(MARKER)}
 
     def normal(self, text: str) -> str:
         """The text as the model's pieces spell it."""
@@ -166,23 +192,37 @@ class Codec(dict):
             return text
         if self.plain:
             return (MARKER if self.model.dummy_prefix else "") + text.replace(" ", MARKER)
-        return self.rebuilt.normalizer.normalize_str(text)
+        return self.normalizer.normalize_str(text)
 
     def learn(self, new: list[str], batch: int = 1000) -> dict[str, bytes]:
-        """Ids of new pieces, by the library's threads, held against the other library's; they are kept as well."""
-        if len(self) + len(new) > self.bound:
-            self.clear()
+        """Ids of new pieces, by the library's threads, held against the other library's."""
         got = self.of_pieces.encode_batch([new[i : i + batch] for i in range(0, len(new), batch)], is_pretokenized=True, add_special_tokens=False)
         parts = [(np.array(p.ids, "<u4"), np.bincount(np.array(p.word_ids, np.int64), minlength=min(batch, len(new) - k * batch))) for k, p in enumerate(got)]
         ids, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
         raw, ends = ids.tobytes(), np.cumsum(np.append(0, 4 * sizes)).tolist()
         known = {p: raw[a:b] for p, a, b in zip(new, ends, ends[1:])}
         if self.plain:
-            there = self.same.encode(new, num_threads=1)
+            there = self.original.encode(new, num_threads=1)
             flat = np.fromiter(chain.from_iterable(there), "<u4")
             if not np.array_equal(flat, ids) or not np.array_equal(sizes, [*map(len, there)]):
                 self.odd |= {p for p, own in zip(new, there) if known[p] != np.array(own, "<u4").tobytes()}
+        return known
+
+    def keep(self, known: dict[str, bytes]) -> None:
+        """Adds pieces to the younger generation, which becomes the older one when it is full."""
         self.update(known)
+        self.size += self.ENTRY * len(known) + sum(map(len, known)) + sum(map(len, known.values()))
+        if self.size > self.bound:
+            self.older, self.size = dict(self), 0
+            self.clear()
+
+    def _found(self, new: set[str], slice_: int = 20_000) -> dict[str, bytes]:
+        """Ids of pieces that the younger generation lacks; a fixed number of them is learned at a time."""
+        known = {p: self.older[p] for p in new & self.older.keys()}
+        rest = [p for p in new if p not in known]
+        for at in range(0, len(rest), slice_):
+            known |= self.learn(rest[at : at + slice_])
+        self.keep(known)
         return known
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bool]]:
@@ -191,7 +231,7 @@ class Codec(dict):
         parts = [[*map(self.get, cut)] for cut in cuts]
         gaps = [holes(own) for own in parts]
         if new := {cut[j] for cut, at in zip(cuts, gaps) for j in at}:
-            known = self.learn([*new])
+            known = self._found(new)
             for cut, own, at in zip(cuts, parts, gaps):
                 for j in at:
                     own[j] = known[cut[j]]
@@ -201,13 +241,46 @@ class Codec(dict):
         there = self.original.encode(texts, num_threads=1)
         return [(ids, ids == np.array(i, "<u4").tobytes()) for ids, i in zip(out, there)]
 
+    def _lead(self, ids: list[int]) -> int:
+        """Markers at the text's begin that are no spaces: the first piece's, and with trimming those of all until one spells more."""
+        n = 0
+        for i in ids:
+            if i in self.silent:
+                continue
+            if i not in self.marked:
+                break
+            n += 1
+            if not self.model.trim or len(self.spelled[i]) > 1:
+                break
+        return n
+
     def decode(self, ids: list[int]) -> str:
-        """The text that ids stand for."""
+        """The text that ids stand for, as the sentencepiece library gives it."""
+        text = self._decoded(ids) if self.silent.isdisjoint(ids) else "".join([self._decoded(own) for own in self._between(ids)])
+        return text[self._lead(ids) :] if self.model.dummy_prefix or self.model.trim else text
+
+    def _decoded(self, ids: list[int]) -> str:
+        body = b"".join([*map(self.spelled.__getitem__, ids)])
         try:
-            text = b"".join([self.bytes[i] for i in ids]).decode()
+            return body.decode()
         except UnicodeDecodeError:
-            return self.rebuilt.decode(ids, skip_special_tokens=False)
-        return text[1:] if self.model.dummy_prefix and text[:1] == " " else text
+            return body.decode(errors="tradewind-each-byte")
+
+    def _between(self, ids: list[int]) -> Iterator[list[int]]:
+        """The ids between control pieces: bytes on both sides of one aren't read together."""
+        at = 0
+        for k, i in enumerate(ids):
+            if i in self.silent:
+                yield ids[at:k]
+                at = k + 1
+        yield ids[at:]
+
+
+def _spelled(piece: str, kind: int) -> bytes:
+    """What a piece stands for in decoded text; the sign of unknown pieces is a fixed value of the library."""
+    if kind == BYTE:
+        return bytes((int(piece[3:5], 16),))
+    return {CONTROL: b"", UNKNOWN: " \u2047 ".encode()}.get(kind, piece.replace(MARKER, " ").encode())
 
 
 _CODECS: dict[str, Codec] = {}
@@ -245,6 +318,39 @@ def encode(
     return given.mapInArrow(encoded, schema).withColumnsRenamed(dict(zip(names, keep)))
 
 
+def round_trip(docs: DataFrame, model: str = "piece_bpe_32k.model", text: str = "text", keep: tuple[str, ...] = ("doc_id",), chars: int = 1 << 20) -> DataFrame:
+    """The columns of keep with n_tokens, ids_crc32, same_ids, round_trip (the ids decode to the text) and decoded_sha256.
+
+    A text is encoded and decoded in one pass, by one worker; neither ids nor
+    texts leave it.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+    names = [f"_{i}" for i in range(len(keep))]
+
+    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = codec(model)
+        for batch in batches:
+            for part in slices(batch, batch.num_columns - 1, chars):
+                texts = part.column(part.num_columns - 1).to_pylist()
+                got = known.encode(texts)
+                back = [known.decode(np.frombuffer(i, "<u4").tolist()) for i, _ in got]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *part.columns[:-1],
+                        pa.array([len(i) // 4 for i, _ in got], pa.int64()),
+                        pa.array([zlib.crc32(i) for i, _ in got], pa.int64()),
+                        pa.array([s for _, s in got], pa.bool_()),
+                        pa.array([x == y for x, y in zip(texts, back, strict=True)], pa.bool_()),
+                        pa.array([hashlib.sha256(x.encode()).hexdigest() for x in back], pa.string()),
+                    ],
+                    [*names, "n_tokens", "ids_crc32", "same_ids", "round_trip", "decoded_sha256"],
+                )
+
+    schema = ", ".join([*(f"{n} {kinds[c]}" for n, c in zip(names, keep)), "n_tokens bigint, ids_crc32 bigint, same_ids boolean, round_trip boolean, decoded_sha256 string"])
+    given = docs.select(*(F.col(c).alias(n) for n, c in zip(names, keep)), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return given.mapInArrow(checked, schema).withColumnsRenamed(dict(zip(names, keep)))
+
+
 def decode(rows: DataFrame, model: str = "piece_bpe_32k.model", ids: str = "ids", to: str = "text", items: int = 1 << 18) -> DataFrame:
     """The rows with their ids replaced by the text that they stand for."""
     rest = [c for c in rows.columns if c not in (ids, to)]
