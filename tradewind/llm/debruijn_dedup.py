@@ -24,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tradewind.llm.exchange import chunked, sizes, texts
-from tradewind.llm.hashing import words_of
+from tradewind.llm.hashing import WORD_REACH, word_grams, words_of
 from tradewind.llm.repeats import Plan, Sequences, find, runs
 
 
 def _sequences(table: pa.Table) -> Sequences:
     values, lengths = words_of(texts(table), lower=False)
-    return Sequences(values, lengths, np.zeros(len(lengths), np.int64))
+    return Sequences(word_grams(values), lengths, np.zeros(len(lengths), np.int64), WORD_REACH)
 
 
 def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 35, k: int = 12, with_text: bool = True) -> DataFrame:

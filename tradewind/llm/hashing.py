@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 
-_RNG = np.random.default_rng(0x5EED)
-#: A random 64-bit value for each byte, and an odd base with its inverse modulo 2 ** 64.
-BYTE_VALUES = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: An odd base with its inverse modulo 2 ** 64, and what tells the hashes of words from others.
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
+WORDS = np.uint64(0x3C6EF372FE94F82B)
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
 _POWERS: dict[int, np.ndarray] = {}
@@ -33,22 +32,62 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 class RunHashes:
-    """Hashes of runs values[a:b] of a sequence: equal runs have equal hashes, wherever they stand."""
+    """Hashes of runs of a sequence's items: equal runs have equal hashes, wherever they stand.
 
-    def __init__(self, values: np.ndarray) -> None:
-        self.sums = np.zeros(len(values) + 1, np.uint64)
+    The value at a place stands for ``reach`` items from there on; runs hold at
+    least so many.  Values that mix several items keep regular patterns of few
+    items (which a plain polynomial modulo 2 ** 64 takes for each other) apart.
+    """
+
+    def __init__(self, values: np.ndarray, reach: int = 1) -> None:
+        self.sums, self.reach = np.zeros(len(values) + 1, np.uint64), reach
         np.cumsum(values * _powers(BASE, len(values)), out=self.sums[1:])
         self.inverse = _powers(INVERSE, len(values) + 1)
 
     def of(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hashes of the runs from begin to end, whose lengths count too."""
-        h = (self.sums[end] - self.sums[begin]) * self.inverse[begin]
+        h = (self.sums[end - (self.reach - 1)] - self.sums[begin]) * self.inverse[begin]
         return mix(h + (end - begin).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
 
     def fixed(self, length: int) -> np.ndarray:
         """Hashes of all runs of one length, by begin."""
         n = len(self.sums) - length
-        return mix((self.sums[length:] - self.sums[:n]) * self.inverse[:n]) if n > 0 else np.zeros(0, np.uint64)
+        on = length - self.reach + 1
+        return mix((self.sums[on : on + n] - self.sums[:n]) * self.inverse[:n]) if n > 0 else np.zeros(0, np.uint64)
+
+
+#: Bytes that a value of byte_grams() stands for, and words of word_grams().
+BYTE_REACH, WORD_REACH = 8, 2
+
+
+def byte_grams(data: np.ndarray) -> np.ndarray:
+    """A value for each place of a byte array, which mixes the eight bytes from there on."""
+    padded = np.append(data, np.zeros(BYTE_REACH - 1, np.uint8))
+    return mix(np.ndarray((len(data),), "<u8", padded, strides=(1,)) + np.uint64(1))
+
+
+def word_grams(words: np.ndarray) -> np.ndarray:
+    """A value for each word, which mixes it with the next one."""
+    after = np.append(words[1:], np.uint64(0))
+    return mix(words * np.uint64(0x9FB21C651E98DF25) + (after ^ (after >> np.uint64(31))))
+
+
+#: Values of a byte at the first places of a word.
+_PLACES = 64
+_AT_PLACE = mix(np.arange(1, _PLACES * 256 + 1, dtype=np.uint64) + WORDS)
+
+
+def _word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of words: every byte and its place in the word give a random value, and the values are added up."""
+    first = np.zeros(len(data), np.int64)
+    first[begin] = begin
+    at = np.arange(len(data)) - np.maximum.accumulate(first)
+    which = at * 256 + data
+    values = _AT_PLACE[np.minimum(which, len(_AT_PLACE) - 1)]
+    if (far := np.flatnonzero(at >= _PLACES)).size:
+        values[far] = mix(which[far].astype(np.uint64) + np.uint64(1) + WORDS)
+    sums = np.append(np.uint64(0), np.cumsum(values))
+    return mix(sums[end] - sums[begin] + (end - begin).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
 
 
 def words_of(texts: list[bytes], lower: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -68,7 +107,7 @@ def words_of(texts: list[bytes], lower: bool) -> tuple[np.ndarray, np.ndarray]:
             begin = np.append(0, begin)
         end = np.flatnonzero(white[1:] & ~white[:-1]) + 1
         if len(begin):
-            hashes.append(RunHashes(BYTE_VALUES[data]).of(begin, end))
+            hashes.append(_word_hashes(data, begin, end))
         stops = np.cumsum([len(t) + 1 for t in texts[at:to]])
         counts.append(np.diff(np.searchsorted(begin, stops), prepend=0))
         at = to

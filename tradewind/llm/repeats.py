@@ -36,11 +36,15 @@ CLASSES, WINDOWS, SORTED = 1, 2, 3
 
 
 class Sequences(NamedTuple):
-    """A chunk's sequences: values one after another, their lengths, and each sequence's document number."""
+    """A chunk's sequences: values one after another, their lengths, and each sequence's document number.
+
+    A value stands for ``reach`` items from its place on (see RunHashes).
+    """
 
     values: np.ndarray
     lengths: np.ndarray
     numbers: np.ndarray
+    reach: int
 
 
 class Plan(NamedTuple):
@@ -70,7 +74,7 @@ class Pairs(NamedTuple):
 
 def pairs_of(plan: Plan, s: Sequences) -> Pairs:
     """Anchors of a chunk, by pair."""
-    hashes = RunHashes(s.values)
+    hashes = RunHashes(s.values, s.reach)
     a = anchors_of(s.values, s.lengths, plan.window, plan.k, hashes)
     number = s.numbers[a.owner]
     order = np.lexsort((a.place, number, a.edge, a.key))
@@ -223,7 +227,7 @@ def find(plan: Plan, chunks: DataFrame, finish: Callable[[pa.Table, Sequences, n
             (b, CLASSES, pack(p.key[i:j], KEY), pack(p.edge[i:j], EDGE), pack(p.value[i:j], plan.width)) for b, i, j in cuts(p.key, plan.buckets)
         ]
 
-    settled = stored(answer(ask(chunks, questions, ASKED), settle(plan), REPLIED), "classes").groupBy("chunk")
+    settled = stored(answer(ask(chunks, questions, ASKED), settle(plan), REPLIED), "classes")
 
     def sending(table: pa.Table, replies: pa.Table) -> pa.Table:
         s = plan.sequences(table)
@@ -248,8 +252,8 @@ def find(plan: Plan, chunks: DataFrame, finish: Callable[[pa.Table, Sequences, n
                 out += how(plan, {n: [c[i] for i in at] for n, c in columns.items()})
         return out
 
-    asked = chunks.groupBy("chunk").cogroup(settled).applyInArrow(sending, f"chunk bigint, {ASKED}")
-    replies = settled._df.unionByName(answer(asked, answered, REPLIED))
+    asked = chunks.groupBy("chunk").cogroup(settled.groupBy("chunk")).applyInArrow(sending, f"chunk bigint, {ASKED}")
+    replies = settled.unionByName(answer(asked, answered, REPLIED))
 
     def finished(table: pa.Table, replies: pa.Table) -> pa.Table:
         s = plan.sequences(table)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tradewind.llm.deep_shallow import classes, sort_suffixes
 from tradewind.llm.exchange import chunked, cuts, pack, sizes, texts, unpack
-from tradewind.llm.hashing import BYTE_VALUES
+from tradewind.llm.hashing import BYTE_REACH, byte_grams
 from tradewind.llm.repeats import KEY, SORTED, Pairs, Plan, Sequences, find, runs
 
 
@@ -105,7 +105,7 @@ def repeated_strings(
         body = texts(table)
         data = np.frombuffer(b"".join(body), np.uint8)
         numbers = [beyond if i is None else i - base for i in table["doc_id"].to_pylist()]
-        return Sequences(BYTE_VALUES[data], np.array([len(b) for b in body], np.int64), np.array(numbers, np.int64))
+        return Sequences(byte_grams(data), np.array([len(b) for b in body], np.int64), np.array(numbers, np.int64), BYTE_REACH)
 
     plan = Plan(sequences, length, k, True, (beyond.bit_length() + 7) // 8, buckets, sort_classes, SuffixSorter)
     span = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
