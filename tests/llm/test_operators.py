@@ -80,7 +80,7 @@ def test_lm_direct_formula(spark):
     ones, twos = (sum(c == k for c in one.values()) for k in (1, 2))
     d = min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones else 0.5
     for lane in (2, 512):
-        got = by_id(score(table, prior=10.0, lane=lane))
+        got = by_id(score(table, order=2, prior=(10.0,), lane=lane))
         for i, t in zip(ids, texts):
             seq, total = ["^", *(t or "").split(), "$"], 0.0
             for a, b in zip(seq, seq[1:]):

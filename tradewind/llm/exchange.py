@@ -96,6 +96,19 @@ def unpack(blobs: list[bytes], width: int) -> np.ndarray:
     return out.view("<u8").reshape(-1)
 
 
+def pack_counts(n: np.ndarray) -> bytes:
+    """Counts of any size: how many there are, a byte for each, and eight more for those of 255 and above."""
+    return np.uint32(len(n)).tobytes() + np.minimum(n, 255).astype(np.uint8).tobytes() + n[n >= 255].astype("<u8").tobytes()
+
+
+def unpack_counts(blob: bytes) -> np.ndarray:
+    """What pack_counts() made."""
+    size = int.from_bytes(blob[:4], "little")
+    n = np.frombuffer(blob, np.uint8, size, 4).astype(np.int64)
+    n[n == 255] = np.frombuffer(blob[4 + size :], "<u8").astype(np.int64)
+    return n
+
+
 def ask(chunks: DataFrame, questions: Callable[[pa.Table], list[tuple]], schema: str) -> DataFrame:
     """Rows (chunk, bucket, kind, ...) of all chunks; questions() gives the rows of one, without the chunk."""
     names = ["chunk", *(p.split()[0] for p in schema.split(","))]
@@ -129,7 +142,17 @@ def answer(asked: DataFrame, answers: Callable[[dict[str, list]], list[tuple]],
     return asked.groupBy("bucket").applyInArrow(one, schema)
 
 
+def _replies(table: pa.Table, kind: int, column: str) -> list[bytes]:
+    rows = sorted((b, v) for b, k, v in zip(*(table[c].to_pylist() for c in ("bucket", "kind", column)), strict=True) if k == kind)
+    return [v for _, v in rows]
+
+
 def answers_of(table: pa.Table, kind: int, column: str, width: int) -> np.ndarray:
     """A chunk's answers of a kind in the order of its sorted keys."""
-    rows = sorted((b, v) for b, k, v in zip(*(table[c].to_pylist() for c in ("bucket", "kind", column)), strict=True) if k == kind)
-    return unpack([v for _, v in rows], width)
+    return unpack(_replies(table, kind, column), width)
+
+
+def counts_of(table: pa.Table, kind: int, column: str) -> np.ndarray:
+    """The same for counts."""
+    blobs = _replies(table, kind, column)
+    return np.concatenate([unpack_counts(b) for b in blobs]) if blobs else np.zeros(0, np.int64)

@@ -6,21 +6,23 @@ its first word.  Words seen in training get (c - D) / N at the lowest level,
 and the mass D * V / N that the discount D = n1 / (n1 + 2 * n2) frees goes to
 the class of all other words; so all classes sum to one after every history.
 
-As an automaton: states are the n-grams up to ``order - 1`` words that stand in
-the training text, an arc reads a word that follows its state's n-gram there,
-and a failure arc leads to the state without the first word, at the weight
+The automaton is compiled from the counts: every n-gram of up to ``order - 1``
+words that stands in the training text is a state, a word that follows it there
+is an arc with the smoothed weight and the longest state it leads to, and a
+failure arc leads to the state without the first word, at the weight
 prior / (c(h) + prior).  Documents are scored in one traversal from left to
 right that carries the state, takes failure arcs until an arc for the word
 exists, and adds up the weights.  Lanes of at most ``lane`` tokens advance side
 by side; a lane begins with the state that the ``order - 1`` words before it
 lead to, which is all that a state can depend on.
 
-No task holds the model: a chunk of documents asks for the counts of its own
-distinct n-grams (see exchange.py), so what is gathered grows with the text.
+No task holds the whole automaton: a chunk of documents asks for the counts of
+its own distinct n-grams (see exchange.py) and compiles the states and arcs
+that its texts can reach, so what is gathered grows with the text.
 
 Defined results: a null or empty text is its end alone; rows may repeat and
 count each; a null id counts as training; an empty table gives no rows; with
-no training text every word is unknown.
+no training text every word is unknown; columns besides id and text aren't read.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradewind.llm.exchange import answer, answers_of, ask, chunked, cuts, pack, sizes, texts, unpack
+from tradewind.llm.exchange import answer, ask, chunked, counts_of, cuts, pack, pack_counts, sizes, texts, unpack, unpack_counts
 from tradewind.llm.hashing import mix, words_of
 from tradewind.llm.storage import stored
 
@@ -72,17 +74,26 @@ def tokens(raw: list[bytes], order: int) -> Tokens:
     return Tokens(keys, begins, counts, scored)
 
 
-def _distinct(t: Tokens, order: int, train: np.ndarray) -> list[tuple]:
-    """For each order, (sorted distinct keys, training counts, place -> key); order 1 leaves the begin out."""
+class Grams(NamedTuple):
+    """A chunk's distinct n-grams of one length."""
+
+    keys: np.ndarray  # sorted
+    train: np.ndarray  # how often each stands in the chunk's training texts
+    where: np.ndarray  # number of the n-gram that ends at each place, -1 at begins for single words
+    example: np.ndarray  # a place where it ends
+
+
+def _distinct(t: Tokens, order: int, train: np.ndarray) -> list[Grams]:
+    """By order - 1; single words leave the begin out, which longer n-grams hold as one of their own."""
     in_training = np.repeat(train, t.counts + 1)
     out = []
     for k in range(1, order + 1):
-        use = t.scored if k == 1 else np.ones(len(t.scored), bool)
-        keys, inverse = np.unique(t.keys[k - 1][use] if k == 1 else np.where(t.scored, t.keys[k - 1], BEGIN), return_inverse=True)
+        use = np.flatnonzero(t.scored) if k == 1 else np.arange(len(t.scored))
+        keys, first, inverse = np.unique(t.keys[0][use] if k == 1 else np.where(t.scored, t.keys[k - 1], BEGIN), return_index=True, return_inverse=True)
         n = np.bincount(inverse, weights=in_training[use], minlength=len(keys)).astype(np.int64)
-        where = np.full(len(use), -1)
+        where = np.full(len(t.scored), -1)
         where[use] = inverse
-        out.append((keys, n, where))
+        out.append(Grams(keys, n, where, use[first]))
     return out
 
 
@@ -92,13 +103,13 @@ def _count(columns: dict[str, list]) -> list[tuple]:
     for kind in sorted(set(columns["kind"])):
         at = [i for i, k in enumerate(columns["kind"]) if k == kind]
         keys = unpack([columns["keys"][i] for i in at], WIDTH.get(kind, LONGER))
-        n = unpack([columns["counts"][i] for i in at], 4).astype(np.int64)
+        n = np.concatenate([unpack_counts(columns["counts"][i]) for i in at])
         distinct, inverse = np.unique(keys, return_inverse=True)
         total = np.bincount(inverse, weights=n, minlength=len(distinct)).astype(np.int64)
         sizes = np.cumsum([0] + [len(columns["keys"][i]) // WIDTH.get(kind, LONGER) for i in at]).tolist()
         replies = total[inverse]
         out += [
-            (columns["chunk"][i], columns["bucket"][i], kind, pack(np.minimum(replies[a:b], 0xFFFFFFFF), 4), None, None, None, None)
+            (columns["chunk"][i], columns["bucket"][i], kind, pack_counts(replies[a:b]), None, None, None, None)
             for i, a, b in zip(at, sizes, sizes[1:])
         ]
         if kind == 1:
@@ -107,22 +118,74 @@ def _count(columns: dict[str, list]) -> list[tuple]:
 
 
 class Automaton:
-    """A chunk's part of the automaton, with the weights at each place of its tokens."""
-
-    def __init__(self, counts: list[np.ndarray], types: int, size: int, discount: float, prior: float) -> None:
-        """counts: by order - 1, the corpus-wide count of the n-gram that ends at each place."""
-        self.order, self.counts = len(counts), counts
-        known = counts[0] > 0
-        n = max(size, 1)
-        p = np.where(known, (counts[0] - discount) / n, (discount * types / n) if size else 1.0)
-        self.arc = [np.log10(p)]
-        self.fail = [np.zeros(len(p))]
-        for k in range(1, self.order):
-            before = counts[k - 1] if k > 1 else np.where(counts[0] >= 0, counts[0], counts[1])  # a begin counts training documents
-            history = np.append(0, before[:-1])
-            p = (counts[k] + prior * p) / (history + prior)
-            self.arc.append(np.log10(p))
-            self.fail.append(np.log10(prior / (history + prior)))
+    """The states and arcs that a chunk's texts can reach.
+
+    State 0 is the empty history; then come the words, the begin, and level by
+    level the longer n-grams.  Arcs of a level are sorted by state and word.
+    """
+
+    def __init__(self, grams: list[Grams], totals: list[np.ndarray], begins: np.ndarray, types: int, size: int, discount: float, priors: list[float]) -> None:
+        """totals: by order - 1, how often each n-gram stands in all training texts."""
+        self.order, order = len(grams), len(grams)
+        words = len(grams[0].keys)
+        self.words, n = words, max(size, 1)
+        # the number of the state for the n-gram that ends at each place, by length; begins are states of one word
+        first = [0, 1, *(1 + words + 1 + np.cumsum([0, *(len(g.keys) for g in grams[1:])])).tolist()]
+        at = [np.zeros(len(grams[0].where), np.int64), np.where(grams[0].where >= 0, 1 + grams[0].where, 1 + words)]
+        at += [first[k] + grams[k - 1].where for k in range(2, order)]
+        self.at, self.word = at, grams[0].where
+        in_begin = totals[1][grams[1].where[begins[:1]]] if order > 1 and len(begins) else np.zeros(1, np.int64)
+        seen = [np.zeros(1, np.int64), np.append(totals[0], in_begin), *totals[1 : order - 1]]
+        seen = np.concatenate(seen[:order]) if order > 1 else seen[0]  # of each state
+        self.fail, self.fail_weight = np.zeros(len(seen), np.int64), np.zeros(len(seen))
+        p = np.where(totals[0] > 0, (totals[0] - discount) / n, (discount * types / n) if size else 1.0)
+        self.unknown = np.log10(discount * types / n) if size else 0.0
+        known = np.flatnonzero(totals[0])
+        self.arcs = [(known, np.log10(p[known]), (1 + known) if order > 1 else np.zeros(len(known), np.int64))]
+        shorter = p  # by n-gram of the length before
+        for k in range(2, order + 1):
+            g, c, place, prior = grams[k - 1], totals[k - 1], grams[k - 1].example, priors[k - 2]
+            inner = grams[k - 2].where[place] >= 0  # all but the begin itself
+            of_history = at[k - 1][place - 1]
+            p = (c + prior * shorter[grams[k - 2].where[place]]) / (seen[of_history] + prior)
+            states = slice(first[k - 1], first[k]) if k > 2 else slice(1, 2 + words)
+            self.fail_weight[states] = np.log10(prior / (seen[states] + prior))
+            if k > 2:
+                self.fail[states] = at[k - 2][grams[k - 2].example]
+            arc = np.flatnonzero((c > 0) & inner)
+            key = of_history[arc] * (words + 1) + grams[0].where[place[arc]]
+            sort = np.argsort(key)
+            to = at[k][place[arc]] if k < order else at[order - 1][place[arc]]
+            self.arcs.append((key[sort], np.log10(p[arc])[sort], to[sort]))
+            shorter = p
+        self.level = np.zeros(len(seen), np.int64)
+        for k in range(1, order):
+            self.level[first[k] : first[k + 1]] = k
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(weight, next state) of reading a word in each state."""
+        weight, after, open_ = np.zeros(len(state)), np.zeros(len(state), np.int64), np.arange(len(state))
+        state = state.copy()
+        for k in range(self.order, 0, -1):
+            keys, weights, targets = self.arcs[k - 1]
+            here = open_[self.level[state[open_]] == k - 1]
+            if not len(here):
+                continue
+            want = state[here] * (self.words + 1) + word[here] if k > 1 else word[here]
+            place = np.minimum(np.searchsorted(keys, want), max(len(keys) - 1, 0))
+            found = keys[place] == want if len(keys) else np.zeros(len(here), bool)
+            hit, miss = here[found], here[~found]
+            weight[hit] += weights[place[found]]
+            after[hit] = targets[place[found]]
+            if k > 1:
+                weight[miss] += self.fail_weight[state[miss]]
+                state[miss] = self.fail[state[miss]]
+            else:
+                weight[miss] += self.unknown
+            keep = np.ones(len(state), bool)
+            keep[hit] = False
+            open_ = open_[keep[open_]]
+        return weight, after
 
     def traverse(self, begins: np.ndarray, counts: np.ndarray, lane: int) -> np.ndarray:
         """The log10 probability of each document."""
@@ -135,27 +198,13 @@ class Automaton:
         steps = size + warm
         rank = np.argsort(-steps, kind="stable")
         doc, at, steps, warm = doc[rank], at[rank], steps[rank], warm[rank]
-        state = np.where(warm == first[rank], min(1, self.order - 1), 0)  # at a begin, its state
+        state = np.where(warm == first[rank], 1 + self.words if self.order > 1 else 0, 0)  # at a begin, its state
         total = np.zeros(len(doc))
         on = len(doc)
         for t in range(int(steps[0]) if on else 0):
             while on and steps[on - 1] <= t:
                 on -= 1
-            place, s = at[:on] + t, state[:on].copy()
-            weight, open_ = np.zeros(on), np.ones(on, bool)
-            after = np.zeros(on, np.int64)
-            for k in range(self.order - 1, 0, -1):
-                here = open_ & (s == k)
-                found = here & (self.counts[k][place] > 0)
-                weight[found] += self.arc[k][place[found]]
-                after[found] = min(k + 1, self.order - 1)
-                open_ &= ~found
-                fails = here & ~found
-                weight[fails] += self.fail[k][place[fails]]
-                s[fails] = k - 1
-            weight[open_] += self.arc[0][place[open_]]
-            after[open_] = np.minimum(self.counts[0][place[open_]] > 0, self.order - 1)
-            state[:on] = after
+            weight, state[:on] = self.step(state[:on], self.word[at[:on] + t])
             total[:on] += np.where(t >= warm[:on], weight, 0.0)
         return np.bincount(doc, weights=total, minlength=len(counts))
 
@@ -164,13 +213,18 @@ def score(
     docs: DataFrame,
     doc_id: str = "doc_id",
     text: str = "text",
-    order: int = 2,
-    prior: float = 100.0,
+    order: int = 3,
+    prior: tuple[float, ...] = (100.0, 4.0),
     lane: int = 512,
     folds: int = 7,
     held_out_fold: int = 2,
 ) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row.
+
+    ``prior`` is the weight of the shorter history after one word, two words and
+    so on; the last one holds for all longer histories.
+    """
+    priors = [prior[min(k, len(prior) - 1)] for k in range(order - 1)]
     fold = F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(folds)), F.lit(-1))
     buckets, rows_log2 = sizes(docs, text)
     chunks = chunked(docs, doc_id, text, rows_log2, (fold == held_out_fold).alias("held_out"))
@@ -179,8 +233,8 @@ def score(
     def questions(table: pa.Table) -> list[tuple]:
         train = ~table["held_out"].to_numpy(zero_copy_only=False)
         out = []
-        for k, (keys, n, _) in enumerate(_distinct(tokens(texts(table), order), order, train), 1):
-            out += [(b, k, pack(keys[i:j], WIDTH.get(k, LONGER)), pack(n[i:j], 4)) for b, i, j in cuts(keys, buckets)]
+        for k, g in enumerate(_distinct(tokens(texts(table), order), order, train), 1):
+            out += [(b, k, pack(g.keys[i:j], WIDTH.get(k, LONGER)), pack_counts(g.train[i:j])) for b, i, j in cuts(g.keys, buckets)]
         return out
 
     asked = ask(chunks, questions, "bucket int, kind int, keys binary, counts binary")
@@ -193,14 +247,13 @@ def score(
     def scored(docs: pa.Table, counts: pa.Table) -> pa.Table:
         t = tokens(texts(docs), order)
         held = docs["held_out"].to_numpy(zero_copy_only=False)
-        at_place = []
-        for k, (keys, _, where) in enumerate(_distinct(t, order, ~held), 1):
-            got = answers_of(counts, k, "totals", 4).astype(np.int64)
-            if len(got) != len(keys):
+        grams, totals = _distinct(t, order, ~held), []
+        for k, g in enumerate(grams, 1):
+            totals.append(counts_of(counts, k, "totals"))
+            if len(totals[-1]) != len(g.keys):
                 raise RuntimeError("the input's rows changed between two reads")
-            at_place.append(np.where(where >= 0, got[where], -1))
-        model = Automaton(at_place, types, size, discount, prior)
-        c = at_place[0][t.scored]
+        model = Automaton(grams, totals, t.begins, types, size, discount, priors)
+        c = totals[0][grams[0].where[t.scored]]
         ends = np.cumsum(t.counts)
         add = lambda v: np.diff(np.append(0, np.cumsum(v))[np.append(0, ends)])
         return pa.table(

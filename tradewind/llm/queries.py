@@ -15,7 +15,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tradewind.llm.lm_scoring import score
 
-    return score(_documents(spark, sf_dir), order=2, folds=7, held_out_fold=2)
+    return score(_documents(spark, sf_dir), order=3, folds=7, held_out_fold=2)
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
