@@ -266,20 +266,20 @@ def test_verified_links(spark, text_tile):
     assert 1 < len(set(want)) < 40 and [got.get(i, i) for i in range(40)] == want
 
 
-def brute_strings(rows) -> dict:
+def brute_strings(rows, size: int = 50) -> dict:
     first: dict[bytes, int] = {}
     bodies = [(i, (t or "").encode()) for i, t, *_ in rows]
     for i, b in bodies:
-        for a in range(len(b) - 49):
-            s = b[a : a + 50]
+        for a in range(len(b) - size + 1):
+            s = b[a : a + size]
             first[s] = min(first.get(s, i), i)
     out = {}
     for i, b in bodies:
         gone = np.zeros(len(b) + 1, np.int64)
-        for a in range(len(b) - 49):
-            if first[b[a : a + 50]] < i:
+        for a in range(len(b) - size + 1):
+            if first[b[a : a + size]] < i:
                 gone[a] += 1
-                gone[a + 50 if a + 50 < len(gone) else -1] -= 1
+                gone[a + size if a + size < len(gone) else -1] -= 1
         mark = np.cumsum(gone[:-1]) > 0 if len(b) else np.zeros(0, bool)
         out[i] = len(b), int(mark.sum()), int((np.diff(mark.astype(int), prepend=0) == 1).sum()), hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~mark])).hexdigest()
     return out
@@ -296,6 +296,14 @@ def test_suffix_dedup(docs, rows, none, sort_classes):
     assert repeated_strings(none).count() == 0
 
 
+@pytest.mark.parametrize("length", [8, 30, 100, 200])
+def test_suffix_dedup_of_other_lengths(docs, rows, length):
+    from tradewind.llm.suffix_dedup import repeated_strings
+
+    got = by_id(repeated_strings(docs, length=length))
+    assert {i: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for i, r in got.items()} == brute_strings(rows, length)
+
+
 def test_deep_shallow_order():
     from tradewind.llm.deep_shallow import sort_suffixes
 
@@ -303,6 +311,12 @@ def test_deep_shallow_order():
     text = bytes(rng.integers(97, 99, 300, dtype=np.uint8)) + b"ab" * 90
     suffixes = [text[i:] for i in range(len(text))]
     group = np.arange(len(text)) % 2
+    for shallow in (8, 64):
+        for skip in (0, 3):
+            assert sort_suffixes(suffixes, group, skip, shallow)[0].tolist() == sort_suffixes(suffixes, group)[0].tolist()
+    some = [b"same" + t for t in suffixes[:200]]
+    order, _ = sort_suffixes(some, np.zeros(200, int), skip=4)
+    assert [some[i] for i in order] == sorted(some)
     order, common = sort_suffixes(suffixes, group)
     assert [(int(group[i]), suffixes[i]) for i in order] == sorted((int(g), s) for g, s in zip(group, suffixes))
     for a, b, n in zip(order, order[1:], common[1:]):

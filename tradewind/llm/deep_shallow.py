@@ -1,10 +1,13 @@
 """Deep-shallow sorting of suffixes, and the classes that equal prefixes form in their order.
 
-Shallow part: a multikey sort refines groups of equal prefixes eight bytes at a
-time down to a fixed depth.  Deep part: what still shares that prefix is
-inserted into a blind trie, which keeps only the places where suffixes branch:
-a search follows the branching bytes without looking at those between, compares
-the suffix with the one leaf that it ends at, and so learns where it belongs.
+Shallow part: multikey quicksort.  A segment of suffixes that agree up to a
+depth is split in three by a pivot, the median of three of its suffixes' next
+eight bytes: smaller ones, larger ones and equal ones, which go on eight bytes
+deeper.  All segments advance side by side down to a fixed depth.  Deep part:
+what still shares that prefix is inserted into a blind trie, which keeps only
+the places where suffixes branch: a search follows the branching bytes without
+looking at those between, compares the suffix with the one leaf that it ends
+at, and so learns where it belongs.
 """
 
 from __future__ import annotations
@@ -72,6 +75,30 @@ class BlindTrie:
         return out
 
 
+def multikey_quicksort(table: np.ndarray, order: np.ndarray, head: np.ndarray, skip: int, shallow: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a byte table in the order of ``shallow`` bytes behind the first ``skip``, within the segments that head begins.
+
+    Returns the order and the begins of the segments that are equal so far.
+    """
+    order, head, depth = order.copy(), head.copy(), np.full(len(order), skip)
+    while True:
+        size = np.diff(np.append(np.flatnonzero(head), len(head)))
+        at = np.flatnonzero((np.repeat(size, size) > 1) & (depth < skip + shallow))
+        if not len(at):
+            return order, head
+        word = np.ascontiguousarray(table[order[at][:, None], depth[at][:, None] + np.arange(8)]).view(">u8").reshape(-1).astype(np.uint64)
+        first = np.flatnonzero(head[at])
+        last = np.append(first[1:], len(at)) - 1
+        three = np.sort(np.column_stack((word[first], word[(first + last) // 2], word[last])), axis=1)
+        segment = np.cumsum(head[at]) - 1
+        pivot = three[segment, 1]
+        side = (word > pivot).astype(np.int8) - (word < pivot)
+        to = np.lexsort((side, segment))
+        order[at], side = order[at][to], side[to]
+        depth[at] += 8 * (side == 0)
+        head[at[1:]] |= (side[1:] != side[:-1]) & (segment[1:] == segment[:-1])
+
+
 def sort_suffixes(suffixes: list[bytes], group: np.ndarray, skip: int = 0, shallow: int = 16) -> tuple[np.ndarray, np.ndarray]:
     """The order by group and suffix, and each one's common prefix with the one before (-1 at a group's first).
 
@@ -84,27 +111,17 @@ def sort_suffixes(suffixes: list[bytes], group: np.ndarray, skip: int = 0, shall
     width = max(8, int(length.max()), skip + shallow)
     table = np.frombuffer(b"".join([s.ljust(width, b"\0") for s in suffixes]), np.uint8).reshape(n, width)
     order = np.argsort(group, kind="stable")
-    segment = np.cumsum(np.append(False, group[order][1:] != group[order][:-1]))
-    open_ = _shared(segment)
-    for depth in range(skip, skip + shallow, 8):
-        at = np.flatnonzero(open_)
-        if not len(at):
-            break
-        word = np.ascontiguousarray(table[order[at], depth : depth + 8]).view(">u8").reshape(-1).astype(np.uint64)
-        to = np.lexsort((word, segment[at]))
-        order[at] = order[at][to]
-        word = word[to]
-        change = np.zeros(n, bool)
-        change[at[1:]] = (word[1:] != word[:-1]) & (segment[at][1:] == segment[at][:-1])
-        segment = np.cumsum(np.append(False, segment[1:] != segment[:-1]) | change)
-        open_ = _shared(segment)
-    at = np.flatnonzero(open_)
-    if len(at):
-        for some in np.split(at, np.flatnonzero(np.diff(segment[at])) + 1):
-            trie = BlindTrie([suffixes[i][skip:] for i in order[some]])
-            for i in range(len(some)):
+    head = np.append(True, group[order][1:] != group[order][:-1])
+    if skip and not ((table[order[1:], :skip] == table[order[:-1], :skip]).all(axis=1) | head[1:]).all():
+        skip = 0  # the group's key was one hash of two beginnings
+    order, head = multikey_quicksort(table, order, head, skip, shallow)
+    at = np.append(np.flatnonzero(head), n)
+    for a, b in zip(at.tolist(), at[1:].tolist()):
+        if b - a > 1:
+            trie = BlindTrie([suffixes[i][skip:] for i in order[a:b]])
+            for i in range(b - a):
                 trie.insert(i)
-            order[some] = order[some][trie.ordered()]
+            order[a:b] = order[a:b][trie.ordered()]
     rows, size = table[order], length[order]
     differ = rows[1:] != rows[:-1]
     common = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
@@ -113,12 +130,6 @@ def sort_suffixes(suffixes: list[bytes], group: np.ndarray, skip: int = 0, shall
     return order, np.append(-1, common)
 
 
-def _shared(segment: np.ndarray) -> np.ndarray:
-    """Rows whose segment holds another row."""
-    same = segment[1:] == segment[:-1]
-    return np.append(same, False) | np.append(False, same)
-
-
 def classes(order: np.ndarray, common: np.ndarray, depth: int) -> np.ndarray:
     """A class number for each suffix: equal for those with equal prefixes of a depth (of those that long)."""
     out = np.empty(len(order), np.int64)

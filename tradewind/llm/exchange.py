@@ -142,17 +142,18 @@ def answer(asked: DataFrame, answers: Callable[[dict[str, list]], list[tuple]],
     return asked.groupBy("bucket").applyInArrow(one, schema)
 
 
-def _replies(table: pa.Table, kind: int, column: str) -> list[bytes]:
+def replies_of(table: pa.Table, kind: int, column: str) -> list[bytes]:
+    """A chunk's answers of a kind, bucket by bucket."""
     rows = sorted((b, v) for b, k, v in zip(*(table[c].to_pylist() for c in ("bucket", "kind", column)), strict=True) if k == kind)
     return [v for _, v in rows]
 
 
 def answers_of(table: pa.Table, kind: int, column: str, width: int) -> np.ndarray:
     """A chunk's answers of a kind in the order of its sorted keys."""
-    return unpack(_replies(table, kind, column), width)
+    return unpack(replies_of(table, kind, column), width)
 
 
 def counts_of(table: pa.Table, kind: int, column: str) -> np.ndarray:
     """The same for counts."""
-    blobs = _replies(table, kind, column)
+    blobs = replies_of(table, kind, column)
     return np.concatenate([unpack_counts(b) for b in blobs]) if blobs else np.zeros(0, np.int64)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tradewind.llm.anchors import Anchors, anchors_of
-from tradewind.llm.exchange import answer, answers_of, ask, cuts, pack, unpack
+from tradewind.llm.exchange import answer, answers_of, ask, cuts, pack, replies_of, unpack
 from tradewind.llm.hashing import RunHashes
 from tradewind.llm.storage import stored
 
@@ -59,6 +59,11 @@ class Plan(NamedTuple):
     sort_classes: int = 0  # k-mers with no more classes than this send text that is sorted, others hashes
     sorter: Callable | None = None
 
+    @property
+    def mask_bytes(self) -> int:
+        """Bytes of the marks of a sorted anchor's windows, one bit for each."""
+        return (self.window - self.k + 8) // 8
+
 
 class Pairs(NamedTuple):
     """A chunk's distinct (k-mer, edge class) pairs in the order of their keys."""
@@ -187,11 +192,11 @@ def marks(plan: Plan, s: Sequences, replies: pa.Table) -> np.ndarray:
     found = [(sent.owner[yes], sent.begin[yes])]
     if plan.sorter:
         chosen = p.example[((code & SENDS) > 0) & ((code & BY_HASH) == 0)]
-        masks = answers_of(replies, SORTED, "codes", 8)
+        masks = np.frombuffer(b"".join(replies_of(replies, SORTED, "codes")), np.uint8).reshape(-1, plan.mask_bytes)
         if len(masks) != len(chosen):
             raise RuntimeError("the input's rows changed between two reads")
         for bit in range(plan.window - plan.k + 1):
-            on = (masks >> np.uint64(bit) & np.uint64(1)) > 0
+            on = masks[:, bit >> 3] >> (bit & 7) & 1 > 0
             found.append((chosen[on], a.place[chosen[on]] - bit))
     # every occurrence of a representative's pair in the same document repeats like it
     owner, at = (np.concatenate(c) for c in zip(*found, strict=True))

@@ -65,9 +65,9 @@ class SuffixSorter:
             before.append(head[:, 0])
             after.append(head[:, 1] - head[:, 0])
         before, after = np.concatenate(before), np.concatenate(after)
-        # the k-mer itself is equal for all of a key, but for hash collisions, which a full compare tells apart
-        from_anchor, before_anchor = sort_suffixes(right, key), sort_suffixes(left, key)
-        masks = np.zeros(len(key), np.uint64)
+        # the k-mer itself is equal for all of a key; should hashes collide, a full compare tells them apart
+        from_anchor, before_anchor = sort_suffixes(right, key, skip=plan.k), sort_suffixes(left, key)
+        masks = np.zeros((len(key), plan.mask_bytes), np.uint8)
         for offset in range(plan.window - plan.k + 1):
             here = np.flatnonzero((before >= offset) & (after >= plan.window - offset))
             if not len(here):
@@ -76,9 +76,9 @@ class SuffixSorter:
             _, which = np.unique(both, return_inverse=True)
             least = np.full(int(which.max()) + 1, np.iinfo(np.int64).max)
             np.minimum.at(least, which, number[here])
-            masks[here[number[here] > least[which]]] |= np.uint64(1 << offset)
+            masks[here[number[here] > least[which]], offset >> 3] |= 1 << (offset & 7)
         at = np.cumsum([0] + [len(x) // KEY for x in columns["keys"]]).tolist()
-        return [(c, b, SORTED, pack(masks[i:j], 8)) for c, b, i, j in zip(columns["chunk"], columns["bucket"], at, at[1:])]
+        return [(c, b, SORTED, masks[i:j].tobytes()) for c, b, i, j in zip(columns["chunk"], columns["bucket"], at, at[1:])]
 
 
 def repeated_strings(
@@ -93,8 +93,12 @@ def repeated_strings(
 ) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, spans (begin, end in bytes), kept_sha256 and, with_text, clean_text.
 
-    The columns of keep pass through.
+    The columns of keep pass through.  ``length`` is at least 8 bytes, and ``k``,
+    the bytes of an anchor, at most ``length``.
     """
+    k = min(k, length)
+    if k < BYTE_REACH:
+        raise ValueError(f"strings and anchors take {BYTE_REACH} bytes or more")
     names = [f"kept_{i}" for i in range(len(keep))]
     kind = docs.schema[doc_id].dataType.simpleString()
     least, most = docs.agg(F.min(doc_id).cast("bigint"), F.max(doc_id).cast("bigint")).first()
