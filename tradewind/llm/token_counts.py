@@ -13,9 +13,11 @@ A chunk of text acts on the automaton as a map from the state before it to the
 state and count after it.  As every piece ends before white space that follows
 another character, a chunk with such a place maps all states to one: the map is
 the text before its first such place, the tokens between, and the text behind
-its last.  A chunk without one is its text.  These maps compose associatively,
-so texts above ``long_chars`` characters are cut into chunks that any executor
-can count, and the maps are composed pairwise, level by level.
+its last.  A chunk without one is its text.  These maps compose associatively:
+a text is cut into chunks, each chunk's map is made by itself, and the maps are
+composed pairwise, level by level, so that no more than two of them are joined
+at a time.  A row lies in one task, so its chunks are counted there; other rows
+go on in other tasks, and nothing is shuffled.
 
 Defined results: a null text counts as empty (0 bytes, 0 tokens); rows may
 repeat; special strings are one token each, as the library does by default.
@@ -147,6 +149,12 @@ class TokenCounter:
             return x[0], x[1], x[2] + y[0]
         return x[0], x[1] + self.count(x[2] + y[0]) + y[1], y[2]
 
+    def in_chunks(self, text: str, chars: int) -> int:
+        """Tokens of a text by its chunks' maps; a text of one chunk is counted as it is."""
+        if len(text) <= chars:
+            return self.count(text)
+        return self.scan([self.state_map(text[at : at + chars]) for at in range(0, len(text), chars)])
+
     def scan(self, maps: list[tuple]) -> int:
         """Tokens of the whole text: neighbours are composed, level by level."""
         while len(maps) > 1:
@@ -171,49 +179,17 @@ def count_tokens(
     tokenizer: str = "byte_bpe_50k.json",
     doc_id: str = "doc_id",
     text: str = "text",
-    long_chars: int = 1 << 20,
-    chunk_chars: int = 1 << 18,
+    chunk_chars: int = 1 << 14,
 ) -> DataFrame:
     """(doc_id, n_bytes, n_tokens) for every row; columns other than the id and the text aren't read."""
     body = F.coalesce(F.col(text), F.lit(""))
     texts = docs.select(F.col(doc_id).alias("doc_id"), body.alias("text"), F.octet_length(body).cast("bigint").alias("n_bytes"))
     kind = docs.schema[doc_id].dataType.simpleString()
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(tokenizer).count
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = counter(tokenizer)
         for batch in batches:
-            n = [count(t) for (t,) in rows(iter((batch,)), "text")]
+            n = [known.in_chunks(t, chunk_chars) for (t,) in rows(iter((batch,)), "text")]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
-    def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = counter(tokenizer).state_map
-        for batch in batches:
-            got = [at(c) for (c,) in rows(iter((batch,)), "chunk")]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:4], *(pa.array([g[k] for g in got], t) for k, t in enumerate((pa.string(), pa.int64(), pa.string())))],
-                ["rid", "doc_id", "n_bytes", "place", "head", "between", "tail"],
-            )
-
-    def composed(table: pa.Table) -> pa.Table:
-        table = table.sort_by("place")
-        found = list(zip(*(table.column(c).to_pylist() for c in ("head", "between", "tail")), strict=True))
-        n = counter(tokenizer).scan(found)
-        return table.slice(0, 1).select(["doc_id", "n_bytes"]).append_column("n_tokens", pa.array([n], pa.int64()))
-
-    out = f"doc_id {kind}, n_bytes bigint, n_tokens bigint"
-    short = texts.where(F.length("text") <= long_chars).mapInArrow(whole, out)
-    chunks = (
-        texts.where(F.length("text") > long_chars)
-        .withColumn("rid", F.monotonically_increasing_id())
-        .select(
-            "rid", "doc_id", "n_bytes",
-            F.posexplode(F.expr(f"transform(sequence(0, (length(text) - 1) div {chunk_chars}), i -> substring(text, cast(i * {chunk_chars} + 1 as int), {chunk_chars}))")).alias("place", "chunk"),
-        )
-        .repartition("rid", "place")
-    )
-    long = (
-        chunks.mapInArrow(maps, f"rid bigint, doc_id {kind}, n_bytes bigint, place int, head string, between bigint, tail string")
-        .groupBy("rid")
-        .applyInArrow(composed, out)
-    )
-    return short.unionByName(long)
+    return texts.mapInArrow(counted, f"doc_id {kind}, n_bytes bigint, n_tokens bigint")
