@@ -51,6 +51,8 @@ from tradewind.llm.hashing import RunHashes, mix, words_of
 from tradewind.llm.storage import partitions, stored
 
 BITS = 64
+#: About as many dealt fingerprints (as a power of two) lie in one task, whatever the table's size.
+ROWS_LOG2 = 19
 
 
 def fingerprint(text: bytes, shingle: int, seed: int = 42) -> int:
@@ -288,7 +290,8 @@ def near_duplicates(
     """(doc_id, fingerprint, component_id) of every row."""
     prints = stored(fingerprints(docs, doc_id, text, shingle).withColumnRenamed("fp", "node"), "fingerprints")
     masks = [[m] for m in block_masks(radius, blocks)]
-    found = _grouped(prints, ["node"], masks, radius, tile, partitions(docs.sparkSession))
+    tasks = max(partitions(docs.sparkSession), prints.count() * len(masks) >> ROWS_LOG2)
+    found = _grouped(prints, ["node"], masks, radius, tile, tasks)
     return found.select("doc_id", F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -396,7 +399,7 @@ def similar_rows(
     given = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"), F.struct(F.lit(0), *keep).alias("kept"))
     # numbered once, as they are written
     prints = stored(wide_fingerprints(given, bits, shingle).withColumn("row", F.monotonically_increasing_id()), "fingerprints")
-    tasks = max(partitions(docs.sparkSession), prints.count() * choices >> 19)
+    tasks = max(partitions(docs.sparkSession), prints.count() * choices >> ROWS_LOG2)
     first = F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "row")).alias("first")
     classes = stored(prints.groupBy("node", *words).agg(first), "sets")
     near = connected_components(near_links(classes.select("node", *words), words, sampled_masks(bits, sampled, choices), radius, tile, tasks, one_in=64))
