@@ -133,8 +133,8 @@ def test_token_counts(docs, rows, none):
     from tradewind.llm.token_counts import count_tokens
 
     there = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    for long_chars, chunk in ((1 << 20, 1 << 18), (50, 17)):
-        got = by_id(count_tokens(docs, long_chars=long_chars, chunk_chars=chunk))
+    for chunk in (1 << 14, 17, 3):
+        got = by_id(count_tokens(docs, chunk_chars=chunk))
         for i, t, *_ in rows:
             assert (got[i].n_bytes, got[i].n_tokens) == (len((t or "").encode()), len(there.encode(t or "", add_special_tokens=False).ids)), (i, chunk)
     assert count_tokens(none).count() == 0
@@ -370,6 +370,20 @@ def test_embedding_dedup(spark, sf_dir):
     assert near_vectors(table.limit(0)).count() == 0
 
 
+def test_embedding_precision_ties_and_repeated_rows(spark):
+    """Doubles beyond single precision, tiny and huge ones, copies of rows, equal ids, and a cosine of exactly the limit."""
+    from tradewind.llm.embedding_dedup import near_vectors
+
+    one = [1e300, 1e300, 0.0, 0.0]
+    close = [1.0, 1e-10, 0.0, 0.0]
+    given = [(1, one), (2, one), (3, [1e-300, 1e-300, 0.0, 0.0]), (4, close), (5, [1.0, 0.0, 0.0, 0.0]), (6, [0.0, 0.0, 3.0, 4.0]), (6, [0.0, 0.0, 3.0, 4.0]), (7, [0.0, 0.0, 1.0, 0.0])]
+    table = spark.createDataFrame(given, "vec_id bigint, embedding array<double>")
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in near_vectors(table, cosine=0.6).collect())
+    # every pair of the first five has cosine 1 or 0.707, and 3 / 5 is the limit itself
+    assert got == [(1, 4, 1, True), (2, 4, 1, False), (3, 4, 1, False), (4, 4, 1, False), (5, 4, 1, False), (6, 2, 6, True), (6, 2, 6, True), (7, 2, 6, False)]
+    assert [r.n_links for r in near_vectors(table, cosine=0.8).orderBy("vec_id").collect()] == [2, 2, 2, 1, 1, 1, 1, 0]
+
+
 def test_quality_rules(docs, rows, none):
     from tradewind.llm.quality_rules import quality
 
