@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tradewind.plans import latest, people, prices
+from tradewind.plans import latest, market, people, prices, registered  # noqa: F401
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**latest.QUERIES, **prices.QUERIES, **people.QUERIES}
-ORACLES: dict[str, str] = {**latest.ORACLES, **prices.ORACLES, **people.ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**latest.QUERIES, **prices.QUERIES, **people.QUERIES, **registered.QUERIES}
+ORACLES: dict[str, str] = {**latest.ORACLES, **prices.ORACLES, **people.ORACLES, **registered.ORACLES}
