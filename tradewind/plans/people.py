@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tradewind.sinks.merge import last_of_batch, upserted
 from tradewind.sources.tables import table
 
 _VALUE = "CAST(round(value * 100) AS BIGINT)"
@@ -34,21 +35,6 @@ def running_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", "user_id", F.coalesce(F.sum(F.expr(_VALUE)).over(before), F.lit(0)).alias("cents_before"))
 
 
-def chain_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PX5, WN5, AG13: equal-weight index of daily returns per event type, chained from 100.
-
-    A user's return counts where the day before has a value too, and is held
-    between a half and two.
-    """
-    day = F.to_date("ts").alias("day")
-    daily = table(spark, sf_dir, "events").groupBy("event_type", "user_id", day).agg(F.expr(f"sum({_VALUE})").alias("v")).where("v > 0")
-    series = W.partitionBy("event_type", "user_id").orderBy("day")
-    moved = daily.withColumns({"before": F.lag("v").over(series), "gap": F.datediff("day", F.lag("day").over(series))}).where("gap = 1")
-    step = moved.groupBy("event_type", "day").agg(F.avg(F.expr("greatest(0.5D, least(2.0D, v / before))")).alias("step"), F.count("*").alias("n"))
-    chained = F.exp(F.sum(F.log("step")).over(W.partitionBy("event_type").orderBy("day"))) * 100
-    return step.select("event_type", "day", "n", F.round(chained, 3).alias("level"))
-
-
 def grouping_grains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG11: order counts by nation, segment, both and overall, in one scan."""
     joined = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
@@ -105,16 +91,16 @@ def part_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SNK1: orders as a batch with repeated keys over a stored table of customers' newest orders; the batch wins."""
+    """SNK1: orders before a day as the stored table of customers' orders, those from it on as a batch with repeated keys; the batch wins."""
     orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.to_date("o_orderdate").alias("day"))
-    newest = lambda rows: rows.groupBy("o_custkey").agg(F.max(F.struct("day", "o_orderkey")).alias("m")).select("o_custkey", "m.o_orderkey", "m.day")
-    held, batch = newest(orders.where("o_orderkey % 3 = 0")), newest(orders.where("o_orderkey % 3 = 1"))
-    return held.join(batch, "o_custkey", "left_anti").unionByName(batch)
+    early, late = (orders.where(f"day {op} DATE '1998-05-01'") for op in ("<", ">="))
+    held = last_of_batch(early, ["o_custkey"], ["day", "o_orderkey"])
+    return upserted(held, late, ["o_custkey"], ["day", "o_orderkey"])
 
 
 QUERIES = {
     f.__name__: f
-    for f in (leaderboard, sessions, running_points, chain_index, grouping_grains, medians, density_fill, nearby, source_precedence, without_orders, part_kinds, upsert)
+    for f in (leaderboard, sessions, running_points, grouping_grains, medians, density_fill, nearby, source_precedence, without_orders, part_kinds, upsert)
 }
 ORACLES = {
     "leaderboard": """WITH s AS (SELECT o_custkey AS c_custkey, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents, count(*) AS n_orders FROM orders GROUP BY ALL)
@@ -123,10 +109,6 @@ ORACLES = {
   n AS (SELECT *, CAST(sum(CAST(fresh AS INT)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS session FROM m)
   SELECT user_id, session, min(ts) AS began, max(ts) AS ended, count(*) AS n_events, CAST(sum({_VALUE}) AS BIGINT) AS cents FROM n GROUP BY ALL""",
     "running_points": f"""SELECT event_id, user_id, CAST(coalesce(sum({_VALUE}) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS cents_before FROM events""",
-    "chain_index": f"""WITH d AS (SELECT event_type, user_id, CAST(ts AS DATE) AS day, CAST(sum({_VALUE}) AS BIGINT) AS v FROM events GROUP BY ALL HAVING sum({_VALUE}) > 0),
-  m AS (SELECT *, lag(v) OVER w AS before, day - lag(day) OVER w AS gap FROM d WINDOW w AS (PARTITION BY event_type, user_id ORDER BY day)),
-  s AS (SELECT event_type, day, avg(greatest(0.5, least(2.0, CAST(v AS DOUBLE) / before))) AS step, count(*) AS n FROM m WHERE gap = 1 GROUP BY ALL)
-  SELECT event_type, day, n, round(exp(sum(ln(step)) OVER (PARTITION BY event_type ORDER BY day)) * 100, 3) AS level FROM s""",
     "grouping_grains": """SELECT c_nationkey, c_mktsegment, CAST(grouping_id(c_nationkey, c_mktsegment) AS INTEGER) AS grain, count(*) AS n_orders, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents
   FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY GROUPING SETS ((c_nationkey, c_mktsegment), (c_nationkey), (c_mktsegment), ())""",
     "medians": """WITH t AS (SELECT o_orderpriority, quantile_cont(CAST(round(o_totalprice * 100) AS BIGINT), 0.5) AS all_median,
@@ -143,6 +125,6 @@ ORACLES = {
     "without_orders": """SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O')""",
     "part_kinds": """SELECT p_partkey, CASE WHEN regexp_matches(p_name, '^(cold|hot) ') THEN 'weather' WHEN regexp_matches(p_name, '(gear|widget)$') THEN 'machine'
   WHEN regexp_matches(p_type, '(?i)economy') THEN 'cheap' ELSE 'none' END AS kind FROM part""",
-    "upsert": """WITH o AS (SELECT o_custkey, o_orderkey, CAST(o_orderdate AS DATE) AS day, o_orderkey % 3 AS part FROM orders WHERE o_orderkey % 3 < 2),
-  n AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY part DESC, day DESC, o_orderkey DESC) AS rn FROM o) SELECT o_custkey, o_orderkey, day FROM n WHERE rn = 1""",
+    "upsert": """SELECT o_custkey, o_orderkey, day FROM (SELECT o_custkey, o_orderkey, CAST(o_orderdate AS DATE) AS day,
+  row_number() OVER (PARTITION BY o_custkey ORDER BY CAST(o_orderdate AS DATE) >= DATE '1998-05-01' DESC, CAST(o_orderdate AS DATE) DESC, o_orderkey DESC) AS rn FROM orders) WHERE rn = 1""",
 }

@@ -14,8 +14,6 @@ from tradewind.plans.latest import DAILY
 from tradewind.sources.tables import daily_prices, table
 
 SERIES = ["product_id", "printing"]
-#: Windows of the movers, in days.
-MOVES = (7, 30, 90, 180, 365)
 
 
 def cents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,17 +43,6 @@ def rarity_avg_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def price_movers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PX4, JN6: newest price against the newest one at least N days older, all windows in one aggregate."""
-    rows = cents(spark, sf_dir).where("market IS NOT NULL")
-    last = W.partitionBy(*SERIES)
-    dated = rows.withColumn("last_date", F.max("price_date").over(last))
-    base = [F.expr(f"max_by(market, price_date) FILTER (WHERE price_date <= date_sub(last_date, {n}))").alias(f"base_{n}") for n in MOVES]
-    moved = dated.groupBy(*SERIES).agg(F.max("last_date").alias("last_date"), F.expr("max_by(market, price_date)").alias("market"), *base)
-    pct = [F.expr(f"CASE WHEN base_{n} > 0 THEN (market - base_{n}) * 100.0D / base_{n} END").alias(f"pct_{n}") for n in MOVES]
-    return moved.select(*SERIES, "last_date", "market", *pct)
-
-
 def prices_before(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PX8, JN5: newest market price strictly before a date, of every series."""
     before = cents(spark, sf_dir).where("market IS NOT NULL AND price_date < DATE '1996-01-01'")
@@ -78,14 +65,6 @@ def rolling_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.select("brand", "price_date", "low", F.expr("(s[cast((size(s) - 1) div 2 as int)] + s[cast(size(s) div 2 as int)]) / 2.0D").alias("median_low"))
 
 
-def outlier_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AG18, PX21: rows above six times, or under a sixth of, their series' median of five prices or more."""
-    rows = cents(spark, sf_dir).where("market > 0")
-    middle = rows.groupBy(*SERIES).agg(F.count("*").alias("n"), F.expr("median(market)").alias("middle")).where("n >= 5")
-    flagged = (F.col("market") > 6 * F.col("middle")) | (6 * F.col("market") < F.col("middle"))
-    return rows.join(middle, SERIES).select(*SERIES, "price_date", "market", "middle", flagged.alias("flagged"))
-
-
 def sales_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PX20, AG10: per series the number of sales, their range, and the mean of the last five."""
     newest = W.partitionBy(*SERIES).orderBy(F.desc("price_date"))
@@ -103,27 +82,6 @@ def moving_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(*SERIES, "price_date", (F.sum("market").over(five) / F.count("market").over(five)).alias("avg_5"))
 
 
-def price_standing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PX12, WN16: share of the window's prices at or under the newest; the shortest window with three prices decides."""
-    dated = cents(spark, sf_dir).where("market IS NOT NULL").withColumn("last_date", F.max("price_date").over(W.partitionBy(*SERIES)))
-    now = dated.withColumn("now", F.max(F.when(F.col("price_date") == F.col("last_date"), F.col("market"))).over(W.partitionBy(*SERIES)))
-    parts = []
-    for n in (90, 180, 365):
-        near = f"price_date > date_sub(last_date, {n})"
-        parts += [F.expr(f"count_if({near})").alias(f"n_{n}"), F.expr(f"count_if({near} AND market <= now)").alias(f"u_{n}")]
-    counted = now.groupBy(*SERIES).agg(*parts)
-    chosen = F.expr("CASE WHEN n_90 >= 3 THEN 90 WHEN n_180 >= 3 THEN 180 WHEN n_365 >= 3 THEN 365 END")
-    share = F.expr("CASE WHEN n_90 >= 3 THEN u_90 * 100.0D / n_90 WHEN n_180 >= 3 THEN u_180 * 100.0D / n_180 WHEN n_365 >= 3 THEN u_365 * 100.0D / n_365 END")
-    return counted.select(*SERIES, chosen.cast("int").alias("days"), share.alias("standing"))
-
-
-def top_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SR7, PX14: the ten largest yearly moves of each printing."""
-    by_size = W.partitionBy("printing").orderBy(F.desc(F.abs("pct_365")), "product_id")
-    ranked = price_movers(spark, sf_dir).where("pct_365 IS NOT NULL").withColumn("place", F.row_number().over(by_size))
-    return ranked.where("place <= 10").select("printing", "place", "product_id", "pct_365")
-
-
 def duplicate_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PX26: share of a series' prices that equal the one before, by month; missing prices are equal."""
     series = W.partitionBy(*SERIES).orderBy("price_date")
@@ -133,21 +91,15 @@ def duplicate_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _BY = "product_id, printing"
-_MOVERS = f"""dated AS (SELECT *, max(price_date) OVER (PARTITION BY {_BY}) AS last_date FROM cents WHERE market IS NOT NULL),
-moved AS (SELECT {_BY}, max(last_date) AS last_date, max_by(market, price_date) AS market,
-  {", ".join(f"max_by(market, price_date) FILTER (WHERE price_date <= last_date - {n}) AS base_{n}" for n in MOVES)} FROM dated GROUP BY ALL),
-movers AS (SELECT {_BY}, last_date, market, {", ".join(f"CASE WHEN base_{n} > 0 THEN CAST((market - base_{n}) * 100 AS DOUBLE) / base_{n} END AS pct_{n}" for n in MOVES)} FROM moved)"""
-
 QUERIES = {
     f.__name__: f
-    for f in (rarity_avg_daily, price_movers, prices_before, low_last_changed, rolling_median, outlier_guard, sales_rollup, moving_average, price_standing, top_moves, duplicate_snapshots)
+    for f in (rarity_avg_daily, prices_before, low_last_changed, rolling_median, sales_rollup, moving_average, duplicate_snapshots)
 }
 ORACLES = {
     "rarity_avg_daily": f"""WITH {CENTS} SELECT p_brand AS brand, printing, price_date, count(*) AS n_rows,
   CAST(sum(market) AS DOUBLE) / nullif(count(market), 0) AS avg_market,
   CAST(sum(CASE WHEN market < 10000 THEN 0 ELSE market END) AS DOUBLE) / nullif(count(market), 0) AS avg_floored
   FROM cents JOIN part ON p_partkey = product_id GROUP BY ALL""",
-    "price_movers": f"WITH {CENTS}, {_MOVERS} SELECT * FROM movers",
     "prices_before": f"""WITH {CENTS} SELECT {_BY}, max(price_date) AS price_date, max_by(market, price_date) AS market
   FROM cents WHERE market IS NOT NULL AND price_date < DATE '1996-01-01' GROUP BY ALL""",
     "low_last_changed": f"""WITH {CENTS}, c AS (SELECT *, low IS DISTINCT FROM lag(low) OVER (PARTITION BY {_BY} ORDER BY price_date) AS changed FROM cents)
@@ -156,20 +108,11 @@ ORACLES = {
   w AS (SELECT *, median(low) OVER m AS median_low, count(low) OVER m AS n FROM d
         WINDOW m AS (PARTITION BY brand ORDER BY price_date - DATE '1970-01-01' RANGE BETWEEN 30 PRECEDING AND 1 PRECEDING))
   SELECT brand, price_date, low, CAST(median_low AS DOUBLE) AS median_low FROM w WHERE n >= 15""",
-    "outlier_guard": f"""WITH {CENTS}, m AS (SELECT {_BY}, median(market) AS middle FROM cents WHERE market > 0 GROUP BY ALL HAVING count(*) >= 5)
-  SELECT c.product_id, c.printing, price_date, market, CAST(middle AS DOUBLE) AS middle, market > 6 * middle OR 6 * market < middle AS flagged
-  FROM cents c JOIN m ON m.product_id = c.product_id AND m.printing = c.printing WHERE market > 0""",
     "sales_rollup": f"""WITH {CENTS}, r AS (SELECT *, row_number() OVER (PARTITION BY {_BY} ORDER BY price_date DESC) AS rn FROM cents WHERE market IS NOT NULL)
   SELECT {_BY}, count(*) AS n_sales, min(market) AS least, max(market) AS most,
   CAST(sum(market) FILTER (WHERE rn <= 5) AS DOUBLE) / count(*) FILTER (WHERE rn <= 5) AS avg_last_5, max(price_date) AS last_date FROM r GROUP BY ALL""",
     "moving_average": f"""WITH {CENTS} SELECT {_BY}, price_date, CAST(sum(market) OVER w AS DOUBLE) / count(market) OVER w AS avg_5 FROM cents WHERE market IS NOT NULL
   WINDOW w AS (PARTITION BY {_BY} ORDER BY price_date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)""",
-    "price_standing": f"""WITH {CENTS}, {_MOVERS}, j AS (SELECT d.*, m.market AS now FROM dated d JOIN movers m USING ({_BY})),
-  n AS (SELECT {_BY}, {", ".join(f"count(*) FILTER (WHERE price_date > last_date - {k}) AS n_{k}, count(*) FILTER (WHERE price_date > last_date - {k} AND market <= now) AS u_{k}" for k in (90, 180, 365))} FROM j GROUP BY ALL)
-  SELECT {_BY}, CAST(CASE {" ".join(f"WHEN n_{k} >= 3 THEN {k}" for k in (90, 180, 365))} END AS INTEGER) AS days,
-  CASE {" ".join(f"WHEN n_{k} >= 3 THEN CAST(u_{k} * 100 AS DOUBLE) / n_{k}" for k in (90, 180, 365))} END AS standing FROM n""",
-    "top_moves": f"""WITH {CENTS}, {_MOVERS}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY printing ORDER BY abs(pct_365) DESC, product_id) AS INTEGER) AS place
-  FROM movers WHERE pct_365 IS NOT NULL) SELECT printing, place, product_id, pct_365 FROM r WHERE place <= 10""",
     "duplicate_snapshots": f"""WITH {CENTS}, r AS (SELECT *, row_number() OVER w AS rn, market IS NOT DISTINCT FROM lag(market) OVER w AS same FROM cents
   WINDOW w AS (PARTITION BY {_BY} ORDER BY price_date))
   SELECT CAST(date_trunc('month', price_date) AS DATE) AS month, count(*) AS n_rows, CAST(count(*) FILTER (WHERE same) AS BIGINT) AS n_same FROM r WHERE rn > 1 GROUP BY ALL""",

@@ -34,6 +34,7 @@ VIEWS = {
         CASE WHEN day(price_date) % 10 <> 3 THEN CAST(floor(CAST(sum(unit) AS DOUBLE) / count(unit)) AS BIGINT) END AS market FROM {units} GROUP BY product_id, printing, price_date""",
     "set_prices": """SELECT s.set_no AS product_id, p.printing, p.price_date, min(p.low) AS low, CAST(floor(CAST(sum(p.market) AS DOUBLE) / count(p.market)) AS BIGINT) AS market
         FROM {prices} p JOIN {cards} c ON c.product_id = p.product_id JOIN {sets} s ON s.set_id = c.set_id GROUP BY s.set_no, p.printing, p.price_date""",
+    "set_days": """SELECT product_id, 'All' AS printing, price_date, min(low) AS low, min(market) AS market FROM {set_prices} GROUP BY product_id, price_date""",
     "ticks": """SELECT user_id AS product_id, event_type AS printing, CAST(ts AS DATE) AS price_date, min(CAST(round(value * 100) AS BIGINT)) AS low,
         CASE WHEN count(*) % 4 <> 3 THEN CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) END AS market FROM {events} GROUP BY user_id, event_type, CAST(ts AS DATE)""",
     "traded": """SELECT user_id AS product_id, CASE WHEN user_id % 10 = 9 THEN 'sealed' ELSE 'card' END AS kind, concat('Set', user_id % 6) AS set_id,
@@ -75,6 +76,21 @@ VIEWS = {
         o_orderdate + make_interval(0, 0, 0, 0, CAST(17 + o_custkey % 4 AS INT), 0, 0) AS start_datetime,
         CASE o_custkey % 5 WHEN 0 THEN 'America/New_York' WHEN 1 THEN 'Europe/Paris' WHEN 2 THEN 'Nowhere/None' WHEN 3 THEN 'UTC' END AS timezone,
         CAST(38 + o_custkey % 173 / 40.0E0 AS DOUBLE) AS latitude, CAST(-77 + o_custkey % 211 / 40.0E0 AS DOUBLE) AS longitude FROM {orders}""",
+    "rules": """SELECT c_custkey AS rule_id, c_custkey % 11 <> 0 AS enabled, CASE WHEN c_custkey % 3 <> 0 THEN c_custkey % 40 END AS watchlist_id, CASE WHEN c_custkey % 3 = 0 THEN c_custkey END AS product_id,
+        CASE WHEN c_custkey % 3 = 0 THEN CASE c_custkey % 4 WHEN 0 THEN 'Cold Foil' WHEN 1 THEN 'Normal' WHEN 2 THEN 'Etched' END END AS printing,
+        CASE WHEN c_custkey % 2 = 0 THEN 'low' ELSE 'market' END AS basis, CASE c_custkey % 5 WHEN 0 THEN 'above' WHEN 1 THEN 'below' WHEN 2 THEN 'pct_up' WHEN 3 THEN 'pct_down' ELSE 'sideways' END AS kind,
+        CAST(CASE c_custkey % 5 WHEN 0 THEN 150000 WHEN 1 THEN 95000 WHEN 2 THEN 4 ELSE -4 END AS DOUBLE) AS threshold,
+        CASE WHEN c_custkey % 7 < 5 THEN '365d' ELSE '180d' END AS window_key, CAST(c_custkey % 10 AS INT) AS cooldown_days FROM {customer}""",
+    "watchlists": """SELECT p_partkey % 40 AS watchlist_id, CAST(p_partkey AS BIGINT) AS product_id, CASE p_partkey % 4 WHEN 0 THEN 'Normal' WHEN 1 THEN 'Cold Foil' WHEN 2 THEN 'Holofoil' ELSE 'Etched' END AS printing
+        FROM {part} WHERE p_size < 20""",
+    "fired_before": """SELECT c_custkey AS rule_id, c_custkey AS product_id, CASE WHEN c_custkey % 4 = 0 THEN 'Cold Foil' ELSE 'Normal' END AS printing, CAST(DATE '2001-11-04' - CAST(c_custkey % 12 AS INT) AS DATE) AS fired_on
+        FROM {customer} WHERE c_custkey % 3 = 0""",
+    "holdings": """SELECT CAST(p_partkey AS BIGINT) AS product_id, CASE WHEN p_partkey % 2 = 0 THEN 'Normal' ELSE 'Cold Foil' END AS printing, CAST(p_size % 4 + 1 AS INT) AS quantity,
+        CASE WHEN p_partkey % 3 <> 0 THEN CAST(DATE '1999-01-01' + CAST(p_partkey % 700 AS INT) AS DATE) END AS acquired FROM {part}""",
+    "slots": """SELECT CAST(p_partkey AS BIGINT) AS slot_id, CAST(p_partkey AS BIGINT) AS card_id, CASE p_partkey % 3 WHEN 0 THEN 'PSA' WHEN 1 THEN 'BGS' ELSE 'CGC' END AS grader, CAST(9 + p_partkey % 2 AS INT) AS grade,
+        CASE p_partkey % 6 WHEN 0 THEN 'Normal' WHEN 1 THEN 'Holofoil' WHEN 2 THEN 'Cold Foil' WHEN 3 THEN 'Two Swords' WHEN 4 THEN 'Foil' END AS printing FROM {part}""",
+    "decks": """SELECT o_orderkey AS deck_id, CAST(o_orderdate AS DATE) AS day, CAST(o_orderkey % 12 + 1 AS INT) AS place_rank, o_orderkey % 9 AS event_id FROM {orders}""",
+    "deck_cards": """SELECT l_orderkey AS deck_id, CAST(l_partkey AS BIGINT) AS product_id, CAST(l_linenumber AS INT) AS line, CAST(l_quantity % 6 + 1 AS INT) AS quantity FROM {lineitem}""",
 }
 
 
