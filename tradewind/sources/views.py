@@ -90,10 +90,25 @@ VIEWS = {
     "slots": """SELECT CAST(p_partkey AS BIGINT) AS slot_id, CAST(p_partkey AS BIGINT) AS card_id, CASE p_partkey % 3 WHEN 0 THEN 'PSA' WHEN 1 THEN 'BGS' ELSE 'CGC' END AS grader, CAST(9 + p_partkey % 2 AS INT) AS grade,
         CASE p_partkey % 6 WHEN 0 THEN 'Normal' WHEN 1 THEN 'Holofoil' WHEN 2 THEN 'Cold Foil' WHEN 3 THEN 'Two Swords' WHEN 4 THEN 'Foil' END AS printing FROM {part}""",
     "decks": """SELECT o_orderkey AS deck_id, CAST(o_orderdate AS DATE) AS day, CAST(o_orderkey % 12 + 1 AS INT) AS place_rank, o_orderkey % 9 AS event_id FROM {orders}""",
+    "titles": """SELECT concat(l_orderkey, '-', l_linenumber, '-', l_suppkey, '-', l_partkey) AS item_id, CAST(l_partkey AS BIGINT) AS card_id, p_brand AS set_id, CAST(l_shipdate AS DATE) AS sold_date,
+        concat(p_name, ' ', CAST(p_size AS STRING), '/204 ', CASE l_suppkey % 32 WHEN 0 THEN 'PSA 10' WHEN 1 THEN 'CGC9.5' WHEN 2 THEN 'GEM MINT 10 BGS' WHEN 3 THEN 'lot of 3' WHEN 4 THEN 'booster box' WHEN 5 THEN 'in toploader' WHEN 6 THEN 'ungraded'
+          WHEN 7 THEN 'japanese PSA 9' WHEN 8 THEN 'PSA 10 CONTENDER' WHEN 9 THEN 'signed PSA 10' WHEN 10 THEN 'Cold Foil PSA 9.5' WHEN 11 THEN 'non-foil CGC 10' WHEN 12 THEN 'foil BECKETT 9' WHEN 13 THEN 'kingdom hearts' WHEN 14 THEN '7x cards' WHEN 15 THEN '2X Sword SGC 8'
+          WHEN 16 THEN 'PSA 10 + PSA 9 other' WHEN 17 THEN 'prerelease trove' WHEN 18 THEN 'promo enamel pins' WHEN 19 THEN 'DE PSA 8' WHEN 20 THEN 'Cruella de vil DE PSA 8' WHEN 21 THEN 'TAG Grade 9' WHEN 22 THEN 'holo' WHEN 23 THEN 'slab PSA'
+          WHEN 24 THEN 'PSA gem mt 10' WHEN 25 THEN 'Set of 2 autographed' WHEN 26 THEN '' WHEN 27 THEN 'BGS 9.5 KOR' WHEN 28 THEN 'would grade 10' WHEN 29 THEN 'Pins: Brave PSA 10' WHEN 30 THEN 'MINT 9 CGC' ELSE 'raw card' END) AS title FROM {lineitem} JOIN {part} ON p_partkey = l_partkey""",
+    "decklists": """SELECT l_orderkey AS deck_id, CASE l_orderkey % 9 WHEN 0 THEN '1st' WHEN 1 THEN '2nd' WHEN 2 THEN 'Top 8' WHEN 3 THEN 'T16' WHEN 4 THEN '5th' WHEN 5 THEN ' ' WHEN 6 THEN '3' WHEN 7 THEN 'winner' END AS place,
+        array_join(array_sort(collect_list(concat(CASE l_linenumber % 9 WHEN 8 THEN '# note ' WHEN 7 THEN '' ELSE concat(CAST(l_quantity % 5 AS INT), CASE WHEN l_linenumber % 2 = 0 THEN 'x ' ELSE ' ' END) END,
+          CASE WHEN l_suppkey % 13 = 0 THEN 'Unknown Hero' ELSE upper(p_name) END))), chr(10)) AS decklist FROM {lineitem} JOIN {part} ON p_partkey = l_partkey GROUP BY l_orderkey""",
     "deck_cards": """SELECT l_orderkey AS deck_id, CAST(l_partkey AS BIGINT) AS product_id, CAST(l_linenumber AS INT) AS line, CAST(l_quantity % 6 + 1 AS INT) AS quantity FROM {lineitem}""",
 }
 
 
+#: What the views spell otherwise in DuckDB.
+SPELLINGS = (
+    ("make_interval(0, 0, 0, 0, CAST(17 + o_custkey % 4 AS INT), 0, 0)", "to_hours(CAST(17 + o_custkey % 4 AS INT))"),
+    ("array_join(array_sort(collect_list(", "array_to_string(list_sort(list("),
+)
+
+
 def _names(sql: str) -> list[str]:
     return re.findall(r"{(\w+)}", sql)
 
@@ -105,6 +120,11 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(VIEWS[name], **{n: view(spark, sf_dir, n) for n in dict.fromkeys(_names(VIEWS[name]))})
 
 
+def rows_of(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """A SELECT over tables and views, in the SQL that both engines read."""
+    return spark.sql(sql, **{n: view(spark, sf_dir, n) for n in dict.fromkeys(_names(sql))})
+
+
 def with_views(sql: str) -> str:
     """SQL for DuckDB: {x} of views become common table expressions in front."""
     needed: list[str] = []
@@ -118,8 +138,13 @@ def with_views(sql: str) -> str:
     need(sql)
     own = ", ".join(f"{n} AS ({VIEWS[n]})" for n in needed)
     body = sql.strip()
-    if own and body[:5].upper() == "WITH ":
+    if own and body[:15].upper() == "WITH RECURSIVE ":
+        body = f"WITH RECURSIVE {own}, {body[15:]}"
+    elif own and body[:5].upper() == "WITH ":
         body = f"WITH {own}, {body[5:]}"
     elif own:
         body = f"WITH {own} {body}"
-    return re.sub(r"{(\w+)}", r"\1", body).replace("make_interval(0, 0, 0, 0, CAST(17 + o_custkey % 4 AS INT), 0, 0)", "to_hours(CAST(17 + o_custkey % 4 AS INT))")
+    body = re.sub(r"{(\w+)}", r"\1", body)
+    for spark_form, duck_form in SPELLINGS:
+        body = body.replace(spark_form, duck_form)
+    return body
