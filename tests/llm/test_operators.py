@@ -109,6 +109,33 @@ def test_license_scan(docs, rows, none):
     assert license_digest(scan_licenses(none)).count() == 0
 
 
+def test_license_clauses(spark):
+    """Every clause is found whole, inside other text and with some words changed; brute force agrees on every place."""
+    from tradewind.llm.license_scan import MORE, PositionalIndex, Template, license_digest, scan_licenses
+    from tradewind.llm.license_texts import CLAUSES
+
+    rng = np.random.default_rng(8)
+    texts, want = [], []
+    for label, text, keys in CLAUSES:
+        words = text.split()
+        texts.append("Header line. " + " ".join(words).capitalize() + ", and the rest.")
+        want.append(label)
+        inside = {k for key in keys for k in range(len(words) - len(key.split()) + 1) if words[k : k + len(key.split())] == key.split() for k in range(k, k + len(key.split()))}
+        free = [k for k in range(len(words)) if k not in inside and len(words[k]) < 5]
+        for k in rng.choice(free, max(1, len(words) // 25), replace=False) if len(words) > 20 else []:
+            words[k] = "xxx"
+        texts.append("one two " + " ".join(words).upper())
+        want.append(label)
+    got = {r.doc_id: r for r in license_digest(scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))).collect()}
+    assert all(w in got[i].labels.split(",") for i, w in enumerate(want))
+    index = PositionalIndex((), MORE, 0.8)
+    for t in texts:
+        words = t.lower().replace(",", "").replace(".", "").encode().split()
+        every = {(i, s) for i, (_, own, _) in enumerate(index.templates) for s in range(1 - len(own), len(words)) if index._coverage(i, s, words)}
+        assert {(i, s) for i, s, _ in index.scan(words)} == every
+    assert isinstance(MORE[0], Template) and len(CLAUSES) >= 30
+
+
 def test_sentence_pieces(docs, rows, none):
     import public_tokenizers
     import sentencepiece

@@ -1,19 +1,21 @@
 """License scans by a positional index of rare words.
 
-Templates are phrases with a label; some carry key phrases of their own that
-must stand within the template's reach for it to count.  A template is indexed
-under its rarest word: the one with the highest inverse frequency over all
-templates (of equals the longest).  A file's words are looked up in that index;
-a hit fixes where the template would begin, its other words are intersected by
-relative position, and the share of words in place is its coverage.  Base
-phrases need every word, longer templates ``min_coverage`` of their words and
-every key phrase.
+Templates are clauses of licences (see license_texts.py) and short phrases, each
+with a label and key phrases that must stand within its reach for it to count.
+A template's words carry the inverse frequency over all templates; it is indexed
+under its rarest words, so many that a text which holds ``min_coverage`` of the
+template's weight holds one of them.  A file's words that stand in the index
+are looked up, those of the highest weight first; a hit fixes where the template
+would begin, its other words are intersected by relative position, and the
+weight in place is its coverage.  Base phrases need every word, longer templates
+``min_coverage`` of their weight and every key phrase.
 
 The index has the size of the template list, whatever the table's size.  Each
 document is read whole, once, in the task that reads its row.
 
 Defined results: a null or empty text has no words, no places, an empty list of
-labels, null places and score 0; rows may repeat; other columns aren't read.
+labels, null places and score 0; rows may repeat and null ids pass through;
+other columns aren't read.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tradewind.llm.license_texts import CLAUSES
+
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -48,23 +52,16 @@ BASE = (
     Template("mit", "mit license"),
 )
 
-#: Phrases of well-known licences, in their public wording.
-MORE = (
+#: Short phrases that name a licence, in their public wording.
+NAMES = (
     Template("gpl-2", "gnu general public license", ("version 2",), 12),
     Template("gpl-3", "gnu general public license", ("version 3",), 12),
-    Template("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", ("free software",), 0),
     Template("lgpl", "gnu lesser general public license"),
     Template("agpl", "gnu affero general public license"),
     Template("apache-2", "apache license", ("version 2",), 8),
-    Template("apache-2", "licensed under the apache license version 2 0 the license", ("apache license",), 0),
-    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ("free of charge", "this software"), 0),
-    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ("source and binary forms",), 0),
-    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("with or without fee",), 0),
     Template("mpl-2", "mozilla public license", ("2 0",), 6),
     Template("epl", "eclipse public license"),
-    Template("unlicense", "this is free and unencumbered software released into the public domain", ("public domain",), 0),
     Template("bsl", "boost software license version 1 0"),
-    Template("zlib", "this software is provided as is without any express or implied warranty", ("as is",), 0),
     Template("cc-by-sa", "cc by sa"),
     Template("cc-by-nc", "cc by nc"),
     Template("cc-by-nd", "cc by nd"),
@@ -72,6 +69,7 @@ MORE = (
     Template("cc0", "cc0 1 0 universal"),
     Template("proprietary", "all rights reserved"),
 )
+MORE = (*NAMES, *(Template(label, text, keys) for label, text, keys in CLAUSES))
 
 
 class PositionalIndex:
@@ -84,26 +82,43 @@ class PositionalIndex:
         self.idf = {w: math.log(1 + len(self.templates) / n) for w, n in holders.items()}
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         for i, (_, words, _) in enumerate(self.templates):
-            # a template that may miss words is found by any of its rarest ones
-            rare = sorted(dict.fromkeys(words), key=lambda w: (-self.idf[w], -len(w), w))
-            spare = 0 if i < self.base else int(len(words) * (1 - min_coverage))
-            for w in rare[: 1 + min(spare, len(rare) - 1)]:
+            for w in self._indexed(i, words):
                 self.postings[w] += [(i, k) for k, x in enumerate(words) if x == w]
         self.rare = set(self.postings)
 
+    def _indexed(self, i: int, words: list[bytes]) -> list[bytes]:
+        """The rarest words (of equals the longest) of a template: one for those that need every word, else more than the weight that may be missing."""
+        rare = sorted(dict.fromkeys(words), key=lambda w: (-self.idf[w], -len(w), w))
+        if i < self.base or len(words) < 6:
+            return rare[:1]
+        spare = (1 - self.min_coverage) * sum(self.idf[w] for w in words)
+        chosen, weight = [], 0.0
+        for w in rare:
+            chosen.append(w)
+            weight += self.idf[w] * words.count(w)
+            if weight > spare * (1 + 1e-9):
+                break
+        return chosen
+
     def scan(self, words: list[bytes]) -> list[tuple[int, int, float]]:
-        """(template, first word's place, coverage) of every place, in order."""
-        if self.rare.isdisjoint(words):
+        """(template, first word's place, coverage) of every place."""
+        there = self.rare.intersection(words)
+        if not there:
             return []
-        found: dict[tuple[int, int], float] = {}
+        places: dict[bytes, list[int]] = {w: [] for w in there}
         for at, word in enumerate(words):
-            for i, k in self.postings.get(word, ()):
-                start = at - k
-                if (i, start) in found or start < 0 and i < self.base:
-                    continue
-                share = self._coverage(i, start, words)
-                if share:
-                    found[i, start] = share
+            if word in places:
+                places[word].append(at)
+        found: dict[tuple[int, int], float] = {}
+        for word in sorted(there, key=lambda w: (-self.idf[w], w)):
+            for i, k in self.postings[word]:
+                for at in places[word]:
+                    start = at - k
+                    if (i, start) in found or start < 0 and i < self.base:
+                        continue
+                    share = self._coverage(i, start, words)
+                    if share:
+                        found[i, start] = share
         return [(i, start, share) for (i, start), share in found.items()]
 
     def _coverage(self, i: int, start: int, words: list[bytes]) -> float:
