@@ -10,12 +10,15 @@ first one's begin to the last one's end is the occurrence's edge.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 import numpy as np
 
 from tradewind.llm.hashing import RunHashes, mix
 
+#: Hashes of the texts from begins to ends, told in items.
+Digest = Callable[[np.ndarray, np.ndarray], np.ndarray]
 _PLACE_BITS = 26
 _BLOCK = 1 << 22
 
@@ -50,8 +53,8 @@ def window_anchors(kmers: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def anchors_of(values: np.ndarray, lengths: np.ndarray, window: int, k: int, hashes: RunHashes) -> Anchors:
-    """Anchors of all sequences whose values follow each other in one array."""
+def anchors_of(values: np.ndarray, lengths: np.ndarray, window: int, k: int, hashes: RunHashes, digest: Digest | None = None) -> Anchors:
+    """Anchors of all sequences whose values follow each other in one array; edges by a digest of their text where it is given."""
     kmers = hashes.fixed(k)
     where = window_anchors(kmers, window - k + 1)
     ends = np.cumsum(lengths)
@@ -63,7 +66,7 @@ def anchors_of(values: np.ndarray, lengths: np.ndarray, window: int, k: int, has
     head = np.flatnonzero(new)
     tail = np.append(head[1:], len(at))[: len(head)] - 1
     place, first, last = at[head], begin[head], begin[tail] if len(head) else begin[:0]
-    edge = mix(hashes.of(first, last + window) + (place - first).astype(np.uint64) * np.uint64(0x8CB92BA72F3D8DD7))
+    edge = mix((digest or hashes.of)(first, last + window) + (place - first).astype(np.uint64) * np.uint64(0x8CB92BA72F3D8DD7))
     # anchors have small hashes: mixed again, their keys spread evenly over buckets
     return Anchors(mix(kmers[place]), edge, place, first, last, owner[head])
 

@@ -5,14 +5,17 @@ stretches of text around them that hold all windows of ``window`` words with
 that k-mer as anchor.  Edges that stand at two places or more repeat; where a
 node has one class of edges only, the path through it doesn't branch and needs
 no further look, and consecutive windows of such edges compact into one span
-when the graph's answers are joined with the documents by chunk.  At branching
-nodes the windows themselves are compared, by their source coordinates' hashes,
-between one representative of each class.  A word is removed if a window over
-it stands anywhere else, in the same document too.
+when the graph's answers return to the documents.  At branching nodes the
+windows themselves are compared, between one representative of each class.
+Edges and windows are the same only if the digests of their words' bytes, read
+at their source coordinates, and their k-mers agree (112 bits for edges).  A
+word is removed if a window over it stands anywhere else, in the same document
+too.
 
 Defined results: a null or empty text has no words and keeps nothing (the hash
 of an empty string); documents shorter than the window lose nothing; rows may
-repeat and then repeat each other; an empty table gives no rows.
+repeat and then repeat each other; null ids pass through, as rows count and not
+ids; an empty table gives no rows; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -24,13 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tradewind.llm.exchange import chunked, sizes, texts
-from tradewind.llm.hashing import WORD_REACH, word_grams, words_of
+from tradewind.llm.hashing import WORD_REACH, word_digest, word_grams, words_of
 from tradewind.llm.repeats import Plan, Sequences, find, runs
 
 
 def _sequences(table: pa.Table) -> Sequences:
-    values, lengths = words_of(texts(table), lower=False)
-    return Sequences(word_grams(values), lengths, np.zeros(len(lengths), np.int64), WORD_REACH)
+    body = texts(table)
+    values, lengths = words_of(body, lower=False)
+    return Sequences(word_grams(values), lengths, np.zeros(len(lengths), np.int64), WORD_REACH, word_digest(body))
 
 
 def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 35, k: int = 12, with_text: bool = True) -> DataFrame:

@@ -15,8 +15,8 @@ windows; what remains is cut into sequences whose lengths are powers of two,
 which need no padding.
 
 Defined results: a null or empty text is a document of the end id alone; rows
-may repeat and are packed each; ids of any type pass through; an empty table
-gives no rows.
+may repeat and are packed each; ids of any type pass through, null ones too; an
+empty table gives no rows; other columns aren't read.
 """
 
 from __future__ import annotations

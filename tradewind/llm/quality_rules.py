@@ -13,8 +13,12 @@ shuffled for the verdicts; the texts move only if the cleaned text is used.
 
 Defined results: a null text counts as empty (no words, rejected); a null host
 is a host of its own; rows may repeat, each gets a row; other columns of the
-input pass through, but for those named in STATS, which are replaced; a null
-id is an id like any other.
+input pass through whatever their names, but for those named in STATS and
+clean_text, which are replaced; a null id is an id like any other; a line in
+just as many documents as the limit stays; an empty table gives no rows.
+
+The limit is a share of the host's documents (with a floor for small hosts), so
+that the verdict on a line doesn't depend on how much of a host was crawled.
 """
 
 from __future__ import annotations
@@ -107,6 +111,11 @@ def quality(
     max_repeat_percent: int = 50,
 ) -> DataFrame:
     """The documents with their counts, the verdict and, in clean_text, the text without boilerplate lines."""
+    # columns whose names begin like those used inside are set aside under others
+    aside = {c: f"given{i}" for i, c in enumerate(docs.columns) if c.startswith("_")}
+    while set(aside.values()) & {c.lower() for c in docs.columns}:
+        aside = {c: f"given_{n}" for c, n in aside.items()}
+    docs, doc_id, text, host = docs.withColumnsRenamed(aside), *(aside.get(c, c) for c in (doc_id, text, host))
     lines, frequent = boilerplate(docs, doc_id, text, host, min_documents, max_share)
     removed = (
         lines.join(frequent, ["_host", "line"])
@@ -139,4 +148,4 @@ def quality(
     left = F.col("n_words") - F.col("n_removed_words")
     return out.withColumn("kept", ~F.col("base_failed") & (left >= F.lit(min_left) * F.col("n_words"))).drop(
         *_KEY, *(f"_gone{c}" for c in _KEY), "_body", "_gone", "_gone_words", "_gone_lines"
-    )
+    ).withColumnsRenamed({n: c for c, n in aside.items()})

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tradewind.llm.anchors import Anchors, anchors_of
+from tradewind.llm.anchors import Anchors, Digest, anchors_of
 from tradewind.llm.exchange import answer, answers_of, ask, cuts, pack, replies_of, unpack
 from tradewind.llm.hashing import RunHashes
 from tradewind.llm.storage import stored
@@ -38,13 +38,15 @@ CLASSES, WINDOWS, SORTED = 1, 2, 3
 class Sequences(NamedTuple):
     """A chunk's sequences: values one after another, their lengths, and each sequence's document number.
 
-    A value stands for ``reach`` items from its place on (see RunHashes).
+    A value stands for ``reach`` items from its place on (see RunHashes).  Where
+    digest() is given, edges and windows are told apart by their texts' digests.
     """
 
     values: np.ndarray
     lengths: np.ndarray
     numbers: np.ndarray
     reach: int
+    digest: Digest | None = None
 
 
 class Plan(NamedTuple):
@@ -80,7 +82,7 @@ class Pairs(NamedTuple):
 def pairs_of(plan: Plan, s: Sequences) -> Pairs:
     """Anchors of a chunk, by pair."""
     hashes = RunHashes(s.values, s.reach)
-    a = anchors_of(s.values, s.lengths, plan.window, plan.k, hashes)
+    a = anchors_of(s.values, s.lengths, plan.window, plan.k, hashes, s.digest)
     number = s.numbers[a.owner]
     order = np.lexsort((a.place, number, a.edge, a.key))
     key, edge = a.key[order], a.edge[order]
@@ -145,7 +147,7 @@ def sent_windows(plan: Plan, s: Sequences, p: Pairs, code: np.ndarray) -> Sent:
     begin = np.repeat(first, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
     owner = np.repeat(occurrence, n)
     own = s.numbers[p.anchors.owner[owner]].astype(np.int64) if plan.earlier else np.ones(len(owner), np.int64)
-    hashes, which = np.unique(p.hashes.of(begin, begin + plan.window), return_inverse=True)
+    hashes, which = np.unique((s.digest or p.hashes.of)(begin, begin + plan.window), return_inverse=True)
     value = np.zeros(len(hashes), np.int64)
     if plan.earlier:
         value[:] = np.iinfo(np.int64).max

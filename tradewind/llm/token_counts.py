@@ -20,7 +20,7 @@ at a time.  A row lies in one task, so its chunks are counted there; other rows
 go on in other tasks, and nothing is shuffled.
 
 Defined results: a null text counts as empty (0 bytes, 0 tokens); rows may
-repeat; special strings are one token each, as the library does by default.
+repeat and null ids pass through; an empty table gives no rows; special strings are one token each, as the library does by default.
 """
 
 from __future__ import annotations
