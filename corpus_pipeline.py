@@ -2,6 +2,12 @@
 
 Every stage reads what the one before it has written.  The first three return
 the columns of documents; the last returns the packed pieces with their ids.
+
+Defined results, for each stage by itself: only the five columns of documents
+are read, others are left out; null texts count as empty, nulls in lang, source
+and n_chars pass through, and a null id is an id that comes last; rows that
+repeat are rows each, but near-duplicates leave one row of a group; an empty
+table gives no rows; texts of any length are worked on whole.
 """
 
 from __future__ import annotations
