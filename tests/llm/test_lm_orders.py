@@ -7,7 +7,7 @@ from random import Random
 
 import pytest
 
-from tradewind.llm.exchange import pack_counts, unpack_counts
+from tradewind.llm.exchange import pack_counts, pack_sorted, unpack_counts, unpack_sorted
 from tradewind.llm.lm_scoring import score
 
 
@@ -55,3 +55,11 @@ def test_counts_of_any_size():
 
     n = np.array([0, 254, 255, 256, 7, 1 << 40])
     assert unpack_counts(pack_counts(n)).tolist() == n.tolist() and unpack_counts(pack_counts(n[:0])).tolist() == []
+
+
+def test_sorted_values():
+    import numpy as np
+
+    for own in ([], [7], [0, 0, 5, 5, 300], [3, (1 << 64) - 1], sorted(Random(1).getrandbits(64) for _ in range(1000))):
+        values = np.array(own, np.uint64)
+        assert unpack_sorted(pack_sorted(values)).tolist() == own

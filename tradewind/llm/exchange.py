@@ -96,6 +96,23 @@ def unpack(blobs: list[bytes], width: int) -> np.ndarray:
     return out.view("<u8").reshape(-1)
 
 
+def pack_sorted(values: np.ndarray) -> bytes:
+    """Sorted 64-bit values as their number, the first one, and the gaps in as many bytes as the largest needs."""
+    gaps = np.diff(values) if len(values) else values
+    width = (int(gaps.max(initial=0)).bit_length() + 7) // 8
+    return np.uint32(len(values)).tobytes() + bytes((width,)) + values[:1].astype("<u8").tobytes() + (pack(gaps, width) if width else b"")
+
+
+def unpack_sorted(blob: bytes) -> np.ndarray:
+    """What pack_sorted() made."""
+    size, width = int.from_bytes(blob[:4], "little"), blob[4]
+    out = np.zeros(size, np.uint64)
+    if size:
+        out[0] = int.from_bytes(blob[5:13], "little")
+        out[1:] = unpack([blob[13:]], width) if width else 0
+    return np.cumsum(out, dtype=np.uint64)
+
+
 def pack_counts(n: np.ndarray) -> bytes:
     """Counts of any size: how many there are, a byte for each, and eight more for those of 255 and above."""
     return np.uint32(len(n)).tobytes() + np.minimum(n, 255).astype(np.uint8).tobytes() + n[n >= 255].astype("<u8").tobytes()

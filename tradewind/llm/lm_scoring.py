@@ -34,14 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradewind.llm.exchange import answer, ask, chunked, counts_of, cuts, pack, pack_counts, sizes, texts, unpack, unpack_counts
+from tradewind.llm.exchange import answer, ask, chunked, counts_of, cuts, pack_counts, pack_sorted, sizes, texts, unpack_counts, unpack_sorted
 from tradewind.llm.hashing import mix, words_of
 from tradewind.llm.storage import stored
 
 END, BEGIN = np.uint64(0x1F83D9ABFB41BD6B), np.uint64(0x5BE0CD19137E2179)
-#: Bytes sent of a key: words whole; longer n-grams 48 bits besides those that name the bucket.
-WIDTH = {1: 8}
-LONGER = 6
+#: Bits that are sent of a longer n-gram's key besides those that name the bucket; words' keys are sent whole.
+LONGER = 48
 
 
 class Tokens(NamedTuple):
@@ -97,16 +96,21 @@ def _distinct(t: Tokens, order: int, train: np.ndarray) -> list[Grams]:
     return out
 
 
+def _sent(keys: np.ndarray, k: int, buckets: int) -> np.ndarray:
+    """What of sorted keys is sent; it stays sorted."""
+    return keys if k == 1 else keys >> np.uint64(max(0, 64 - LONGER - (buckets - 1).bit_length()))
+
+
 def _count(columns: dict[str, list]) -> list[tuple]:
     """Totals for every question of a bucket; the last row of an order has its numbers of types, tokens, ones and twos."""
     out = []
     for kind in sorted(set(columns["kind"])):
         at = [i for i, k in enumerate(columns["kind"]) if k == kind]
-        keys = unpack([columns["keys"][i] for i in at], WIDTH.get(kind, LONGER))
-        n = np.concatenate([unpack_counts(columns["counts"][i]) for i in at])
+        own = [unpack_sorted(columns["keys"][i]) for i in at]
+        keys, n = np.concatenate(own), np.concatenate([unpack_counts(columns["counts"][i]) for i in at])
         distinct, inverse = np.unique(keys, return_inverse=True)
         total = np.bincount(inverse, weights=n, minlength=len(distinct)).astype(np.int64)
-        sizes = np.cumsum([0] + [len(columns["keys"][i]) // WIDTH.get(kind, LONGER) for i in at]).tolist()
+        sizes = np.cumsum([0] + [len(x) for x in own]).tolist()
         replies = total[inverse]
         out += [
             (columns["chunk"][i], columns["bucket"][i], kind, pack_counts(replies[a:b]), None, None, None, None)
@@ -234,7 +238,7 @@ def score(
         train = ~table["held_out"].to_numpy(zero_copy_only=False)
         out = []
         for k, g in enumerate(_distinct(tokens(texts(table), order), order, train), 1):
-            out += [(b, k, pack(g.keys[i:j], WIDTH.get(k, LONGER)), pack_counts(g.train[i:j])) for b, i, j in cuts(g.keys, buckets)]
+            out += [(b, k, pack_sorted(_sent(g.keys[i:j], k, buckets)), pack_counts(g.train[i:j])) for b, i, j in cuts(g.keys, buckets)]
         return out
 
     asked = ask(chunks, questions, "bucket int, kind int, keys binary, counts binary")
