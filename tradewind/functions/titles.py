@@ -16,7 +16,7 @@ MULTIPLIER = r"(?i)\b([2-9]\s?x|x\s?[2-9])\b"
 SWORD = r"(?i)sword"
 CONNECTOR = r"(?i)(&|\sand\s|\splus\s| \+ )"
 GRADED_TOKEN = r"(?i)(?:PSA|CGC|BGS|SGC|TAG|BECKETT)\s*\.?\s*(?:10|9\.5|9|8\.5|8|7\.5|7)"
-SEALED = r"(?i)\b(booster box|booster pack|sleeved booster|illumineer'?s? trove|trove|gift set|starter deck|sealed|prerelease|pre-release|booster bundle|display box|booster case)\b"
+SEALED = r"(?i)\b(booster box|booster pack|sleeved booster|trove|gift set|starter deck|sealed|prerelease|pre-release|booster bundle|display box|booster case)\b"
 ACCESSORY = (
     r"(?i)\b(toploaders?|top loader|sleeves?|st[aä]nder|screw\s?down|magnetic (?:holder|case)|card saver|deck box|binder|playmat|"
     r"centering tool|slab case|graded card case|acrylic (?:case|stand|display)|(?:enamel|lapel)\s+pins?|pin\s+(?:set|pair|bundle)|pins(?=\s*:))\b"
