@@ -210,3 +210,37 @@ def test_cooled_alerts_equal_a_loop(spark):
             want.append((r.user_id, r.ts, r.value))
     got = sm7_cooled_alerts(spark, sf_dir).collect()
     assert sorted((r.user_id, r.fired_at, r.observed) for r in got) == sorted(want)
+
+
+def test_draw_tiers_of_four_rules(spark):
+    from tradewind.operators.draws import RULES, draw_tiers
+
+    one = lambda r, t, a, b, w, g: (1, r, t, a, b, w, g[0], g[1], False)
+    data = [one(1, 1, 1, 2, 1, (2, 0)), one(1, 2, 3, 4, 3, (2, 0)), one(1, 3, 5, 6, 5, (2, 0)), one(1, 4, 7, 8, 7, (2, 0))]
+    data += [one(2, 1, 1, 3, 1, (2, 0)), one(2, 2, 5, 7, 5, (2, 0)), one(2, 3, 2, 4, 2, (2, 0)), one(2, 4, 6, 8, 6, (2, 0))]
+    data += [one(3, 1, 1, 5, None, (None, 0)), one(3, 2, 2, 3, None, (1, 1)), one(3, None, 4, 8, None, (1, 1)), one(3, 4, 6, 7, 6, (2, 1))]
+    data += [one(4, 1, 1, 6, 1, (2, 0)), one(4, 2, 5, 2, 5, (2, 0)), one(5, 1, 1, 5, 1, (2, 0)), (1, 5, 2, 9, None, None, None, None, True)]
+    matches = rows(spark, "event_id int, round_number int, table_number int, player1_id int, player2_id int, winner_id int, games_won_p1 int, games_won_p2 int, is_bye boolean", data)
+    # the third round has four matches, but so has the second: the cut is the last two rounds, of four players, and its line is three points
+    want = {"position": ["ID-likely", "real", "real"], "position-only": ["ID-strong", "ID-strong", "unclear"], "score-only": ["ID-likely", "real", "real"], "score-or-position": ["ID-strong", "ID-strong", "unclear"]}
+    for rule in RULES:
+        assert [r.tier for r in draw_tiers(matches, rule).orderBy("player1_id").collect()] == want[rule], rule
+    ruled = rows(spark, "event_id int, round_number int, table_number int, intentional boolean", [(1, 3, None, True), (1, 3, 1, False), (1, 3, 1, True), (1, 3, 2, False), (1, 9, 9, True)])
+    got = draw_tiers(matches, ruled=ruled).orderBy("player1_id").collect()
+    assert [(r.tier, r.intentional) for r in got] == [("ID-manual", True), ("real-manual", False), ("ID-manual", True)]
+    assert draw_tiers(matches.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="rule is one of"):
+        draw_tiers(matches, "score")
+
+
+def test_ranked_places(spark):
+    from tradewind.operators.catalog import ranked_places
+
+    data = [(1, "Dublin", "OH", "US", 40.1, -83.1), (2, "Dublin", None, "IE", 53.35, -6.26), (3, "Dublin 8", None, "IE", 53.34, -6.29), (4, "Dublin", None, "IE", 0.0, 0.0), (5, " ", None, "IE", 1.0, 1.0)]
+    data += [(6, "Dublin", "XX", "US", float("nan"), 1.0), (7, "Dublin", "YY", "US", None, 1.0), (8, "Cork", None, "IE", 51.9, -8.47), (9, "Córk", "C", "IE", 10.0, 10.0)]
+    places = rows(spark, "place_id int, city string, state string, country string, latitude double, longitude double", data)
+    got = [(r.place, r.city, r.country, r.latitude) for r in ranked_places(places, " dublin", "ie").collect()]
+    # Dublin 8 lies within 15 miles of Dublin, whose row with the smallest id counts
+    assert got == [(1, "Dublin", "IE", 53.35), (2, "Dublin", "US", 40.1), (3, "Cork", "IE", 51.9), (4, "Córk", "IE", 10.0)]
+    assert [r.city for r in ranked_places(places, "cork", most=1).collect()] == ["Cork"]
+    assert ranked_places(places.limit(0), "x").count() == 0

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tradewind.functions.keys import with_local_time
-from tradewind.functions.text import card_key
+from tradewind.functions.text import card_key, nfkd_fold
 from tradewind.functions.titles import place_rank
 
 #: A line of a decklist, and what its parts are.
@@ -97,6 +97,34 @@ def nearby_series(places: DataFrame, lat: float, lon: float, since: str, radius:
     return shown.orderBy("next_start", "distance_mi", "series_key").limit(max(1, min(2000, series)))
 
 
+def ranked_places(places: DataFrame, term: str, home: str = "", most: int = 8, apart: float = 15.0) -> DataFrame:
+    """The ``most`` best towns of places(place_id, city, state, country, latitude, longitude) for a search, none within ``apart`` miles of a better one.
+
+    Best is the town of that very name, then of the home country, then of the
+    shortest name.  Rows of one town count as the one with the smallest id; rows
+    without a name or a finite position don't count.  The towns stay distributed:
+    each pass takes the best one left, a single row, and drops what is near it.
+    """
+    bare = lambda c: F.translate(nfkd_fold(c), "'‘’`´", "")
+    spark = places.sparkSession
+    want = spark.range(1).select(bare(F.lower(F.trim(F.lit(term)))).alias("want")).first().want
+    town = places.where("trim(city) <> '' AND abs(latitude) < double('inf') AND abs(longitude) < double('inf')").select(
+        "place_id", F.trim("city").alias("city"), bare(F.trim("city")).alias("norm"), *(F.coalesce(c, F.lit("")).alias(c) for c in ("state", "country")), "latitude", "longitude"
+    )
+    left = towns = town.groupBy("norm", "state", "country").agg(*(F.min_by(c, "place_id").alias(c) for c in ("city", "latitude", "longitude"))).persist()
+    abroad = F.col("country") != home.upper() if home else F.lit(False)
+    order = F.struct((F.col("norm") != want).alias("other"), abroad.alias("abroad"), F.length("norm").alias("n"), "norm", "state", "country")
+    found: list[tuple] = []
+    while len(found) < most:
+        best = left.agg(F.min_by(F.struct("city", "state", "country", "latitude", "longitude"), order).alias("p")).first().p
+        if best is None:
+            break
+        found.append((len(found) + 1, *best))
+        left = left.where(miles(best.latitude, best.longitude) >= apart)
+    towns.unpersist()
+    return spark.createDataFrame(found, "place int, city string, state string, country string, latitude double, longitude double")
+
+
 def merged_rings(rings: list[DataFrame], key: str = "series_key") -> DataFrame:
     """Results of several radii by key; the last ring that has a key wins."""
     tagged = [r.withColumn("_ring", F.lit(i)) for i, r in enumerate(rings)]

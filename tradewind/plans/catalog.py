@@ -114,6 +114,20 @@ def gx1_nearby_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.nearby_series(view(spark, sf_dir, "places"), 40.5, -74.5, "1998-01-01 00:00:00", 60.0, most=2)
 
 
+_TOWNS = "SELECT event_id AS place_id, city, CASE WHEN store_id % 2 = 0 THEN 'NY' END AS state, CASE WHEN event_id % 3 = 0 THEN 'US' ELSE 'CA' END AS country, latitude, longitude FROM {places}"
+_APART = "3958.8E0 * 2 * asin(least(1.0E0, sqrt(power(sin(radians(o.latitude - x.lat) / 2), 2) + cos(radians(x.lat)) * cos(radians(o.latitude)) * power(sin(radians(o.longitude - x.lon) / 2), 2))))"
+
+
+@query(f"""WITH RECURSIVE r AS (SELECT lower(trim(city)) AS norm, coalesce(state, '') AS state, coalesce(country, '') AS country, arg_min(trim(city), place_id) AS city, arg_min(latitude, place_id) AS latitude, arg_min(longitude, place_id) AS longitude FROM ({_TOWNS}) GROUP BY 1, 2, 3),
+  o AS (SELECT *, row_number() OVER (ORDER BY norm <> 'town 7', country <> 'US', length(norm), norm, state, country) AS k FROM r),
+  g AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(k BIGINT, lat DOUBLE, lon DOUBLE)[]) AS kept UNION ALL
+    SELECT o.k, CASE WHEN len(kept) < 8 AND len(list_filter(kept, lambda x: {_APART} < 15)) = 0 THEN list_append(kept, struct_pack(k := o.k, lat := o.latitude, lon := o.longitude)) ELSE kept END FROM g JOIN o ON o.k = g.k + 1)
+  SELECT CAST(row_number() OVER (ORDER BY o.k) AS INTEGER) AS place, city, state, country, latitude, longitude FROM (SELECT unnest(kept).k AS k FROM (SELECT arg_max(kept, k) AS kept FROM g)) s JOIN o ON o.k = s.k""")
+def gx3_ranked_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GX3, SR8: towns for a search, the best first and none within 15 miles of a better one (eight are the report)."""
+    return C.ranked_places(rows_of(spark, sf_dir, _TOWNS), "Town 7", "us")
+
+
 _CURATED = "SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'set' ELSE 'product' END AS kind, concat('T', o_custkey % 300) AS title, CASE WHEN o_orderkey % 3 = 0 THEN 'stores' ELSE 'retail' END AS subtitle, CAST(o_orderdate AS DATE) AS starts_on, o_orderkey % 5 <> 0 AS confirmed FROM {orders} WHERE o_orderstatus = 'F'"
 _DERIVED = "SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'set' ELSE 'product' END AS kind, concat('T', o_custkey % 300) AS title, CASE WHEN o_orderkey % 4 = 0 THEN 'stores' ELSE 'retail' END AS subtitle, CAST(o_orderdate AS DATE) AS starts_on FROM {orders} WHERE o_orderstatus = 'P'"
 

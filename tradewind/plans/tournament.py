@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tradewind.operators import draws
 from tradewind.operators import ratings as R
 from tradewind.plans.registered import query
-from tradewind.sources.views import view
+from tradewind.sources.views import rows_of, view
 
 
 def _share(part: str, whole: str) -> str:
@@ -168,6 +169,36 @@ def wn18_cut_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.cut_line(R.points_before(view(spark, sf_dir, "matches")))
 
 
+# Cups whose first seven matches are a final, its semifinals and quarterfinals, some of them drawn, behind six rounds of Swiss.
+_CUPS = """SELECT event_id, CAST(CASE WHEN k = 1 THEN 9 WHEN k <= 3 THEN 8 WHEN k <= 7 THEN 7 ELSE k % 6 + 1 END AS INT) AS round_number, CASE WHEN k % 50 <> 0 THEN k END AS table_number, player1_id, player2_id, is_bye,
+  CASE WHEN g = 0 THEN 0 WHEN g < 5 THEN 1 ELSE 2 END AS games_won_p1, CASE g WHEN 0 THEN NULL WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 2 WHEN 4 THEN 2 ELSE 0 END AS games_won_p2,
+  CASE WHEN is_bye OR g < 2 THEN NULL WHEN g < 5 THEN player2_id ELSE player1_id END AS winner_id
+  FROM (SELECT o_custkey % 50 AS event_id, o_orderkey % 60 AS player1_id, CASE WHEN o_orderkey % 41 <> 0 THEN o_orderkey % 59 + 60 END AS player2_id, o_orderkey % 41 = 0 AS is_bye,
+    CAST(floor(o_totalprice) AS BIGINT) % 12 AS g, row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey) AS k FROM {orders})"""
+_RULED = "SELECT event_id, round_number, table_number, event_id % 2 = 0 AS intentional FROM (" + _CUPS + ") WHERE event_id % 5 = 0 AND round_number >= 6 AND (table_number IS NULL OR table_number % 3 = 0)"
+
+
+@query(f"""WITH m AS ({_CUPS}), z AS (SELECT event_id, round_number, count(*) FILTER (NOT is_bye) AS n, count(*) FILTER (NOT is_bye AND winner_id IS NULL) AS d FROM m GROUP BY ALL HAVING n > 0),
+  h AS (SELECT *, n = power(2, row_number() OVER w - 1) AND d = 0 AND lead(n) OVER w IS DISTINCT FROM n AS ok FROM z WINDOW w AS (PARTITION BY event_id ORDER BY round_number DESC)),
+  c AS (SELECT *, bool_and(ok) OVER (PARTITION BY event_id ORDER BY round_number DESC) AS in_cut FROM h),
+  r AS (SELECT event_id, round_number, in_cut, coalesce(2 * max(n) FILTER (in_cut) OVER (PARTITION BY event_id), 0) AS cut_size, NOT in_cut AND count(*) FILTER (NOT in_cut) OVER (PARTITION BY event_id ORDER BY round_number DESC) <= 2 AS closing FROM c),
+  s AS (SELECT m.*, p.player_id, p.points FROM m JOIN r USING (event_id, round_number), LATERAL (SELECT player1_id AS player_id, CASE WHEN is_bye THEN 3 WHEN winner_id = player1_id THEN 3 WHEN winner_id IS NULL AND player2_id IS NOT NULL THEN 1 ELSE 0 END AS points
+    UNION ALL SELECT player2_id, CASE WHEN winner_id = player2_id THEN 3 WHEN winner_id IS NULL THEN 1 ELSE 0 END) p WHERE NOT in_cut AND p.player_id IS NOT NULL),
+  e AS (SELECT event_id, round_number, player_id, coalesce(sum(sum(points)) OVER (PARTITION BY event_id, player_id ORDER BY round_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pts FROM s GROUP BY event_id, round_number, player_id),
+  l AS (SELECT event_id, round_number, (list(pts ORDER BY pts DESC))[any_value(cut_size)] AS line FROM e JOIN r USING (event_id, round_number) WHERE cut_size > 0 GROUP BY event_id, round_number),
+  t AS (SELECT m.event_id, m.round_number, table_number, player1_id, player2_id, CASE WHEN in_cut THEN 'in-cut'
+    WHEN coalesce(games_won_p1, 0) = 0 AND coalesce(games_won_p2, 0) = 0 THEN CASE WHEN closing AND a.pts >= line AND b.pts >= line AND count(*) OVER (PARTITION BY m.event_id, m.round_number) > 1 THEN 'ID-strong' ELSE 'ID-likely' END
+    WHEN NOT closing THEN 'real' WHEN a.pts >= line AND b.pts >= line THEN CASE WHEN count(*) OVER (PARTITION BY m.event_id, m.round_number) > 1 THEN 'ID-strong' ELSE 'ID-likely' END ELSE 'unclear' END AS tier
+    FROM m JOIN r USING (event_id, round_number) LEFT JOIN l ON l.event_id = m.event_id AND l.round_number = m.round_number LEFT JOIN e a ON a.event_id = m.event_id AND a.round_number = m.round_number AND a.player_id = player1_id
+    LEFT JOIN e b ON b.event_id = m.event_id AND b.round_number = m.round_number AND b.player_id = player2_id WHERE NOT is_bye AND winner_id IS NULL),
+  u AS (SELECT event_id, round_number, table_number, bool_or(intentional) AS intentional FROM ({_RULED}) GROUP BY ALL)
+  SELECT t.* REPLACE (coalesce(CASE WHEN u.intentional THEN 'ID-manual' WHEN NOT u.intentional THEN 'real-manual' END, tier) AS tier), starts_with(coalesce(CASE WHEN u.intentional THEN 'ID-manual' WHEN NOT u.intentional THEN 'real' END, tier), 'ID') AS intentional
+  FROM t LEFT JOIN u ON u.event_id = t.event_id AND u.round_number = t.round_number AND u.table_number IS NOT DISTINCT FROM t.table_number""")
+def el11_draw_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EL11, WN17, WN18: whether each draw was agreed, by score or by position, with what people have ruled on top."""
+    return draws.draw_tiers(rows_of(spark, sf_dir, _CUPS), ruled=rows_of(spark, sf_dir, _RULED))
+
+
 _ENTRIES = "SELECT o_orderkey AS event_id, o_custkey % 25 AS store_id, CAST(o_custkey AS STRING) AS person FROM {orders}"
 _RESULTS = "SELECT o_orderkey AS event_id, o_custkey % 25 AS store_id, concat('r', o_custkey % 300) AS person FROM {orders} WHERE o_orderstatus = 'F'"
 
