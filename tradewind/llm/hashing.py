@@ -80,17 +80,22 @@ _PLACES = 64
 _AT_PLACE = mix(np.arange(1, _PLACES * 256 + 1, dtype=np.uint64) + WORDS)
 
 
-def _word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of words: every byte and its place in the word give a random value, and the values are added up."""
-    first = np.zeros(len(data), np.int64)
-    first[begin] = begin
-    at = np.arange(len(data)) - np.maximum.accumulate(first)
-    which = at * 256 + data
-    values = _AT_PLACE[np.minimum(which, len(_AT_PLACE) - 1)]
-    if (far := np.flatnonzero(at >= _PLACES)).size:
-        values[far] = mix(which[far].astype(np.uint64) + np.uint64(1) + WORDS)
-    sums = np.append(np.uint64(0), np.cumsum(values))
-    return mix(sums[end] - sums[begin] + (end - begin).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+class SpanHashes:
+    """Hashes of words and of their beginnings: every byte and its place in the word give a random value, and the values are added up."""
+
+    def __init__(self, data: np.ndarray, begin: np.ndarray) -> None:
+        first = np.zeros(len(data), np.int64)
+        first[begin] = begin
+        at = np.arange(len(data)) - np.maximum.accumulate(first)
+        which = at * 256 + data
+        values = _AT_PLACE[np.minimum(which, len(_AT_PLACE) - 1)]
+        if (far := np.flatnonzero(at >= _PLACES)).size:
+            values[far] = mix(which[far].astype(np.uint64) + np.uint64(1) + WORDS)
+        self.sums = np.append(np.uint64(0), np.cumsum(values))
+
+    def of(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The hashes from words' begins to the given ends."""
+        return mix(self.sums[end] - self.sums[begin] + (end - begin).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
 
 
 def words_of(texts: list[bytes], lower: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -110,7 +115,7 @@ def words_of(texts: list[bytes], lower: bool) -> tuple[np.ndarray, np.ndarray]:
             begin = np.append(0, begin)
         end = np.flatnonzero(white[1:] & ~white[:-1]) + 1
         if len(begin):
-            hashes.append(_word_hashes(data, begin, end))
+            hashes.append(SpanHashes(data, begin).of(begin, end))
         stops = np.cumsum([len(t) + 1 for t in texts[at:to]])
         counts.append(np.diff(np.searchsorted(begin, stops), prepend=0))
         at = to

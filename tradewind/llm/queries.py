@@ -74,5 +74,29 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), cosine=0.95)
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_license_scan, op3_sentence_pieces, op4_token_counts, op5_packing, op6_simhash, op7_suffix_dedup, op8_quality_rules, op9_debruijn_dedup, op10_embedding_dedup)}
-ORACLES = {"op8_quality_rules": oracles.QUALITY_RULES}
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tradewind.llm.toxicity import toxicity
+
+    found = toxicity(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), folds=4, held_out_fold=2, limit=0.3)
+    worst = F.array_sort("offending", lambda a, b: F.when(a["score"] != b["score"], F.when(a["score"] > b["score"], -1).otherwise(1)).otherwise(F.signum(a["start"] - b["start"]).cast("int")))
+    first = F.get(worst, 0)
+    return found.select("doc_id", "held_out", "score", "predicted", "n_sentences", F.size("offending").cast("bigint").alias("n_offending"), first["start"].alias("worst_start"), first["length"].alias("worst_length"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tradewind.llm.vector_codes import vector_codes
+
+    return vector_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), parts=4, entries=256, rounds=4, scale=1024)
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tradewind.llm.fill_in_middle import fill_in_middle, restored
+
+    found = fill_in_middle(_documents(spark, sf_dir), seed=1)
+    return found.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256")
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_license_scan, op3_sentence_pieces, op4_token_counts, op5_packing, op6_simhash, op7_suffix_dedup, op8_quality_rules, op9_debruijn_dedup, op10_embedding_dedup, op11_toxicity, op12_vector_codes, op13_fill_in_middle)}
+ORACLES = {"op8_quality_rules": oracles.QUALITY_RULES, "op12_vector_codes": oracles.vector_codes(), "op13_fill_in_middle": oracles.FILL_IN_MIDDLE}
