@@ -75,12 +75,17 @@ def _by_three() -> np.ndarray:
 CLASSES, COUNTS = _classes(), _by_three()
 
 
-def scan(data: bytes, before: bytes = b"\n\n") -> np.ndarray:
-    """What each byte counts; before holds the two bytes that precede."""
-    kinds = CLASSES[np.frombuffer(before + data, np.uint8)].astype(np.int16)
+def scan(data: bytes, preceding: bytes = b"\n\n") -> np.ndarray:
+    """What each byte counts; preceding holds the two bytes before."""
+    kinds = CLASSES[np.frombuffer(preceding + data, np.uint8)].astype(np.int16)
     return COUNTS[kinds[:-2] * 36 + kinds[1:-1] * 6 + kinds[2:]]
 
 
+def before(text: bytes, at: int) -> bytes:
+    """The two bytes before a place; line ends before the first."""
+    return (b"\n\n" + text[max(0, at - 2) : at])[-2:]
+
+
 class Counted(NamedTuple):
     """The first pass over a text: units, code points and sentinels of each of its blocks."""
 
@@ -92,7 +97,7 @@ class Counted(NamedTuple):
 def counted(text: bytes) -> Counted:
     units, points, sentinels = [], [], 0
     for at in range(0, len(text), BLOCK):
-        found = scan(text[at : at + BLOCK], text[at - 2 : at] if at else b"\n\n")
+        found = scan(text[at : at + BLOCK], before(text, at))
         units.append(int(np.count_nonzero(found & UNIT)))
         points.append(int(np.count_nonzero(found & POINT)))
         sentinels += int(np.count_nonzero(found & SENTINEL))
@@ -105,7 +110,7 @@ def located(text: bytes, found: Counted, unit: int) -> tuple[int, int]:
     for i, n in enumerate(found.units):
         if unit < n:
             at = i * BLOCK
-            flags = scan(text[at : at + BLOCK], text[at - 2 : at] if at else b"\n\n")
+            flags = scan(text[at : at + BLOCK], before(text, at))
             place = int(np.flatnonzero(flags & UNIT)[unit])
             return at + place, points + int(np.count_nonzero(flags[:place] & POINT))
         unit, points = unit - n, points + found.points[i]
@@ -156,8 +161,8 @@ def _some(ids: pa.Array, texts: list[bytes], hashes: list[list[int]]) -> pa.Reco
             a, b = place(low), place(high)
             chars = [int(points[starts[i] + x] - points[starts[i]]) for x in (a, b)]
         else:
-            (a, before), (b, until) = located(text, own, low), located(text, own, high)
-            chars = [before, until]
+            (a, first_chars), (b, until) = located(text, own, low), located(text, own, high)
+            chars = [first_chars, until]
         prefix, middle, suffix = text[:a], text[a:b], text[b:]
         spm = h4 % 100 < 20
         out["form"].append("spm" if spm else "psm")
