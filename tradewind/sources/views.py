@@ -95,6 +95,22 @@ VIEWS = {
           WHEN 7 THEN 'japanese PSA 9' WHEN 8 THEN 'PSA 10 CONTENDER' WHEN 9 THEN 'signed PSA 10' WHEN 10 THEN 'Cold Foil PSA 9.5' WHEN 11 THEN 'non-foil CGC 10' WHEN 12 THEN 'foil BECKETT 9' WHEN 13 THEN 'kingdom hearts' WHEN 14 THEN '7x cards' WHEN 15 THEN '2X Sword SGC 8'
           WHEN 16 THEN 'PSA 10 + PSA 9 other' WHEN 17 THEN 'prerelease trove' WHEN 18 THEN 'promo enamel pins' WHEN 19 THEN 'DE PSA 8' WHEN 20 THEN 'Cruella de vil DE PSA 8' WHEN 21 THEN 'TAG Grade 9' WHEN 22 THEN 'holo' WHEN 23 THEN 'slab PSA'
           WHEN 24 THEN 'PSA gem mt 10' WHEN 25 THEN 'Set of 2 autographed' WHEN 26 THEN '' WHEN 27 THEN 'BGS 9.5 KOR' WHEN 28 THEN 'would grade 10' WHEN 29 THEN 'Pins: Brave PSA 10' WHEN 30 THEN 'MINT 9 CGC' ELSE 'raw card' END) AS title FROM {lineitem} JOIN {part} ON p_partkey = l_partkey""",
+    "catalog_cards": """SELECT concat('crd_', p_partkey) AS card_id, set_name, CASE WHEN p_partkey % 53 = 0 THEN set_name ELSE concat('Hero', p_partkey % 61) END AS name,
+        CASE WHEN p_partkey % 53 <> 0 OR p_partkey % 2 = 0 THEN concat('Keep', p_partkey % 151, CASE WHEN p_partkey % 4 = 0 THEN '' ELSE concat(' ', p_name) END) END AS version,
+        CASE WHEN p_partkey % 29 = 0 THEN concat(p_size, 'ja') WHEN p_partkey % 29 = 1 THEN concat(p_size, 'zh') WHEN p_partkey % 31 = 0 THEN concat(p_size, 'B') WHEN p_partkey % 5 = 0 THEN concat('0', p_size)
+          ELSE CAST(p_size + CASE WHEN p_partkey % 3 = 0 THEN 150 ELSE 0 END AS STRING) END AS collector_number,
+        CASE p_type WHEN 'ECONOMY' THEN 'Common' WHEN 'STANDARD' THEN 'Rare' WHEN 'MEDIUM' THEN 'Super Rare' WHEN 'LARGE' THEN 'Enchanted' WHEN 'SMALL' THEN 'Epic' ELSE 'Promo' END AS rarity,
+        CASE WHEN set_no <> 25 THEN CAST(DATE '1994-11-30' + 90 * set_no AS DATE) END AS released_at
+        FROM (SELECT *, CASE CAST(substring(p_brand, 7) AS INT) WHEN 1 THEN 'The First Chapter' WHEN 2 THEN 'Rise of the Floodborn' WHEN 3 THEN 'Into the Inklands' WHEN 4 THEN 'Shimmering Skies' WHEN 5 THEN 'Azurite Sea' WHEN 6 THEN 'Reign of Jafar'
+          WHEN 7 THEN 'Fabled' WHEN 8 THEN 'Winterspell' WHEN 9 THEN 'Attack of the Vine!' WHEN 10 THEN 'Promo Set 1' WHEN 11 THEN 'Promo Set 2' WHEN 12 THEN 'D23 Collection' WHEN 13 THEN 'Challenge Promo' WHEN 14 THEN 'Lorcana Challenge Year 3'
+          ELSE concat('Set ', substring(p_brand, 7)) END AS set_name, CAST(substring(p_brand, 7) AS INT) AS set_no FROM {part}) p""",
+    "listings": """SELECT concat(l_orderkey, '-', l_linenumber, '-', l_suppkey, '-', l_partkey) AS item_id, CASE WHEN l_suppkey % 17 <> 0 THEN CAST(date_trunc('year', l_shipdate) AS DATE) END AS sold_date,
+        concat('Lorcana ', name, CASE l_suppkey % 4 WHEN 0 THEN '' WHEN 1 THEN concat(' - ', coalesce(version, '')) WHEN 2 THEN concat(' ', lower(coalesce(version, ''))) ELSE upper(concat(' ', coalesce(version, ''))) END,
+          CASE l_suppkey % 9 WHEN 0 THEN concat(' #', collector_number) WHEN 1 THEN concat(' ', collector_number, '/204') WHEN 3 THEN concat(' ', collector_number) WHEN 4 THEN concat(' #', 200 + l_suppkey % 5) WHEN 5 THEN concat(' ', l_suppkey % 40, '/P1')
+            WHEN 6 THEN concat(' #', l_suppkey % 30, 'B') WHEN 7 THEN ' 10/10/9.5 pop 7 2nd' WHEN 8 THEN concat(' ', l_suppkey % 20, '/C1') ELSE '' END,
+          CASE l_suppkey % 13 WHEN 0 THEN ' PSA 10 EN 7' WHEN 1 THEN ' D23 Collection CGC9.5' WHEN 2 THEN ' D23 Expo 1st Edition 2022' WHEN 3 THEN ' Enchanted PSA 9' WHEN 4 THEN concat(' ', set_name) WHEN 5 THEN ' Japanese' WHEN 6 THEN ' Epic BGS 9.5' WHEN 7 THEN ' lot of 3'
+            WHEN 8 THEN ' Azurite PSA 10' WHEN 9 THEN ' Top Prize #D23' WHEN 10 THEN ' attack of the vine 118 Chinese' WHEN 11 THEN ' D23 Promos EN11' ELSE ' slab' END) AS title
+        FROM {lineitem} JOIN {catalog_cards} ON card_id = concat('crd_', l_partkey)""",
     "decklists": """SELECT l_orderkey AS deck_id, CASE l_orderkey % 9 WHEN 0 THEN '1st' WHEN 1 THEN '2nd' WHEN 2 THEN 'Top 8' WHEN 3 THEN 'T16' WHEN 4 THEN '5th' WHEN 5 THEN ' ' WHEN 6 THEN '3' WHEN 7 THEN 'winner' END AS place,
         array_join(array_sort(collect_list(concat(CASE l_linenumber % 9 WHEN 8 THEN '# note ' WHEN 7 THEN '' ELSE concat(CAST(l_quantity % 5 AS INT), CASE WHEN l_linenumber % 2 = 0 THEN 'x ' ELSE ' ' END) END,
           CASE WHEN l_suppkey % 13 = 0 THEN 'Unknown Hero' ELSE upper(p_name) END))), chr(10)) AS decklist FROM {lineitem} JOIN {part} ON p_partkey = l_partkey GROUP BY l_orderkey""",
