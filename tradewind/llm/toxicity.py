@@ -255,7 +255,7 @@ def train(
     toxic: str = "toxic",
     folds: int = 4,
     held_out_fold: int = 2,
-    train_rows: int = 40_000,
+    train_rows: int = 20_000,
     min_documents: int = 3,
     max_features: int = 4096,
     rounds: int = 300,
