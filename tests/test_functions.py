@@ -157,18 +157,80 @@ def test_global_rank_equals_rank(spark):
 
 
 def test_merges(spark):
-    from tradewind.sinks.merge import inserted, last_of_batch, pruned, reread_plan, upserted
+    from tradewind.sinks.merge import inserted, last_of_batch, upserted
 
     stored, batch = rows(spark, "k int, n int, v string", [(1, 1, "a"), (2, 1, "b")]), rows(spark, "k int, n int, v string", [(2, 5, "x"), (2, 7, "y"), (3, 1, None)])
     assert sorted(upserted(stored, batch, ["k"], ["n"]).collect(), key=str) == [(1, 1, "a"), (2, 7, "y"), (3, 1, None)]
     assert last_of_batch(batch, ["k"], ["n"]).count() == 2 and [tuple(r) for r in inserted(stored, batch, ["k"], ["n"]).collect()] == [(3, 1, None)]
-    seen = rows(spark, "k int, at timestamp", [(1, dt.datetime(2024, 1, 1)), (2, dt.datetime(2024, 1, 3)), (3, None)])
-    kept, archived = pruned(seen, "at", "2024-01-03 12:00:00")
-    assert sorted(r.k for r in kept.collect()) == [2, 3] and [r.k for r in archived.collect()] == [1]
-    assert pruned(seen, "at", "2024-01-03 12:00:00", fetched=10)[1].count() == 0  # a partial fetch prunes nothing
-    had, has = rows(spark, "e int, m int", [(1, 1), (1, 2), (2, 1), (3, 1), (3, 2), (3, 3)]), rows(spark, "e int, m int", [(1, 2), (1, 3), (3, 9), (4, 1)])
-    got = {r.e: (r.state, r.n_add, r.n_delete) for r in reread_plan(had, has, "e", "m").collect()}
-    assert got == {1: ("apply", 1, 1), 2: ("untrusted", 0, 0), 3: ("held back", 1, 0), 4: ("apply", 1, 0)}
+
+
+def test_pruning_guards(spark):
+    from tradewind.sinks.merge import fates, trusted
+
+    assert trusted(4000, 5000) and not trusted(3999, 10) and not trusted(4000, 5715) and not trusted(9999, None) and trusted(4000, 0)
+    at = lambda d, h: dt.datetime(2024, 1, d, h)
+    seen = rows(spark, "k int, at timestamp, starts timestamp", [(1, at(1, 23), at(20, 0)), (2, at(2, 0), at(20, 0)), (3, at(1, 0), at(3, 11)), (4, None, at(20, 0)), (5, at(1, 0), dt.datetime(2023, 12, 4, 11)), (6, at(3, 0), dt.datetime(2023, 12, 4, 12)), (7, at(1, 0), None)])
+    fate = lambda whole: {r.k: r.fate for r in fates(seen, "at", "starts", "2024-01-03 12:00:00", whole).collect()}
+    assert fate(True) == {1: "delisted", 2: "kept", 3: "kept", 4: "kept", 5: "archived", 6: "kept", 7: "kept"}
+    assert set(fate(False).values()) == {"kept"}
+
+
+def test_reread_plans(spark):
+    from tradewind.sinks.merge import reread_plan
+
+    had = [(1, 1), (1, 2), (2, 1), (5, 1), *((3, m) for m in range(6)), *((4, m) for m in range(9))]
+    has = [(1, 2), (1, 3), *((3, m) for m in range(3)), *((4, m) for m in range(4)), (6, 1)]
+    read = rows(spark, "e int", [(e,) for e in (1, 2, 3, 4, 6, 7)])
+    got = {r.e: (r.state, r.adds, r.deletes) for r in reread_plan(rows(spark, "e int, m int", had), rows(spark, "e int, m int", has), read, "e", "m").collect()}
+    # three rows may always go; five of nine are more than half; event 5 wasn't read
+    assert got == {1: ("apply", [3], [1]), 2: ("untrusted", [], []), 3: ("apply", [], [3, 4, 5]), 4: ("held back", [], []), 6: ("apply", [1], []), 7: ("apply", [], [])}
+
+
+def test_sales_lines_keep_the_line_seen_first(spark, tmp_path):
+    from tradewind.sources.feeds import sales_lines
+
+    (tmp_path / "b.json").write_text('{"item_id": "1", "title": "later file", "price": 1.0}\n')
+    (tmp_path / "a.json").write_text("".join(f'{{"item_id": "{i}", "title": "{t}", "price": {p}, "sold": "2024-01-01"}}\n' for i, t, p in [("1", "zebra first", 2.0), ("1", "apple second", 9.0), ("", "x", 2.5), ("", "x", 2.5), ("", "x", 2.51)]))
+    got = sorted((r.key, r.title, r.price) for r in sales_lines(spark, str(tmp_path)).collect())
+    assert got == [("1", "zebra first", 2.0), ("x|2.50|2024-01-01", "x", 2.5), ("x|2.51|2024-01-01", "x", 2.51)]
+
+
+def test_archive_leaves_loaded_days_unread(spark, tmp_path):
+    from tradewind.sources.feeds import archive_prices
+
+    for day in ("2024-01-01", "2024-01-02"):
+        (tmp_path / f"day={day}").mkdir()
+        (tmp_path / f"day={day}" / "a.json").write_text('{"productId": 1, "marketPrice": 2.0}\n{"productId": 2, "marketPrice": 0}\n')
+    loaded = rows(spark, "price_date date", [(dt.date(2024, 1, 1),), (None,)])
+    left = archive_prices(spark, str(tmp_path), loaded)
+    assert [(r.product_id, str(r.price_date)) for r in left.collect()] == [(1, "2024-01-02")] and archive_prices(spark, str(tmp_path)).count() == 2
+
+
+def test_versioned_table(spark, tmp_path):
+    """A batch that runs twice or dies half way changes nothing; readers see whole versions."""
+    from pyspark.sql import functions as F
+
+    from tradewind.sinks.versions import VersionedTable, refreshed
+
+    table = VersionedTable(spark, f"file://{tmp_path}/t", "k int, n int, v string", ["k"], buckets=4)
+    assert table.rows().count() == 0 and table.version() == 0
+    batch = rows(spark, "k int, n int, v string", [(1, 1, "a"), (1, 3, "c"), (2, 1, "b"), (None, 1, "n")])
+    assert table.merge(batch, ["n"], 0) and not table.merge(batch, ["n"], 0)
+    old = table.rows()
+    assert sorted(map(tuple, old.collect()), key=str) == [(1, 3, "c"), (2, 1, "b"), (None, 1, "n")]
+    dying = rows(spark, "k int, n int, v string", [(1, 9, "x"), (7, 1, "y")]).withColumn("v", F.when(F.col("k") == 7, F.raise_error(F.lit("lost"))).otherwise(F.col("v")).cast("string"))
+    with pytest.raises(Exception, match="lost"):
+        table.merge(dying, ["n"], 1)
+    # whoever opens the path reads the last whole version
+    again = VersionedTable(spark, f"file://{tmp_path}/t", "k int, n int, v string", ["k"], buckets=4)
+    assert sorted(map(tuple, again.rows().collect()), key=str) == [(1, 3, "c"), (2, 1, "b"), (None, 1, "n")] and not again.holds(1)
+    assert again.merge(rows(spark, "k int, n int, v string", [(1, 9, "x")]), ["n"], 1) and again.rows(before=1).where("v = 'c'").count() == 1
+    assert sorted(map(tuple, old.collect()), key=str)[0] == (1, 3, "c")  # a reader's version stays as it was
+    with pytest.raises(Exception, match="lost"):
+        refreshed(again, [lambda: dying])
+    assert refreshed(again, [lambda: dying, lambda: batch.where("k = 2")]) == 1 and [tuple(r) for r in again.rows().collect()] == [(2, 1, "b")]
+    again.replace(batch.limit(0))
+    assert again.rows().count() == 0
 
 
 def test_sku_buckets_prefer_english(spark):
@@ -199,19 +261,6 @@ def test_refetch(spark):
     assert sorted(r.k for r in needs_refetch(stored, publish, ["k"]).collect()) == [1, 3] and needs_refetch(stored, publish, ["k"], explicit=True).count() == 0
 
 
-def test_cooled_alerts_equal_a_loop(spark):
-    from tradewind.plans.streams import sm7_cooled_alerts
-
-    sf_dir = "/root/testdata/sf0.001"
-    last, want = {}, []
-    for r in spark.read.parquet(f"{sf_dir}/events.parquet").where("value >= 80").orderBy("ts", "value").collect():
-        if r.user_id not in last or r.ts - last[r.user_id] >= dt.timedelta(days=2):
-            last[r.user_id] = r.ts
-            want.append((r.user_id, r.ts, r.value))
-    got = sm7_cooled_alerts(spark, sf_dir).collect()
-    assert sorted((r.user_id, r.fired_at, r.observed) for r in got) == sorted(want)
-
-
 def test_draw_tiers_of_four_rules(spark):
     from tradewind.operators.draws import RULES, draw_tiers
 

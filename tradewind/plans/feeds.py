@@ -8,31 +8,37 @@ from pyspark.sql import functions as F
 from tradewind.plans.registered import query
 from tradewind.sinks.merge import export_csv, inserted, reread_plan
 from tradewind.sinks.shared import shared_path
+from tradewind.sinks.versions import VersionedTable, refreshed
 from tradewind.sources import feeds
 from tradewind.sources.views import rows_of, view
 
 _PUBLISHED = """SELECT product_id AS productId, CASE WHEN printing <> 'Normal' THEN printing END AS subTypeName, CASE WHEN product_id % 5 = 0 THEN 0.0E0 ELSE CAST(low AS DOUBLE) END AS lowPrice,
-  CASE WHEN product_id % 3 = 0 THEN 0.0E0 ELSE CAST(market AS DOUBLE) END AS marketPrice, CAST(price_date AS STRING) AS day FROM {prices} WHERE year(price_date) = 2000"""
+  CASE WHEN product_id % 3 = 0 THEN 0.0E0 ELSE CAST(market AS DOUBLE) END AS marketPrice, CAST(price_date AS STRING) AS day FROM {prices}"""
 
 
 @query("""SELECT product_id, price_date, printing, CASE WHEN product_id % 5 <> 0 THEN CAST(low AS DOUBLE) END AS low, CASE WHEN product_id % 3 <> 0 THEN CAST(market AS DOUBLE) END AS market
-  FROM {prices} WHERE year(price_date) = 2000 AND NOT (product_id % 5 = 0 AND (product_id % 3 = 0 OR market IS NULL)) AND price_date NOT IN (SELECT price_date FROM {prices} WHERE product_id = 1)""")
+  FROM {prices} WHERE NOT (product_id % 5 = 0 AND (product_id % 3 = 0 OR market IS NULL)) AND price_date NOT IN (SELECT price_date FROM {prices} WHERE product_id = 1)""")
 def src2_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC1, SRC2, PRJ1: a year's published prices, less the days that are loaded already."""
+    """SRC1, SRC2, PRJ1: published prices by day, less the days that are loaded already."""
     path = shared_path(spark, "archive")
-    rows_of(spark, sf_dir, _PUBLISHED).write.json(path)
+    # a folder a month; the days are columns of the rows then, and folders of days are what pruning skips
+    rows_of(spark, sf_dir, _PUBLISHED).withColumn("month", F.substring("day", 1, 7)).repartition("month").write.partitionBy("month").json(path)
     return feeds.archive_prices(spark, path, view(spark, sf_dir, "prices").where("product_id = 1")).select("product_id", "price_date", "printing", "low", "market")
 
 
-_LINES = "SELECT CASE WHEN l_suppkey % 3 <> 0 THEN concat(l_orderkey, '-', l_partkey) END AS item_id, concat('T', l_partkey) AS title, l_extendedprice AS price, CAST(CAST(l_shipdate AS DATE) AS STRING) AS sold FROM {lineitem}"
+_LINES = """SELECT item_id, title, price, sold, folder FROM (SELECT CASE WHEN l_suppkey % 3 <> 0 THEN concat(l_orderkey, '-', l_partkey) ELSE '' END AS item_id, concat('T', l_partkey) AS title, CAST(round(l_extendedprice * 100) AS BIGINT) % 1000 / 100.0E0 AS price,
+  CAST(CAST(date_trunc('month', l_shipdate) AS DATE) AS STRING) AS sold, CASE WHEN l_linenumber < 3 THEN 'a' WHEN l_linenumber < 6 THEN 'b' ELSE 'c' END AS folder FROM {lineitem}) x GROUP BY item_id, title, price, sold, folder"""
 
 
-@query(f"SELECT coalesce(item_id, title || '|' || price || '|' || sold) AS key FROM ({_LINES.replace('l_extendedprice AS price', 'floor(l_extendedprice) AS price')}) GROUP BY ALL".replace("|| price ||", "|| printf('%.1f', price) ||"))
+@query(f"""WITH l AS (SELECT *, CASE WHEN item_id <> '' THEN item_id ELSE title || '|' || CAST(CAST(price AS DECIMAL(14,2)) AS VARCHAR) || '|' || sold END AS key FROM ({_LINES}))
+  SELECT key, arg_min(item_id, (folder, price, sold)) AS item_id, arg_min(title, (folder, price, sold)) AS title, arg_min(price, (folder, price, sold)) AS price, arg_min(sold, (folder, price, sold)) AS sold FROM l GROUP BY key""")
 def src3_sales_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC3: sales of JSON lines, one row per item across files."""
+    """SRC3: sales of JSON lines, one row per item across files, the line seen first (each folder's lines are sorted by price and day)."""
     path = shared_path(spark, "lines")
-    rows_of(spark, sf_dir, _LINES.replace("l_extendedprice AS price", "floor(l_extendedprice) AS price")).selectExpr("item_id", "title", "CAST(price AS DOUBLE) AS price", "sold").write.json(path)
-    return feeds.sales_lines(spark, path).select("key")
+    for folder in ("a", "b", "c"):
+        rows = rows_of(spark, sf_dir, _LINES).where(F.col("folder") == folder).drop("folder")
+        rows.repartitionByRange(4, "price", "sold").sortWithinPartitions("price", "sold").write.json(f"{path}/{folder}")
+    return feeds.sales_lines(spark, path)
 
 
 _WEEKS = """SELECT CAST(l_partkey AS BIGINT) AS product, l_returnflag AS printing, l_linestatus AS condition, CAST(date_trunc('week', l_shipdate) AS DATE) AS week, CASE WHEN l_suppkey % 2 = 0 THEN 'English' ELSE 'German' END AS language,
@@ -69,12 +75,42 @@ def snk2_inserted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _STORED = "SELECT DISTINCT o_custkey % 200 AS event, o_custkey AS member FROM {orders} WHERE o_orderkey % 5 <> 0"
 _FETCHED = "SELECT DISTINCT o_custkey % 200 AS event, o_custkey AS member FROM {orders} WHERE o_orderkey % 7 <> 0 AND o_custkey % 200 <> 13 AND NOT (o_custkey % 200 = 17 AND o_custkey > 400)"
+#: The events that were read: number 19 wasn't, number 13 came back empty.
+_READ = "SELECT DISTINCT o_custkey % 200 AS event FROM {orders} WHERE o_custkey % 200 <> 19"
 
 
 @query(f"""WITH a AS (SELECT event, list(member) AS had FROM ({_STORED}) GROUP BY event), b AS (SELECT event, list(member) AS has FROM ({_FETCHED}) GROUP BY event),
-  j AS (SELECT coalesce(a.event, b.event) AS event, coalesce(had, []) AS had, coalesce(has, []) AS has FROM a FULL JOIN b ON a.event = b.event),
-  s AS (SELECT *, len(list_intersect(had, has)) AS kept, CASE WHEN len(has) = 0 AND len(had) > 0 THEN 'untrusted' WHEN len(list_intersect(had, has)) < len(had) * 0.5 THEN 'held back' ELSE 'apply' END AS state FROM j)
-  SELECT event, state, CAST(len(has) - kept AS INTEGER) AS n_add, CAST(CASE WHEN state = 'apply' THEN len(had) - kept ELSE 0 END AS INTEGER) AS n_delete FROM s""")
+  j AS (SELECT event, coalesce(had, []) AS had, coalesce(has, []) AS has FROM ({_READ}) r LEFT JOIN a USING (event) LEFT JOIN b USING (event)), g AS (SELECT *, list_sort(list_filter(had, lambda m: NOT list_contains(has, m))) AS gone FROM j),
+  s AS (SELECT *, CASE WHEN len(has) = 0 AND len(had) > 0 THEN 'untrusted' WHEN len(gone) > greatest(3, floor(len(had) * 0.5)) THEN 'held back' ELSE 'apply' END AS state FROM g)
+  SELECT event, state, array_to_string(list_sort(list_filter(has, lambda m: NOT list_contains(had, m))), ',') AS adds, CASE WHEN state = 'apply' THEN array_to_string(gone, ',') ELSE '' END AS deletes FROM s""")
 def snk4_reread_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SNK4: what a re-read of each event changes, and which plans are held back."""
-    return reread_plan(rows_of(spark, sf_dir, _STORED), rows_of(spark, sf_dir, _FETCHED), "event", "member")
+    """SNK4: whom a re-read of each event adds and deletes, and which plans are held back or untrusted."""
+    plan = reread_plan(rows_of(spark, sf_dir, _STORED), rows_of(spark, sf_dir, _FETCHED), rows_of(spark, sf_dir, _READ), "event", "member")
+    return plan.select("event", "state", *(F.array_join(F.transform(c, lambda m: m.cast("string")), ",").alias(c) for c in ("adds", "deletes")))
+
+
+_ORDERS = "SELECT o_custkey, o_orderstatus, o_orderkey, CAST(o_orderdate AS DATE) AS day FROM {orders}"
+
+
+@query(f"SELECT o_custkey, o_orderstatus, o_orderkey, day FROM ({_ORDERS}) QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY day DESC, o_orderkey DESC) = 1")
+def snk1_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK1: yearly batches upserted into a stored table, each of them twice, the last row of each key in a batch."""
+    rows = rows_of(spark, sf_dir, _ORDERS)
+    table = VersionedTable(spark, shared_path(spark, "orders"), rows.schema, ["o_custkey", "o_orderstatus"])
+    first, last = rows.agg(F.min(F.year("day")), F.max(F.year("day"))).first()
+    for year in range(first, last + 1):
+        for _ in range(2):
+            table.merge(rows.where(F.year("day") == year), ["day", "o_orderkey"], year)
+    return table.rows()
+
+
+@query("SELECT l_partkey, count(*) AS n, max(CAST(l_shipdate AS DATE)) AS last FROM {lineitem} GROUP BY l_partkey")
+def snk5_refreshed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK5: a stored result swapped for a newer one; the first attempt fails half way, so the plain one after it counts."""
+    totals = lambda rows: rows.groupBy("l_partkey").agg(F.count("*").alias("n"), F.to_date(F.max("l_shipdate")).alias("last"))
+    rows = view(spark, sf_dir, "lineitem")
+    table = VersionedTable(spark, shared_path(spark, "totals"), "l_partkey bigint, n bigint, last date", ["l_partkey"])
+    refreshed(table, [lambda: totals(rows.where("l_linenumber = 1"))])
+    failing = lambda: totals(rows).withColumn("n", F.when(F.col("l_partkey") >= 0, F.raise_error(F.lit("lost"))).otherwise(F.col("n")).cast("bigint"))
+    refreshed(table, [failing, lambda: totals(rows)])
+    return table.rows()

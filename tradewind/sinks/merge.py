@@ -1,8 +1,7 @@
 """Merges of a batch into a stored table, and the writes that follow.
 
-Plain Parquet has no MERGE: the merged rows are written to a staging folder
-beside the table and the folder's name is swapped in by the caller's catalog,
-or the touched partitions alone are overwritten.
+Plain Parquet has no MERGE: merged rows are written beside the table and swapped
+in (sinks.versions), or the touched partitions alone are overwritten.
 """
 
 from __future__ import annotations
@@ -32,31 +31,40 @@ def inserted(stored: DataFrame, batch: DataFrame, keys: list[str], order: list[s
     return new.join(stored.select(*keys), keys, "left_anti").select(batch.columns)
 
 
-def pruned(stored: DataFrame, seen: str, now: str, hours: int = 36, fetched: int | None = None, least: int = 4000, ratio: float = 0.7) -> tuple[DataFrame, DataFrame]:
-    """(kept, archived): rows unseen for ``hours`` go to the archive.
+def trusted(fetched: int, upcoming: int | None, least: int = 4000, ratio: float = 0.7) -> bool:
+    """Whether a pull is whole enough to delete by: not under a floor, and no less than a share of the upcoming rows on file.
 
-    Nothing is pruned if the last fetch brought fewer than ``least`` rows or
-    less than ``ratio`` of the stored ones: a partial fetch isn't a deletion.
+    Without the number of these nothing is deleted: then the share can't be judged.
     """
-    whole = fetched is None or (fetched >= least and fetched >= ratio * stored.count())
-    stale = F.coalesce(F.col(seen) < F.expr(f"TIMESTAMP '{now}' - INTERVAL {hours} HOURS"), F.lit(False)) & F.lit(whole)
-    return stored.where(~stale), stored.where(stale)
+    return fetched >= least and upcoming is not None and fetched >= ratio * upcoming
 
 
-def reread_plan(stored: DataFrame, fetched: DataFrame, event: str, member: str, least_share: float = 0.5) -> DataFrame:
-    """Per event what a re-read changes: members to add and to delete, and whether the plan is held back.
+def fates(stored: DataFrame, seen: str, starts: str, run: str, whole: bool, grace_hours: int = 36, keep_days: int = 30) -> DataFrame:
+    """Each row's fate: delisted (upcoming, unseen for ``grace_hours`` before the run), archived (past by ``keep_days``) or kept.
 
-    An event that came back empty is untrusted, and one that lost more than
-    ``1 - least_share`` of its members is held back; neither deletes anything.
+    All are kept after a pull that isn't whole.
     """
-    gather = lambda rows, name: rows.groupBy(event).agg(F.array_sort(F.collect_set(member)).alias(name))
-    both = gather(stored, "had").join(gather(fetched, "has"), event, "full")
+    at = F.lit(run).cast("timestamp")
+    hours = lambda n: F.make_interval(hours=F.lit(n))
+    delisted = (F.col(starts) >= at) & (F.col(seen) < at - hours(grace_hours))
+    past = F.col(starts) < at - hours(24 * keep_days)
+    return stored.withColumn("fate", F.when(F.lit(whole) & delisted, "delisted").when(F.lit(whole) & past, "archived").otherwise("kept"))
+
+
+def reread_plan(stored: DataFrame, fetched: DataFrame, events: DataFrame, event: str, member: str, least: int = 3, share: float = 0.5) -> DataFrame:
+    """Per event that was read what the re-read changes: members to add and to delete by name, and whether deletes are held back.
+
+    An event that came back empty though rows are on file is untrusted: nothing
+    is deleted.  One that would lose more than ``least`` rows and more than
+    ``share`` of them is held back.  Events that weren't read aren't in the plan.
+    """
+    gather = lambda rows, name: rows.where(F.col(member).isNotNull()).groupBy(event).agg(F.array_sort(F.collect_set(member)).alias(name))
+    both = events.select(event).distinct().join(gather(stored, "had"), event, "left").join(gather(fetched, "has"), event, "left")
     empty = F.array().cast(stored.select(F.array(member)).schema[0].dataType)
     both = both.withColumns({"had": F.coalesce("had", empty), "has": F.coalesce("has", empty)})
-    state = F.when((F.size("has") == 0) & (F.size("had") > 0), "untrusted").when(F.size(F.array_intersect("had", "has")) < F.size("had") * least_share, "held back").otherwise("apply")
-    planned = both.withColumn("state", state)
-    gone = F.when(F.col("state") == "apply", F.size(F.array_except("had", "has"))).otherwise(0)
-    return planned.select(event, "state", F.size(F.array_except("has", "had")).alias("n_add"), gone.alias("n_delete"))
+    gone = F.array_except("had", "has")
+    state = F.when((F.size("has") == 0) & (F.size("had") > 0), "untrusted").when(F.size(gone) > F.greatest(F.lit(least), F.floor(F.size("had") * share)), "held back").otherwise("apply")
+    return both.select(event, state.alias("state"), F.array_except("has", "had").alias("adds"), F.when(state == "apply", gone).otherwise(empty).alias("deletes"))
 
 
 def replace_partitions(rows: DataFrame, path: str, by: list[str]) -> None:

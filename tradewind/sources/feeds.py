@@ -21,16 +21,28 @@ def price_rows(raw: DataFrame, day: str = "day") -> DataFrame:
 
 
 def archive_prices(spark: SparkSession, path: str, loaded: DataFrame | None = None) -> DataFrame:
-    """An archive of JSON files by folder day=..., less the days that loaded(price_date) already holds; whole folders are skipped by pruning."""
-    rows = price_rows(spark.read.schema(f"{PRICE}, day string").json(path))
-    return rows if loaded is None else rows.join(F.broadcast(loaded.select("price_date").distinct()), "price_date", "left_anti")  # one row a day
+    """An archive of JSON files, less the days that loaded(price_date) already holds.
+
+    The loaded days are collected, one value a day: where the archive has a
+    folder for each (day=...), partition pruning leaves theirs unread.
+    """
+    rows = spark.read.schema(f"{PRICE}, day date").json(path)
+    if loaded is not None:
+        days = [r[0] for r in loaded.select("price_date").where("price_date IS NOT NULL").distinct().collect()]
+        rows = rows.where(~F.col("day").isin(days)) if days else rows
+    return price_rows(rows)
 
 
 def sales_lines(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines of all files with one row per item: by item_id, else by title, price and date; the first file's row in order of names stays."""
-    rows = spark.read.schema(SALE).json(path).withColumns({"file": F.col("_metadata.file_path"), "at": F.col("_metadata.file_block_start")})
-    key = F.coalesce(F.nullif("item_id", F.lit("")), F.concat_ws("|", "title", F.col("price").cast("string"), "sold"))
-    kept = rows.groupBy(key.alias("key")).agg(F.min(F.struct("file", "at", "item_id", "title", "price", "sold")).alias("r"))
+    """JSON lines of all files with one row per item: by item_id, else by title, price and date; the line seen first stays.
+
+    Files come in order of their names, lines in the order of their file: by the
+    split's offset, and by the running number that a split's lines are read in.
+    """
+    lines = spark.read.schema(SALE).option("recursiveFileLookup", True).json(path)
+    rows = lines.withColumns({"file": F.col("_metadata.file_path"), "at": F.col("_metadata.file_block_start"), "line": F.monotonically_increasing_id()})
+    key = F.coalesce(F.nullif("item_id", F.lit("")), F.concat_ws("|", "title", F.col("price").cast("decimal(14,2)").cast("string"), "sold"))
+    kept = rows.groupBy(key.alias("key")).agg(F.min_by(F.struct("item_id", "title", "price", "sold"), F.struct("file", "at", "line")).alias("r"))
     return kept.select("key", "r.item_id", "r.title", "r.price", "r.sold")
 
 

@@ -1,17 +1,15 @@
-"""Streams of prices, sales and events: days, duplicates, windows, sessions, limits and alerts.
+"""Streams of prices, sales and events: days, duplicates, windows, sessions and limits.
 
-Every function takes a stream (or, but for the state of alerts, a table) and
-returns one; nothing here starts it.
+Every function takes a stream (or a table) and returns one; nothing here starts
+it.  All are for append mode: a window, session or key is given out once, when
+the watermark has passed it, and its state goes then.  So results don't depend
+on how rows fall into batches, as long as none is later than the delay.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def event_day(stamp: str, published: str | None = None, cutoff_minutes: int = 20 * 60 + 15) -> Column:
@@ -26,9 +24,9 @@ def distinct_keys(rows: DataFrame, keys: list[str], at: str = "ts", delay: str =
     return rows.withWatermark(at, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def weekly(rows: DataFrame, key: str, value: str, at: str = "ts") -> DataFrame:
-    """Counts and sums in tumbling weeks that begin on Mondays."""
-    found = rows.groupBy(F.window(at, "7 days", "7 days", "4 days").alias("week"), key).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
+def weekly(rows: DataFrame, key: str, value: str, at: str = "ts", delay: str = "1 day") -> DataFrame:
+    """Counts and sums in tumbling weeks that begin on Mondays, once a week is over by the delay."""
+    found = rows.withWatermark(at, delay).groupBy(F.window(at, "7 days", "7 days", "4 days").alias("week"), key).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
     return found.select(F.to_date("week.start").alias("week_start"), key, "n", "total")
 
 
@@ -44,53 +42,34 @@ def settled_days(rows: DataFrame, key: str, at: str = "ts", lag: str = "7 days")
     return found.select(F.to_date("d.start").alias("day"), key, "n")
 
 
-def arrivals(rows: DataFrame, key: str, sold: str, scraped: str, days: int = 14) -> DataFrame:
-    """Sales by day of arrival: how many were sold within ``days`` before it, and how many are older and so never new."""
+def arrivals(rows: DataFrame, key: str, sold: str, scraped: str, days: int = 14, slot: str = "1 hour", delay: str = "1 day") -> DataFrame:
+    """Sales by slot of arrival: how many were sold within ``days`` before it, and how many are older and so never new."""
     fresh = F.datediff(scraped, sold) <= days
-    found = rows.groupBy(F.window(F.col(scraped).cast("timestamp"), "1 day").alias("d"), key).agg(F.count_if(fresh).alias("n_new"), F.count_if(~fresh).alias("n_old"))
-    return found.select(F.to_date("d.start").alias("day"), key, "n_new", "n_old")
-
-
-def rate_limits(rows: DataFrame, bucket: str, pool: str, at: str = "ts", window: str = "1 hour", slide: str = "10 minutes", most: int = 30, pool_most: int = 300, pool_busy: int = 150, light: int = 2) -> DataFrame:
-    """Sliding windows in which a bucket is refused: it wrote ``most`` times, its pool ``pool_most`` times, or the pool is busy and the bucket wrote ``light`` times.
+    found = rows.withWatermark(scraped, delay).groupBy(F.window(scraped, slot).alias("w"), key).agg(F.count_if(fresh).alias("n_new"), F.count_if(~fresh).alias("n_old"))
+    return found.select(F.col("w.end").alias("arrived_by"), key, "n_new", "n_old")
 
-    The pool's count is part of each bucket's row by a map of counts, so that one aggregate serves both.
-    """
-    w = F.window(at, window, slide).alias("w")
-    per = rows.groupBy(w, pool, bucket).agg(F.count("*").alias("n"))
-    return per.select(F.col("w.start").alias("began"), pool, bucket, "n", F.lit(most).alias("most"), F.lit(pool_most).alias("pool_most"), F.lit(pool_busy).alias("pool_busy"), F.lit(light).alias("light"))
 
+def report_windows(reports: DataFrame, built: str = "built_at", span_days: int = 1, most_days: int = 2) -> DataFrame:
+    """reports with cutoff: each takes up where the one before was built, but no further back than its span and ``most_days``."""
+    from pyspark.sql import Window as W
 
-def refused(counted: DataFrame, bucket: str, pool: str) -> DataFrame:
-    """What rate_limits() refuses, of one result of it: the pools' totals are summed and joined back."""
-    total = counted.groupBy("began", pool).agg(F.sum("n").alias("pool_n"))
-    hit = (F.col("n") >= F.col("most")) | (F.col("pool_n") >= F.col("pool_most")) | ((F.col("pool_n") >= F.col("pool_busy")) & (F.col("n") >= F.col("light")))
-    return counted.join(total, ["began", pool]).where(hit).select("began", pool, bucket, "n", "pool_n")
+    span = F.make_interval(days=F.lit(span_days))
+    before = F.lag(built).over(W.orderBy(built))  # a row a day, so one task holds them
+    oldest = F.col(built) - F.make_interval(days=F.lit(span_days + most_days))
+    return reports.withColumn("cutoff", F.greatest(F.coalesce(before, F.col(built) - span), oldest))
 
 
-def cooled_alerts(rows: DataFrame, key: str, value: str, at: str, threshold: float, cooldown_seconds: int) -> DataFrame:
-    """(key, fired_at, observed): a key fires when its value reaches the threshold and its last firing is ``cooldown_seconds`` old or older.
+def rate_limits(rows: DataFrame, bucket: str, pool: str, at: str = "ts", window: str = "1 hour", slide: str = "10 minutes", most: int = 30, pool_most: int = 300, pool_busy: int = 150, light: int = 2, delay: str = "10 minutes") -> DataFrame:
+    """Sliding windows in which a bucket is refused: it wrote ``most`` times, its pool ``pool_most`` times, or the pool is busy and the bucket wrote ``light`` times.
 
-    The last firing is the state of a key, one timestamp whatever the number of
-    rows; rows of a batch are taken in order of time.
+    Three stateful steps in one stream: counts of buckets, the pools' sums of
+    these, and the join of both by window, whose state ends with the window.
     """
-    kind = rows.schema[key].dataType.simpleString()
-
-    def fire(own: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        hits = pd.concat([b[b[value] >= threshold] for b in batches]).sort_values([at, value])
-        out = []
-        for when, seen in zip(hits[at], hits[value]):
-            now = when.value // 1000
-            if last is None or now - last >= cooldown_seconds * 1_000_000:
-                last = now
-                out.append((own[0], when, float(seen)))
-        if last is not None:
-            state.update((last,))
-        yield pd.DataFrame(out, columns=[key, "fired_at", "observed"]).astype({"fired_at": "datetime64[us]"})
-
-    schema = f"{key} {kind}, fired_at timestamp, observed double"
-    return rows.select(key, at, value).groupBy(key).applyInPandasWithState(fire, schema, "last bigint", "append", GroupStateTimeout.NoTimeout)
+    w = F.window(at, window, slide).alias("w")
+    counted = lambda: rows.withWatermark(at, delay).groupBy(w, pool, bucket).agg(F.count("*").alias("n"))
+    pools = counted().groupBy("w", pool).agg(F.sum("n").alias("pool_n"))
+    hit = (F.col("n") >= most) | (F.col("pool_n") >= pool_most) | ((F.col("pool_n") >= pool_busy) & (F.col("n") >= light))
+    return counted().join(pools, ["w", pool]).where(hit).select(F.col("w.start").alias("began"), pool, bucket, "n", "pool_n")
 
 
 def needs_refetch(stored: DataFrame, publish: DataFrame, keys: list[str], explicit: bool = False) -> DataFrame:
@@ -98,8 +77,3 @@ def needs_refetch(stored: DataFrame, publish: DataFrame, keys: list[str], explic
     last = stored.groupBy(*keys).agg(F.max("inserted_at").alias("inserted_at"))
     due = publish.join(last, keys, "left").where(F.col("inserted_at").isNull() | (F.col("inserted_at") < F.col("published_at")))
     return due.where(F.lit(not explicit)).select(*keys)
-
-
-def last_seen(rows: DataFrame, key: str, at: str = "ts") -> DataFrame:
-    """When each key was last seen; the state that pruning works on."""
-    return rows.groupBy(key).agg(F.max(at).alias("last_seen_at"), F.count("*").alias("n"))

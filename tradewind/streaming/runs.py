@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tradewind.sinks.shared import shared_path
 from tradewind.sources.tables import table
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def arriving(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int = 64) -> DataFrame:
     """A table of the folder as a stream of files."""
@@ -14,24 +19,32 @@ def arriving(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int =
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet*")
 
 
-def run_once(rows: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a stream until it has read all there is, and reads its result.
+def in_batches(rows: DataFrame, arrived: Column, batches: int, name: str) -> DataFrame:
+    """Replays a table as a stream: its rows in order of arrival, one file a batch; what rows say of their time isn't changed."""
+    spark = rows.sparkSession
+    path, at = shared_path(spark, name), F.unix_micros(arrived.cast("timestamp"))
+    first, last = rows.agg(F.min(at), F.max(at)).first()
+    step = 1 if first is None else (last - first + batches) // batches
+    stamped = rows.withColumn("_batch", F.coalesce(F.floor((at - F.lit(first)) / step), F.lit(0)))
+    for i in range(batches):
+        stamped.where(F.col("_batch") == i).drop("_batch").coalesce(1).write.parquet(f"{path}/{i:04d}")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(path)
 
-    Appended rows go to a Parquet sink, which is exactly-once by its own log.
-    A complete result replaces the one before: each batch writes a folder of its
-    own, so a batch that runs again overwrites only itself, and the last is read.
-    """
+
+def _writer(rows: DataFrame, name: str):
     spark = rows.sparkSession
-    out, log = shared_path(spark, name), shared_path(spark, f"{name}-log")
-    writer = rows.writeStream.outputMode(mode).option("checkpointLocation", log).trigger(availableNow=True)
-    if mode == "append":
-        writer.format("parquet").option("path", out).start().awaitTermination()
-        return spark.read.schema(rows.schema).parquet(out)
-    last: list[int] = []
-
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/{number}")
-        last.append(number)
-
-    writer.foreachBatch(write).start().awaitTermination()
-    return spark.read.schema(rows.schema).parquet(f"{out}/{last[-1]}") if last else spark.createDataFrame([], rows.schema)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    return rows.writeStream.outputMode("append").option("checkpointLocation", shared_path(spark, f"{name}-log")).trigger(availableNow=True)
+
+
+def run_once(rows: DataFrame, name: str) -> DataFrame:
+    """Runs a stream until it has read all there is, and reads what it has appended, exactly once by the sink's own log."""
+    spark = rows.sparkSession
+    out = shared_path(spark, name)
+    _writer(rows, name).format("parquet").option("path", out).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(out)
+
+
+def each_batch(rows: DataFrame, name: str, write: Callable[[DataFrame, int], None]) -> None:
+    """Runs a stream until it has read all there is and gives each batch with its number to write(), which must bear a batch twice."""
+    _writer(rows, name).foreachBatch(write).start().awaitTermination()
