@@ -73,9 +73,7 @@ def test_state_is_bounded(spark, rows):
     made = {
         "alerts": lambda s: cooled_alerts(s, "user_id", "value", "ts", 60.0, 2, "2 hours"),
         "sessions": lambda s: E.sessions(s, "user_id", "6 hours", delay="2 hours"),
-        "weekly": lambda s: E.weekly(s, "user_id", "value", delay="2 hours"),
         "limits": lambda s: E.rate_limits(s, "user_id", "pool", most=2, pool_most=9, pool_busy=6, light=1, delay="2 hours"),
-        "arrivals": lambda s: E.arrivals(s.withColumn("sold", F.to_date("ts")), "user_id", "sold", "ts", delay="2 hours"),
     }
     for name, make in made.items():
         writer = make(stream(spark, rows, 20)).writeStream.outputMode("append").option("checkpointLocation", shared_path(spark, "log")).trigger(availableNow=True)
