@@ -1,32 +1,94 @@
-"""Accounts that may be one person."""
+"""Accounts that may be one person: classes of equal names, similar names across platforms, and collisions on one."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tradewind.functions.similar import similar_strings
+
+#: Certainty of suggestions: the same display name, the same letters and digits, and accounts of one platform with and without common circles.
+EXACT, NORMALISED, SAME_CIRCLE, APART = 1.0, 0.95, 0.9, 0.5
+
+
+def name_key(name: str) -> Column:
+    """A name's letters and digits in lower case."""
+    return F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), "[^a-z0-9]", "")
+
 
 def sorted_words(name: str) -> Column:
-    """A name's words in lower case, in order of the alphabet."""
-    return F.array_join(F.array_sort(F.filter(F.split(F.lower(name), "[^a-z0-9]+"), lambda w: w != "")), " ")
+    """A name's words in lower case, in order of the alphabet, joined."""
+    return F.array_join(F.array_sort(F.regexp_extract_all(F.lower(F.coalesce(name, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))), "")
+
+
+def alias_suggestions(players: DataFrame) -> DataFrame:
+    """Each account of players(player_id, name, platform) whose name another platform has too.
+
+    (player_id, class_id, platform, evidence, confidence, n_other): class_id is
+    the smallest account of the same letters and digits, so pairs are accounts
+    of one class; evidence is exact where the display name itself is there, and
+    n_other counts the accounts of other platforms.  No pairs are written, so a
+    name that very many accounts share is as many rows.  Names without letters
+    and digits match nothing.
+    """
+    keyed = players.withColumn("k", name_key("name")).where("k <> ''")
+    classes = keyed.groupBy("k").agg(F.min("player_id").alias("class_id"), F.count("*").alias("n"), F.min("platform").alias("p1"), F.max("platform").alias("p2")).where("p1 <> p2")
+    per = keyed.groupBy("k", "platform").agg(F.count("*").alias("own"))
+    shown = keyed.groupBy(F.col("k"), "name").agg(F.min("platform").alias("s1"), F.max("platform").alias("s2"))
+    found = keyed.join(classes, "k").join(per, ["k", "platform"]).join(shown, ["k", "name"])
+    exact = F.col("s1") != F.col("s2")
+    return found.select("player_id", "class_id", "platform", F.when(exact, "exact").otherwise("normalized").alias("evidence"), F.when(exact, EXACT).otherwise(NORMALISED).alias("confidence"), (F.col("n") - F.col("own")).alias("n_other"))
 
 
-def alias_suggestions(players: DataFrame, entries: DataFrame, most: int = 1000) -> DataFrame:
-    """(a, b, kind, possible): pairs of accounts(player_id, name) with equal names (exact) or equal sorted words (normalised).
+def similar_names(players: DataFrame, of: str, among: str, least: float = 0.85, top: int = 3) -> DataFrame:
+    """(player_id, other_id, confidence): for accounts of a platform the most similar names of another, ``top`` accounts at most.
 
-    possible is false for pairs that both entered one event.  Names that over
-    ``most`` accounts share say nothing and are left to alias_groups().
+    The ratio is that of the names' letters and digits or of their sorted words,
+    the larger; accounts whose name the other platform has as it is are left
+    out.  Names are compared once however many accounts share them; of equal
+    ratios the smaller other_id comes first.
     """
-    keyed = players.withColumn("k", sorted_words("name")).where("k <> ''")
-    sized = keyed.withColumn("n", F.expr("count(*) OVER (PARTITION BY k)")).where(F.col("n") <= most)
-    one = sized.select("k", F.col("player_id").alias("a"), F.col("name").alias("name_a"))
-    two = sized.select(F.col("k"), F.col("player_id").alias("b"), F.col("name").alias("name_b"))
-    pairs = one.join(two, "k").where("a < b").select("a", "b", F.when(F.col("name_a") == F.col("name_b"), "exact").otherwise("normalised").alias("kind"))
-    there = entries.select("event_id", "player_id").distinct()
-    met = pairs.join(there.withColumnRenamed("player_id", "a"), "a").join(there.withColumnRenamed("player_id", "b"), ["b", "event_id"]).select("a", "b").distinct().withColumn("met", F.lit(True))
-    return pairs.join(met, ["a", "b"], "left").select("a", "b", "kind", F.col("met").isNull().alias("possible"))
-
-
-def alias_groups(players: DataFrame) -> DataFrame:
-    """(k, n, first_id): every name key with its number of accounts and the smallest id; groups of any size."""
-    return players.withColumn("k", sorted_words("name")).where("k <> ''").groupBy("k").agg(F.count("*").alias("n"), F.min("player_id").alias("first_id"))
+    keyed = players.select("player_id", "platform", name_key("name").alias("k"), sorted_words("name").alias("w")).where("k <> ''")
+    theirs = keyed.where(F.col("platform") == among)
+    ours = keyed.where(F.col("platform") == of).join(theirs.select("k").distinct(), "k", "left_anti")
+    first = W.partitionBy("k", "w").orderBy("player_id")
+    # more than ``top`` accounts of one name can't all be among the best
+    offered = theirs.withColumn("place", F.row_number().over(first)).where(F.col("place") <= top).select("k", "w", F.col("player_id").alias("other_id"))
+    names = lambda rows, c: rows.select(F.col(c).alias("s"))
+    turned = theirs.where("w <> k")
+    plain = similar_strings(names(ours, "k"), names(theirs, "k"), least).select(F.col("a").alias("k"), F.col("b").alias("other"), "ratio")
+    sorted_ = similar_strings(names(ours, "w"), names(turned, "w"), least).select(F.col("a").alias("w"), F.col("b").alias("other"), "ratio")
+    asked = ours.select("k", "w").distinct()
+    by_key = asked.join(plain, "k").join(offered.withColumnsRenamed({"k": "other", "w": "_w"}), "other").select("k", "w", "other_id", "ratio")
+    by_words = asked.join(sorted_, "w").join(offered.where("w <> k").withColumnsRenamed({"w": "other", "k": "_k"}), "other").select("k", "w", "other_id", "ratio")
+    scored = by_key.unionByName(by_words).groupBy("k", "w", "other_id").agg(F.max("ratio").alias("ratio"))
+    best = scored.withColumn("place", F.row_number().over(W.partitionBy("k", "w").orderBy(F.desc("ratio"), "other_id"))).where(F.col("place") <= top)
+    return ours.join(best, ["k", "w"]).select("player_id", "other_id", F.round("ratio", 3).alias("confidence"))
+
+
+def collisions(players: DataFrame, matches: DataFrame) -> DataFrame:
+    """(player_id, primary_id, confidence, shared_stores, shared_opponents): accounts of one platform and name, each beside its busiest.
+
+    matches(store, player1_id, player2_id).  Accounts that have played the
+    busiest are other people and left out; a common store or two common
+    opponents make one person likely.  Of equally busy accounts the smallest
+    counts as the busiest.
+    """
+    sides = matches.select("store", F.col("player1_id").alias("player_id"), F.col("player2_id").alias("opponent")).union(matches.select("store", "player2_id", "player1_id")).where("player_id IS NOT NULL")
+    busy = sides.groupBy("player_id").agg(F.count("*").alias("n"))
+    keyed = players.select("player_id", F.concat("platform", F.lit("|"), name_key("name")).alias("k")).where(name_key("name") != "").join(busy, "player_id", "left")
+    order = F.struct(-F.coalesce("n", F.lit(0)), "player_id")
+    classes = keyed.groupBy("k").agg(F.min_by("player_id", order).alias("primary_id"), F.count("*").alias("members")).where("members > 1")
+    pairs = keyed.join(classes, "k").where("player_id <> primary_id").select("player_id", "primary_id")
+    met = pairs.join(sides.select("player_id", F.col("opponent").alias("primary_id")).distinct(), ["player_id", "primary_id"], "left_semi")
+    left = pairs.join(met, ["player_id", "primary_id"], "left_anti")
+
+    def shared(what: str, name: str) -> DataFrame:
+        had = sides.where(F.col(what).isNotNull()).select("player_id", F.col(what).alias("x")).distinct()
+        both = left.join(had, "player_id").join(had.withColumnRenamed("player_id", "primary_id"), ["primary_id", "x"])
+        return both.groupBy("player_id").agg(F.count("*").alias(name))
+
+    found = left.join(shared("store", "shared_stores"), "player_id", "left").join(shared("opponent", "shared_opponents"), "player_id", "left").na.fill(0, ["shared_stores", "shared_opponents"])
+    likely = (F.col("shared_stores") > 0) | (F.col("shared_opponents") >= 2)
+    return found.select("player_id", "primary_id", F.when(likely, SAME_CIRCLE).otherwise(APART).alias("confidence"), "shared_stores", "shared_opponents")

@@ -46,14 +46,37 @@ def prj6_played(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows_of(spark, sf_dir, _ENTRIES).select("entry", keys.played().alias("played"))
 
 
-_ACCOUNTS = "SELECT CAST(o_custkey AS BIGINT) AS player_id, concat(CASE WHEN o_custkey % 3 = 0 THEN 'Mr. ' ELSE '' END, CASE WHEN o_custkey % 2 = 0 THEN 'anna  berg' ELSE 'Berg Anna' END, ' ', o_custkey % 97) AS name, CASE WHEN o_custkey % 5 = 0 THEN 'melee' ELSE 'rph' END AS platform FROM (SELECT DISTINCT o_custkey FROM {orders}) x"
-_MET = "SELECT o_orderkey % 300 AS event_id, o_custkey AS player_id FROM {orders}"
-_TOKENS = "array_to_string(list_sort(list_filter(regexp_split_to_array(lower(name), '[^a-z0-9]+'), lambda w: w <> '')), ' ')"
+#: Accounts two by two of like names: the same words turned round, one letter more, or another end.
+_ACCOUNTS = """SELECT CAST(o_custkey AS BIGINT) AS player_id, CASE o_custkey % 6 WHEN 0 THEN concat(w1, ' ', w2) WHEN 1 THEN concat(upper(w2), '_', w1) WHEN 2 THEN concat(w1, w2) WHEN 3 THEN concat(w1, 'e ', w2) WHEN 4 THEN concat(w1, '.', w2) ELSE concat(w1, ' ', w2, 'xyz') END AS name,
+  CASE WHEN o_custkey % 2 = 0 THEN 'melee' ELSE 'rph' END AS platform
+  FROM (SELECT o_custkey, lower(hex((o_custkey - o_custkey % 2) * 7919 % 1048576)) AS w1, lower(hex((o_custkey - o_custkey % 2 + 11) * 104729 % 16777216)) AS w2 FROM (SELECT DISTINCT o_custkey FROM {orders}) d) x"""
+_NAMED = """SELECT CAST(o_custkey AS BIGINT) AS player_id, concat(CASE WHEN o_custkey % 2 = 0 THEN 'Anna ' ELSE 'anna-' END, CASE WHEN o_custkey % 3 = 0 THEN 'BERG' ELSE 'Berg' END, ' ', o_custkey % 197) AS name, CASE WHEN o_custkey % 5 = 0 THEN 'melee' ELSE 'rph' END AS platform FROM (SELECT DISTINCT o_custkey FROM {orders}) x
+  UNION ALL SELECT CAST(-1 - s_suppkey AS BIGINT), CASE WHEN s_suppkey % 2 = 0 THEN '--' ELSE concat('Solo ', s_suppkey) END, 'rph' FROM {supplier}"""
+_PLAYED = "SELECT CASE WHEN o_orderkey % 6 <> 0 THEN o_orderkey % 40 END AS store, o_custkey AS player1_id, CASE WHEN o_orderkey % 9 <> 0 THEN (o_custkey + 197 * (o_orderkey % 5)) % 1500 END AS player2_id FROM {orders}"
+_KEY = "regexp_replace(lower(name), '[^a-z0-9]', '', 'g')"
+
+
+@query(f"""WITH a AS (SELECT *, {_KEY} AS k FROM ({_NAMED}) WHERE {_KEY} <> '')
+  SELECT a.player_id, (SELECT min(b.player_id) FROM a b WHERE b.k = a.k) AS class_id, a.platform, CASE WHEN EXISTS (SELECT 1 FROM a b WHERE b.name = a.name AND b.platform <> a.platform) THEN 'exact' ELSE 'normalized' END AS evidence,
+    CASE WHEN EXISTS (SELECT 1 FROM a b WHERE b.name = a.name AND b.platform <> a.platform) THEN 1.0::DOUBLE ELSE 0.95 END AS confidence, (SELECT count(*) FROM a b WHERE b.k = a.k AND b.platform <> a.platform) AS n_other
+  FROM a WHERE EXISTS (SELECT 1 FROM a b WHERE b.k = a.k AND b.platform <> a.platform)""")
+def el12_alias_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EL12: accounts whose name another platform has too, with their class."""
+    return P.alias_suggestions(rows_of(spark, sf_dir, _NAMED))
 
 
-@query(f"""WITH a AS (SELECT *, {_TOKENS} AS k FROM ({_ACCOUNTS})), m AS (SELECT DISTINCT event_id, player_id FROM ({_MET})), p AS (SELECT x.player_id AS a, y.player_id AS b, CASE WHEN x.name = y.name THEN 'exact' ELSE 'normalised' END AS kind FROM a x JOIN a y ON x.k = y.k AND x.player_id < y.player_id),
-  v AS (SELECT DISTINCT p.a, p.b FROM p JOIN m s ON s.player_id = p.a JOIN m t ON t.player_id = p.b AND t.event_id = s.event_id)
-  SELECT p.a, p.b, kind, v.a IS NULL AS possible FROM p LEFT JOIN v ON v.a = p.a AND v.b = p.b""")
-def el12_alias_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """EL12, FN Fuzzy text: accounts whose names are equal, or equal as sorted words; those that met in an event can't be one person."""
-    return P.alias_suggestions(rows_of(spark, sf_dir, _ACCOUNTS), rows_of(spark, sf_dir, _MET))
+@query(f"""WITH a AS (SELECT *, platform || '|' || {_KEY} AS k FROM ({_NAMED}) WHERE {_KEY} <> ''), m AS ({_PLAYED}), s AS (SELECT store, player1_id AS p, player2_id AS o FROM m UNION ALL SELECT store, player2_id, player1_id FROM m WHERE player2_id IS NOT NULL),
+  n AS (SELECT p, count(*) AS n FROM s GROUP BY p), b AS (SELECT a.*, first_value(player_id) OVER (PARTITION BY k ORDER BY coalesce(n, 0) DESC, player_id) AS t FROM a LEFT JOIN n ON n.p = a.player_id),
+  c AS (SELECT player_id, t FROM b WHERE player_id <> t AND NOT EXISTS (SELECT 1 FROM s WHERE s.p = b.player_id AND s.o = b.t)),
+  d AS (SELECT player_id, t, (SELECT count(DISTINCT x.store) FROM s x WHERE x.p = c.player_id AND x.store IN (SELECT store FROM s y WHERE y.p = c.t AND y.store IS NOT NULL)) AS shared_stores,
+    (SELECT count(DISTINCT x.o) FROM s x WHERE x.p = c.player_id AND x.o IN (SELECT o FROM s y WHERE y.p = c.t AND y.o IS NOT NULL)) AS shared_opponents FROM c)
+  SELECT player_id, t AS primary_id, CASE WHEN shared_stores > 0 OR shared_opponents >= 2 THEN 0.9::DOUBLE ELSE 0.5 END AS confidence, shared_stores, shared_opponents FROM d""")
+def el12_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EL12: accounts of one platform and name beside the busiest of them, but those that played it."""
+    return P.collisions(rows_of(spark, sf_dir, _NAMED), rows_of(spark, sf_dir, _PLAYED))
+
+
+@query()
+def el12_similar_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EL12, FN Fuzzy text: the three most similar names of the other platform, of a matching-block ratio of 0.85 or more; a test holds it against all pairs."""
+    return P.similar_names(rows_of(spark, sf_dir, _ACCOUNTS), "melee", "rph")
