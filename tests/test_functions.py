@@ -233,6 +233,57 @@ def test_versioned_table(spark, tmp_path):
     assert again.rows().count() == 0
 
 
+def test_chains_of_merges_of_any_length(spark):
+    from tradewind.operators.ratings import roots
+
+    chain = [(i, i - 1 if i > 1 else None) for i in range(1, 131)] + [(200 + i, 200 + (i + 1) % 3) for i in range(3)] + [(300, 200)]
+    got = {r.player_id: r.root_id for r in roots(rows(spark, "player_id bigint, merged_into_id bigint", chain)).collect()}
+    assert all(got[i] == 1 for i in range(1, 131)) and all(got[i] == 200 for i in (200, 201, 202, 300))
+    assert roots(rows(spark, "player_id bigint, merged_into_id bigint", [])).count() == 0
+
+
+def test_snapshot_gate(spark):
+    from tradewind.operators.series import group_averages, snapshot_gate
+
+    day = lambda d: dt.date(2024, 1, d)
+    prices = [(p, "N", day(1), 5, 7 if p else None) for p in range(20)] + [(p, "N", day(4), 5, 7 if p else None) for p in range(21)] + [(p, "N", day(5), 5 if p else 6, 7 if p else None) for p in range(20)] + [(99, "N", day(6), 1, 1)]
+    got = {r.price_date.day: (r.compared, r.matched, r.stale) for r in snapshot_gate(rows(spark, "product_id int, printing string, price_date date, low bigint, market bigint", prices)).collect()}
+    # over a gap the last available day counts; 19 of 20 are no more than 95 %
+    assert got == {1: (0, 0, False), 4: (20, 20, True), 5: (20, 19, False), 6: (0, 0, False)}
+    some = rows(spark, "product_id int, printing string, price_date date, low bigint, market bigint", [(1, "N", day(1), 99, 100), (2, "N", day(1), 100, None), (3, "N", day(1), 4, None)])
+    cards = rows(spark, "product_id int, set_id string, rarity string", [(1, "a", "r"), (2, "a", "r"), (3, None, "r")])
+    assert [tuple(r)[4:] for r in group_averages(some, cards).collect()] == [(100, 100, 50, 100, 2)]
+
+
+def test_store_windows(spark):
+    from pyspark.sql import functions as F
+
+    from tradewind.operators import stores as S
+
+    sets = rows(spark, "name string, code string, released_at date", [("Five", "5", dt.date(2024, 5, 1)), ("Four", " 4 ", dt.date(2024, 4, 1)), ("Three", "3", dt.date(2024, 3, 1)), ("Promo", "P1", dt.date(2024, 4, 15)), ("Six", "6", dt.date(2024, 6, 1))])
+    found = S.main_sets(sets, "2024-05-20")
+    assert [n for n, _ in found] == ["Five", "Four", "Three"] and S.season_window(found, 2) == (dt.date(2024, 3, 1), dt.date(2024, 5, 1), ["Four", "Three"])
+    assert S.season_window(found, 4) == (dt.date(2024, 3, 1), None, ["Five", "Four", "Three"]) and S.season_window(found, 1, skip_current=False)[1] is None
+    day = lambda m, d: dt.date(2024, m, d)
+    events = rows(spark, "event_id int, store_id int, day date, cancelled boolean", [(1, 1, day(3, 1), False), (2, 1, day(4, 1), True), (3, 1, day(4, 30), True), (4, 1, day(5, 1), False), (5, None, day(4, 1), False), (6, 9, day(4, 1), False)])
+    came = [(1, 7, "x", None, 1, 0, 0, None), (1, None, " Ann ", 3, 0, 0, 0, None), (1, 8, "noshow", None, 0, 0, 0, "COMPLETE"), (3, 7, "x", 1, 0, 0, 0, None), (3, None, "ann", 2, 0, 0, 0, None), (4, 9, "y", None, 0, 0, 0, ""), (4, 10, "z", None, 0, 0, 0, "CANCELED"), (2, 11, "w", None, 0, 0, 0, None)]
+    attendance, scans = rows(spark, "event_id int, user_id int, identifier string, place int, won int, lost int, drawn int, status string", came), rows(spark, "event_id int", [(1,), (4,)])
+    held = S.held_events(events, attendance, rows(spark, "store_id int", [(1,)]))
+    assert sorted(r.event_id for r in held.collect()) == [1, 3, 4]  # a cancelled event without results is none
+    sold = S.tickets(held, attendance, scans)
+    assert sorted((r.event_id, r.person, r.recorded) for r in sold.collect()) == [(1, "n:ann", True), (1, "u:7", True), (3, "n:ann", True), (3, "u:7", True), (4, "u:9", False)]
+    tiers = lambda since, until: [tuple(r) for r in S.store_tiers(held, sold, scans, since, until, (("Both", 2, 2, 4), ("One", 1, 1, 1))).collect()]
+    assert tiers(day(3, 1), day(5, 1)) == [(1, 2, 1, 4, 0, 2, "Both")] and tiers(day(4, 30), None) == [(1, 2, 1, 3, 1, 3, "One")] and tiers(day(5, 2), None) == []
+    # numbers are dense whatever the parts, so bitmaps are few
+    people = spark.range(70_000).selectExpr("concat('p', id) AS person")
+    n = S.numbered(people, parts=7)
+    assert n.agg(F.min("number"), F.max("number"), F.countDistinct("number")).first() == (1, 70_000, 70_000)
+    rows_ = people.withColumns({"store_id": F.lit(1), "day": F.lit(day(3, 2))}).unionByName(people.limit(10).withColumns({"store_id": F.lit(1), "day": F.lit(day(4, 2))}))
+    windows = rows(spark, "window_id string, season string", [("a", "Three"), ("b", "Three"), ("b", "Four")])
+    got = S.window_people(S.season_bitmaps(rows_, n, S.season_of("day", found)), windows)
+    assert sorted(tuple(r) for r in got.collect()) == [("a", 1, 70_000, 70_000), ("b", 1, 70_000, 70_010)]
+
+
 def test_sku_buckets_prefer_english(spark):
     from tradewind.sources.feeds import BUCKETS, sku_buckets
 

@@ -13,6 +13,14 @@ from tradewind.functions.titles import place_rank
 #: A line of a decklist, and what its parts are.
 LINE = r"(?i)^(\d{1,3})\s*[x×]?\s*(?:-\s*)?(.+?)\s*$"
 CHASE = ("Enchanted", "Iconic", "Epic")
+#: Words that half of all events have in their names.
+CALENDAR_STOP = (
+    "lorcana", "disney", "tcg", "the", "and", "at", "of", "a", "an", "in", "on",
+    "ccq", "dlc", "challenge", "championship", "qualifier", "qualifiers", "set",
+    "tournament", "event", "constructed", "core", "sealed", "open", "games",
+    "game", "gaming", "cards", "card", "store", "official", "weekend", "2k",
+    "10k", "2026", "2027", "play", "night", "day",
+)
 
 
 def candidates(cards: DataFrame, mainline: int = 150, last_number: int = 204) -> DataFrame:
@@ -150,25 +158,38 @@ def new_reveals(cards: DataFrame, cutoff: str, end: str) -> DataFrame:
     return seen.where("NOT old AND new IS NOT NULL AND label <> ''").select("new.set_id", "label", F.col("new.added").alias("last_added"))
 
 
-def linked_events(wanted: DataFrame, events: DataFrame, slack: int = 1, contain: int = 5) -> DataFrame:
+def linked_events(wanted: DataFrame, events: DataFrame, slack: int = 1, contain: int = 5, stop: tuple[str, ...] = CALENDAR_STOP) -> DataFrame:
     """wanted(wid, day, name) to events(eid, day, name) within ``slack`` days that share a word, or one word within the other.
 
-    Days are dealt to the days around them, so the join is by equality; words are compared for those pairs only.
+    Words are folded, of four characters or of three with a digit, and not among
+    those that half of all events have.  Within a day words are joined by their
+    four-character parts, so only pairs with a word in common are compared.
     """
-    tokens = lambda c: F.filter(F.array_distinct(F.split(F.lower(c), "[^a-z0-9]+")), lambda w: (F.length(w) >= 4) | ((F.length(w) >= 3) & w.rlike("[0-9]") & ~w.rlike("^[0-9]+$")))
+    tokens = lambda c: F.filter(F.array_distinct(F.split(nfkd_fold(c), "[^a-z0-9]+")), lambda w: ~w.isin(*stop) & ((F.length(w) >= 4) | ((F.length(w) >= 3) & w.rlike("[0-9]") & ~w.rlike("^[0-9]+$"))))
+    # a word that holds another holds its first four characters somewhere
+    heads = lambda c: F.explode(F.array_distinct(F.transform(F.col(c), lambda w: F.substring(w, 1, 4))))
+    parts = lambda c: F.explode(F.array_distinct(F.flatten(F.transform(F.col(c), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 3, F.lit(1))), lambda i: F.substring(w, i, F.lit(4)))))))
     left = wanted.select("wid", tokens("name").alias("w"), F.explode(F.transform(F.sequence(F.lit(-slack), F.lit(slack)), lambda i: F.date_add("day", i))).alias("on"))
     right = events.select("eid", tokens("name").alias("h"), F.col("day").alias("on"))
+    met = left.withColumn("key", heads("w")).join(right.withColumn("key", parts("h")), ["on", "key"]).unionByName(left.withColumn("key", parts("w")).join(right.withColumn("key", heads("h")), ["on", "key"]))
     shares = F.expr(f"filter(w, x -> array_contains(h, x) OR (length(x) >= {contain} AND exists(h, y -> contains(y, x) OR (length(y) >= {contain} AND contains(x, y)))))")
-    return left.join(right, "on").withColumn("evidence", shares).where(F.size("evidence") > 0).select("wid", "eid", F.array_join(F.array_sort("evidence"), ",").alias("evidence"))
+    found = met.select("wid", "eid", "w", "h").distinct().withColumn("evidence", shares).where(F.size("evidence") > 0)
+    return found.select("wid", "eid", F.array_join(F.array_sort("evidence"), ",").alias("evidence")).distinct()
 
 
 def catalogue_findings(ours: DataFrame, theirs: DataFrame, previous: DataFrame | None = None) -> DataFrame:
-    """(kind, key): what one catalogue(key, name) has and the other hasn't, and names that differ; only new ones if a previous report is given."""
+    """(kind, key, is_new): what one catalogue(key, name) has and the other hasn't, and names that differ.
+
+    is_new marks what the previous report(kind, key) didn't have; without one nothing is new.
+    """
     side = lambda rows, a: rows.select("key", F.col("name").alias(a), F.lit(True).alias(f"in_{a}"))
     both = side(ours, "ours").join(side(theirs, "theirs"), "key", "full")
     kind = F.when(F.col("in_ours").isNull(), "missing").when(F.col("in_theirs").isNull(), "extra").when(~F.col("ours").eqNullSafe(F.col("theirs")), "renamed")
     found = both.withColumn("kind", kind).where("kind IS NOT NULL").select("kind", "key")
-    return found if previous is None else found.join(previous, ["kind", "key"], "left_anti")
+    if previous is None:
+        return found.withColumn("is_new", F.lit(False))
+    known = previous.select("kind", "key").distinct().withColumn("known", F.lit(True))
+    return found.join(known, ["kind", "key"], "left").select("kind", "key", F.col("known").isNull().alias("is_new"))
 
 
 def glossary(rows: DataFrame, ours: str, theirs: str, least: int = 2) -> DataFrame:

@@ -12,23 +12,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tradewind.sinks.shared import shared_path
+
 
 def share(part: str, whole: str) -> Column:
     """part of whole (whole numbers) in percent with one decimal, rounded half up; null without a whole."""
     return F.expr(f"CASE WHEN {whole} > 0 THEN CAST((2000 * {part} + {whole}) div (2 * {whole}) AS DOUBLE) / 10 END")
 
 
-def roots(players: DataFrame, rounds: int = 6) -> DataFrame:
+def roots(players: DataFrame) -> DataFrame:
     """(player_id, root_id): where the chain of merges ends, by doubling the pointers; a cycle ends at its smallest member.
 
-    Chains of up to 2 ** rounds merges are followed, one self-join a round.
+    After k rounds pointers lead 2 ** k merges on, so chains of any length need
+    no more rounds than the number of players has binary digits; rounds end
+    sooner once no pointer moves.  Each round is written, which cuts lineage.
     """
-    up = players.select("player_id", F.coalesce("merged_into_id", "player_id").alias("to"))
-    least = F.lit(None).cast("bigint")
-    up = up.withColumn("least", F.coalesce(least, F.least("player_id", "to")))
-    for _ in range(rounds):
-        nxt = up.select(F.col("player_id").alias("to"), F.col("to").alias("to2"), F.col("least").alias("least2"))
-        up = up.join(nxt, "to", "left").select("player_id", F.coalesce("to2", "to").alias("to"), F.least("least", F.coalesce("least2", "least")).alias("least"))
+    spark = players.sparkSession
+    save = lambda rows: (path := shared_path(spark, "roots"), rows.write.parquet(path), spark.read.schema(rows.schema).parquet(path))[-1]
+    kind = players.schema["player_id"].dataType
+    start = players.select("player_id", F.coalesce(F.col("merged_into_id").cast(kind), F.col("player_id")).alias("to"))
+    up = save(start.withColumn("least", F.least("player_id", "to")))
+    for _ in range(up.count().bit_length() + 1):
+        ahead = up.select(F.col("player_id").alias("to"), F.col("to").alias("to2"), F.col("least").alias("least2"))
+        moved = up.join(ahead, "to", "left").select("player_id", F.coalesce("to2", "to").alias("to"), F.least("least", F.coalesce("least2", "least")).alias("least"), (F.coalesce("to2", "to") != F.col("to")).alias("moved"))
+        moved = save(moved)
+        up = moved.drop("moved")
+        if not moved.where("moved").head(1):
+            break
     ends = players.where("merged_into_id IS NULL").select(F.col("player_id").alias("to"), F.lit(True).alias("ends"))
     return up.join(ends, "to", "left").select("player_id", F.when(F.col("ends"), F.col("to")).otherwise(F.col("least")).alias("root_id"))
 
@@ -239,20 +249,6 @@ def cut_line(points: DataFrame, cut: int = 8) -> DataFrame:
     return total.withColumn("place", place).groupBy("event_id").agg(F.count("*").alias("n_players"), F.max(F.when(F.col("place") == cut, F.col("points"))).alias("line"))
 
 
-def store_tiers(entries: DataFrame, results: DataFrame, tiers: tuple = (("gold", 60, 200), ("silver", 50, 120))) -> DataFrame:
-    """Per store: distinct people and tickets of events with results, else of their registrations; the tier by thresholds of both.
-
-    entries(event_id, store_id, person) are registrations, results the same of
-    those who played; an event with any result counts by its results alone.
-    """
-    fallback = entries.join(results.select("event_id").distinct(), "event_id", "left_anti")
-    found = results.unionByName(fallback).groupBy("store_id").agg(F.countDistinct("person").alias("people"), F.count("*").alias("tickets"))
-    tier = F.lit("bronze")
-    for name, people, tickets in reversed(tiers):
-        tier = F.when((F.col("people") >= people) & (F.col("tickets") >= tickets), name).otherwise(tier)
-    return found.withColumn("tier", tier)
-
-
 def renames(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     """Names that differ in the same slot (event, round, table) of two sources, with how often."""
     slot = ("event_id", "round_number", "t")
@@ -262,9 +258,18 @@ def renames(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     return pairs.groupBy("ours", "theirs").agg(F.count("*").alias("n"))
 
 
-def deck_inks(decks: DataFrame, order: tuple[str, ...]) -> DataFrame:
-    """decks(deck_id, event_id, place_rank, inks) by their combination of inks in a fixed order: decks, top fours and wins."""
+def deck_inks(decks: DataFrame, order: tuple[str, ...], today: str, since: str | None = None, least_events: int = 3, fallback_days: int = 90, kind: str = "core") -> DataFrame:
+    """decks(deck_id, event_id, event_date, format, place_rank, inks) of one format by their combination of inks in a fixed order: decks, top fours and wins.
+
+    Decks of events since a day count; where fewer than ``least_events`` were
+    held since then, those of the last ``fallback_days``.
+    """
+    own = decks.where(F.col("format") == kind)
+    first = F.date_sub(F.lit(today).cast("date"), fallback_days)
+    if since is not None:
+        n = own.where(F.col("event_date") >= F.lit(since).cast("date")).agg(F.countDistinct("event_id")).first()[0]
+        first = F.lit(since).cast("date") if n >= least_events else first
     rank = F.create_map(*(x for i, c in enumerate(order) for x in (F.lit(c), F.lit(i))))
     inks = F.transform(F.array_sort(F.transform(F.array_distinct("inks"), lambda c: F.struct(rank[c].alias("i"), c.alias("c")))), lambda s: s["c"])
-    keyed = decks.withColumn("combination", F.array_join(inks, "/"))
+    keyed = own.where(F.col("event_date") >= first).withColumn("combination", F.array_join(inks, "/")).where("combination <> ''")
     return keyed.groupBy("combination").agg(F.count("*").alias("n_decks"), F.count_if(F.col("place_rank") <= 4).alias("top4"), F.count_if(F.col("place_rank") == 1).alias("won"))

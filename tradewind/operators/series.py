@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -85,3 +85,34 @@ def collection_value(holdings: DataFrame, prices: DataFrame, since: str, until:
     full = calendar.join(by_day, "price_date", "left").withColumn("value", F.sum(F.coalesce("change", F.lit(0))).over(W.orderBy("price_date")))
     full = full.select("price_date", F.col("value").cast("bigint").alias("value"))
     return full if dates is None else full.where(F.col("price_date").cast("string").isin(dates))
+
+
+def snapshot_gate(prices: DataFrame, most: float = 0.95) -> DataFrame:
+    """Per day of prices(product_id, printing, price_date, low, market): how many rows the last available day has too, how many of these are equal, and whether the day is stale.
+
+    Equal in low and market, missing prices being equal; a day is stale, so not
+    to be loaded, above a share of ``most``.  The first day, and days that share
+    no row with the one before, are not.
+    """
+    days = prices.select("price_date").distinct()
+    before = days.select(F.col("price_date").alias("day"), F.lag("price_date").over(W.orderBy("price_date")).alias("last"))  # a row a day
+    now = prices.join(before, F.col("price_date") == F.col("day")).select("day", "last", "product_id", "printing", "low", "market")
+    then = prices.select(F.col("price_date").alias("last"), "product_id", "printing", F.col("low").alias("low0"), F.col("market").alias("market0"), F.lit(True).alias("there"))
+    same = F.col("low").eqNullSafe(F.col("low0")) & F.col("market").eqNullSafe(F.col("market0"))
+    found = now.join(then, ["last", "product_id", "printing"], "left").groupBy("day").agg(F.count("there").alias("compared"), F.count_if(F.col("there") & same).alias("matched"))
+    share = F.when(F.col("compared") > 0, F.col("matched") / F.col("compared")).otherwise(0.0)
+    return found.select(F.col("day").alias("price_date"), "compared", "matched", (share > most).alias("stale"))
+
+
+def group_averages(prices: DataFrame, cards: DataFrame, floor: int = 100) -> DataFrame:
+    """Per set, rarity, printing and day of prices in whole cents: averages of low and market, and with prices under ``floor`` as zero, each rounded half up to the cent; cards without set or rarity are left out."""
+    own = cards.where("set_id IS NOT NULL AND rarity IS NOT NULL").select("product_id", "set_id", "rarity")
+
+    def mean(c: Column) -> Column:
+        twice, n = 2 * F.sum(c) + F.count(c), 2 * F.count(c)
+        return ((twice - F.pmod(twice, F.nullif(n, F.lit(0)))) / F.nullif(n, F.lit(0))).cast("bigint")
+
+    none = lambda c: F.when(F.col(c) < floor, 0).otherwise(F.col(c))
+    return prices.join(own, "product_id").groupBy("set_id", "rarity", "printing", "price_date").agg(
+        mean(F.col("low")).alias("avg_low"), mean(F.col("market")).alias("avg_market"), mean(none("low")).alias("avg_low_floored"), mean(none("market")).alias("avg_market_floored"), F.count("*").alias("n_cards")
+    )

@@ -150,16 +150,16 @@ def cx2_new_reveals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.new_reveals(rows_of(spark, sf_dir, _ADDED), "2001-06-01", "2001-10-20")
 
 
-_WANTED = "SELECT c_custkey AS wid, CAST(DATE '1998-01-01' + CAST(c_custkey % 300 AS INT) AS DATE) AS day, concat('Store', c_custkey % 90, ' malmogameweek d', c_custkey % 30) AS name FROM {customer}"
-_HELD = "SELECT o_orderkey AS eid, CAST(o_orderdate AS DATE) AS day, concat('Cup ', CASE WHEN o_orderkey % 5 = 0 THEN 'Malmo' ELSE 'Other' END, ' d', o_orderkey % 30, ' store', o_orderkey % 90) AS name FROM {orders} WHERE year(o_orderdate) = 1998"
-_TOK = "list_filter(list_distinct(regexp_split_to_array(lower(name), '[^a-z0-9]+')), lambda w: length(w) >= 4 OR (length(w) >= 3 AND regexp_matches(w, '[0-9]') AND NOT regexp_matches(w, '^[0-9]+$')))"
+_WANTED = "SELECT c_custkey AS wid, CAST(DATE '1998-01-01' + CAST(c_custkey % 300 AS INT) AS DATE) AS day, concat('Store', c_custkey % 90, ' malmogameweek Championship d', c_custkey % 30) AS name FROM {customer}"
+_HELD = "SELECT o_orderkey AS eid, CAST(o_orderdate AS DATE) AS day, concat('Championship ', CASE WHEN o_orderkey % 5 = 0 THEN 'Malmö' WHEN o_orderkey % 5 = 1 THEN 'Week' ELSE 'Other' END, ' d', o_orderkey % 30, ' store', o_orderkey % 90) AS name FROM {orders}"
+_TOK = f"list_filter(list_distinct(regexp_split_to_array(strip_accents(lower(name)), '[^a-z0-9]+')), lambda w: w NOT IN {C.CALENDAR_STOP} AND (length(w) >= 4 OR (length(w) >= 3 AND regexp_matches(w, '[0-9]') AND NOT regexp_matches(w, '^[0-9]+$'))))"
 
 
 @query(f"""WITH w AS (SELECT wid, day, {_TOK} AS w FROM ({_WANTED})), h AS (SELECT eid, day, {_TOK} AS h FROM ({_HELD})), j AS (SELECT wid, eid, unnest(w) AS x, h FROM w JOIN h ON abs(w.day - h.day) <= 1),
   e AS (SELECT wid, eid, x FROM j WHERE list_contains(h, x) OR (length(x) >= 5 AND len(list_filter(h, lambda y: contains(y, x) OR (length(y) >= 5 AND contains(x, y)))) > 0))
   SELECT wid, eid, string_agg(x, ',' ORDER BY x) AS evidence FROM e GROUP BY ALL""")
 def cx3_linked_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CX3, JN17: calendar rows linked to events by a day more or less and shared words."""
+    """CX3, JN17: calendar rows linked to events by a day more or less and distinctive words."""
     return C.linked_events(rows_of(spark, sf_dir, _WANTED), rows_of(spark, sf_dir, _HELD))
 
 
@@ -190,9 +190,9 @@ _CAT_OLD = "SELECT CASE WHEN p_size = 3 THEN 'missing' ELSE 'extra' END AS kind,
 
 
 @query(f"""WITH b AS (SELECT coalesce(a.key, b.key) AS key, CASE WHEN a.key IS NULL THEN 'missing' WHEN b.key IS NULL THEN 'extra' WHEN a.name IS DISTINCT FROM b.name THEN 'renamed' END AS kind FROM ({_CAT_A}) a FULL JOIN ({_CAT_B}) b ON a.key = b.key)
-  SELECT kind, key FROM b WHERE kind IS NOT NULL AND (kind, key) NOT IN (SELECT kind, key FROM ({_CAT_OLD}))""")
+  SELECT kind, key, (kind, key) NOT IN (SELECT kind, key FROM ({_CAT_OLD})) AS is_new FROM b WHERE kind IS NOT NULL""")
 def cx6_catalogue_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CX6, JN18, JN19, ST3: differences of two catalogues that the last report didn't have."""
+    """CX6, JN18, JN19, ST3: differences of two catalogues, and which of them the last report didn't have."""
     return C.catalogue_findings(*(rows_of(spark, sf_dir, q) for q in (_CAT_A, _CAT_B, _CAT_OLD)))
 
 

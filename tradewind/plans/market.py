@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradewind.operators import index, movers
+from tradewind.operators.series import group_averages, snapshot_gate
 from tradewind.plans.registered import percent_sql, query
-from tradewind.sources.views import view
+from tradewind.sources.views import rows_of, view
 
 _S = "product_id, printing"
 
@@ -192,3 +193,26 @@ def px17_market_pulse(spark: SparkSession, sf_dir: str) -> DataFrame:
 def px18_rebased(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PX18: all indexes as changes since their common first day."""
     return index.rebase(_index(spark, sf_dir))
+
+
+#: Days of ticks; every fifth repeats the day before, but for some products.
+_SNAPSHOTS = """SELECT product_id, printing, price_date, low, market FROM {ticks} WHERE day(price_date) % 5 <> 0
+  UNION ALL SELECT product_id, printing, CAST(price_date + 1 AS DATE), CASE WHEN product_id % 10 = day(price_date) % 10 AND day(price_date) > 9 THEN low + 1 ELSE low END, market FROM {ticks} WHERE day(price_date) % 5 = 4"""
+
+
+@query(f"""WITH p AS ({_SNAPSHOTS}), d AS (SELECT price_date, lag(price_date) OVER (ORDER BY price_date) AS last FROM (SELECT DISTINCT price_date FROM p)),
+  c AS (SELECT p.price_date, count(q.product_id) AS compared, count(*) FILTER (q.product_id IS NOT NULL AND p.low IS NOT DISTINCT FROM q.low AND p.market IS NOT DISTINCT FROM q.market) AS matched
+    FROM p JOIN d USING (price_date) LEFT JOIN p q ON q.price_date = d.last AND q.product_id = p.product_id AND q.printing = p.printing GROUP BY p.price_date)
+  SELECT price_date, compared, matched, compared > 0 AND CAST(matched AS DOUBLE) / compared > 0.95 AS stale FROM c""")
+def px26_snapshot_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PX26: days whose prices are those of the last available day, which a loader skips."""
+    return snapshot_gate(rows_of(spark, sf_dir, _SNAPSHOTS))
+
+
+@query("""WITH j AS (SELECT c.set_id, c.rarity, p.* FROM {prices} p JOIN {cards} c USING (product_id) WHERE c.set_id IS NOT NULL AND c.rarity IS NOT NULL)
+  SELECT set_id, rarity, printing, price_date, CAST((2 * sum(low) + count(low)) // (2 * count(low)) AS BIGINT) AS avg_low, CAST((2 * sum(market) + count(market)) // nullif(2 * count(market), 0) AS BIGINT) AS avg_market,
+    CAST((2 * sum(CASE WHEN low < 95000 THEN 0 ELSE low END) + count(low)) // (2 * count(low)) AS BIGINT) AS avg_low_floored,
+    CAST((2 * sum(CASE WHEN market < 95000 THEN 0 ELSE market END) + count(market)) // nullif(2 * count(market), 0) AS BIGINT) AS avg_market_floored, count(*) AS n_cards FROM j GROUP BY set_id, rarity, printing, price_date""")
+def px3_group_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PX3, AG1: averages by set, rarity, printing and day, low and market, and with cheap cards as nothing (a floor within the table's prices)."""
+    return group_averages(view(spark, sf_dir, "prices"), view(spark, sf_dir, "cards"), floor=95000)

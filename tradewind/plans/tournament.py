@@ -199,19 +199,6 @@ def el11_draw_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return draws.draw_tiers(rows_of(spark, sf_dir, _CUPS), ruled=rows_of(spark, sf_dir, _RULED))
 
 
-_ENTRIES = "SELECT o_orderkey AS event_id, o_custkey % 25 AS store_id, CAST(o_custkey AS STRING) AS person FROM {orders}"
-_RESULTS = "SELECT o_orderkey AS event_id, o_custkey % 25 AS store_id, concat('r', o_custkey % 300) AS person FROM {orders} WHERE o_orderstatus = 'F'"
-
-
-@query(f"""WITH e AS ({_ENTRIES}), r AS ({_RESULTS}), u AS (SELECT * FROM r UNION ALL SELECT * FROM e ANTI JOIN r USING (event_id)),
-  c AS (SELECT store_id, count(DISTINCT person) AS people, count(*) AS tickets FROM u GROUP BY store_id)
-  SELECT *, CASE WHEN people >= 60 AND tickets >= 200 THEN 'gold' WHEN people >= 50 AND tickets >= 120 THEN 'silver' ELSE 'bronze' END AS tier FROM c""")
-def ag16_store_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AG16, EL18, MT5: distinct people and tickets of each store, by results where there are any, and its tier."""
-    orders = view(spark, sf_dir, "orders")
-    return R.store_tiers(spark.sql(_ENTRIES, orders=orders), spark.sql(_RESULTS, orders=orders))
-
-
 _OURS = "SELECT event_id, round_number, table_number, concat('P', player1_id) AS name1, CASE WHEN player2_id IS NOT NULL THEN concat('P', player2_id) END AS name2 FROM {matches} WHERE match_id % 97 < 60"
 _THEIRS = "SELECT event_id, round_number, table_number, concat('P', CASE WHEN player1_id % 20 = 3 THEN player1_id + 200 ELSE player1_id END) AS name1, CASE WHEN player2_id IS NOT NULL THEN concat('P', player2_id) END AS name2 FROM {matches} WHERE match_id % 97 < 60 AND match_id % 7 = 0"
 
@@ -224,16 +211,31 @@ def el15_renames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.renames(spark.sql(_OURS, matches=matches), spark.sql(_THEIRS, matches=matches))
 
 
-_INKS = "SELECT d.deck_id, d.event_id, d.place_rank, c.ink FROM {decks} d JOIN {deck_cards} dc ON dc.deck_id = d.deck_id JOIN {cards} c ON c.product_id = dc.product_id WHERE c.ink IS NOT NULL"
+_INKS = "SELECT d.deck_id, d.event_id * 100 + month(d.day) AS event_id, d.day AS event_date, CASE WHEN d.deck_id % 4 = 0 THEN 'infinity' WHEN d.deck_id % 4 <> 3 THEN 'core' END AS format, d.place_rank, c.ink FROM {decks} d JOIN {deck_cards} dc ON dc.deck_id = d.deck_id JOIN {cards} c ON c.product_id = dc.product_id WHERE c.ink IS NOT NULL"
 
 
-@query(f"""WITH i AS ({_INKS}), g AS (SELECT deck_id, place_rank, string_agg(DISTINCT ink, '/' ORDER BY ink) AS combination FROM i GROUP BY ALL)
-  SELECT combination, count(*) AS n_decks, count(*) FILTER (place_rank <= 4) AS top4, count(*) FILTER (place_rank = 1) AS won FROM g GROUP BY combination""")
-def ag17_deck_inks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AG17, EL20, AG5: decks by their inks in a fixed order."""
+def _combinations(since: str, fallback: str) -> str:
+    return f"""WITH i AS ({_INKS}), n AS (SELECT count(DISTINCT event_id) AS n FROM i WHERE format = 'core' AND event_date >= DATE '{since}'),
+  g AS (SELECT deck_id, event_id, place_rank, string_agg(DISTINCT ink, '/' ORDER BY ink) AS combination FROM i, n WHERE format = 'core' AND event_date >= CASE WHEN n >= 3 THEN DATE '{since}' ELSE DATE '{fallback}' END GROUP BY ALL)
+  SELECT combination, count(*) AS n_decks, count(*) FILTER (place_rank <= 4) AS top4, count(*) FILTER (place_rank = 1) AS won FROM g GROUP BY combination"""
+
+
+def _deck_inks(spark: SparkSession, sf_dir: str, today: str, since: str) -> DataFrame:
     rows = spark.sql(_INKS, **{n: view(spark, sf_dir, n) for n in ("decks", "deck_cards", "cards")})
-    decks = rows.groupBy("deck_id", "event_id", "place_rank").agg(F.collect_set("ink").alias("inks"))
-    return R.deck_inks(decks, ("Amber", "Amethyst", "Emerald", "Ruby", "Sapphire", "Steel"))
+    decks = rows.groupBy("deck_id", "event_id", "event_date", "format", "place_rank").agg(F.collect_set("ink").alias("inks"))
+    return R.deck_inks(decks, ("Amber", "Amethyst", "Emerald", "Ruby", "Sapphire", "Steel"), today, since)
+
+
+@query(_combinations("1999-06-01", "2001-05-23"))
+def ag17_deck_inks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AG17, EL20, AG5: core decks since a set's release by their inks in a fixed order."""
+    return _deck_inks(spark, sf_dir, "2001-08-21", "1999-06-01")
+
+
+@query(_combinations("2001-08-20", "2001-05-23"))
+def el20_deck_inks_of_a_new_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EL20: the same just after a release, where too few events were held: those of the last 90 days."""
+    return _deck_inks(spark, sf_dir, "2001-08-21", "2001-08-20")
 
 
 @query("""WITH s AS (SELECT event_id, round_number, coalesce(games_won_p1, 0) = coalesce(games_won_p2, 0) AS d, CASE WHEN table_number IS NULL THEN 'none' WHEN table_number <= 4 THEN 'top' ELSE 'rest' END AS position FROM {matches} WHERE NOT is_bye)
