@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Patterns of listing titles, in the order in which they decide.
@@ -86,6 +86,26 @@ def grade(title: str = "title") -> Column:
     return F.when(t.rlike(GRADER_FIRST), F.regexp_extract(t, GRADER_FIRST, 2)).when(t.rlike(GRADE_FIRST), F.regexp_extract(t, GRADE_FIRST, 1))
 
 
+def named_grader(title: str = "title") -> Column:
+    """The first grader in the list's order that stands in a title as a word, with or without a grade."""
+    t = F.upper(F.coalesce(title, F.lit("")))
+    return F.coalesce(*(F.when(t.rlike(rf"\b{g}\b"), "BGS" if g == "BECKETT" else g) for g in GRADER.split("|")))
+
+
+def listing_grader(title: str = "title", given: str = "file_grader") -> Column:
+    """The grader of a graded or ungraded listing: beside the grade, else named, else that of the listing's file; null for what is left out."""
+    kind = title_kind(title)
+    return F.when(kind == "GRADED", F.coalesce(grader(title), F.col(given))).when(kind == "NEEDS_GRADE", F.coalesce(named_grader(title), F.col(given)))
+
+
+def printings(sales: DataFrame, variants: DataFrame) -> DataFrame:
+    """sales(card_id, title, ...) with printing: for cards in variants(card_id, variant, pattern) the variant or Normal, else the finish that the title says."""
+    named = variants.select(F.col("card_id").alias("_card"), "variant", "pattern")
+    joined = sales.join(named, F.col("card_id") == F.col("_card"), "left")
+    own = F.when(F.expr("coalesce(title, '') RLIKE concat('(?i)', pattern)"), F.col("variant")).otherwise("Normal")
+    return joined.withColumn("printing", F.when(F.col("_card").isNotNull(), own).otherwise(finish())).drop("_card", "variant", "pattern")
+
+
 def exclude_reason(title: str = "title") -> Column:
     """foreign, troll or auto by the first that fits; null for listings that count."""
     t = F.col(title)

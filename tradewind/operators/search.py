@@ -96,17 +96,18 @@ def nearest_vectors(queries: DataFrame, vectors: DataFrame, k: int = 5, penalty:
 
     def scored(own: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
         if own.empty or there.empty:
-            return pd.DataFrame({c: [] for c in ("qid", "vec_id", "score", "ham")})
+            return pd.DataFrame({c: [] for c in ("qid", "vec_id", "score", "bits", "asked_bits")})
         there = there.sort_values("vec_id")
         products = np.round(np.stack(own["asked"].to_list()) @ np.stack(there["embedding"].to_list()).T, 6)
         ids, bits, out = there["vec_id"].to_numpy(), there["bits"].to_numpy(), []
         for row, (qid, mine) in zip(products, own[["asked_id", "asked_bits"]].itertuples(index=False)):
             top = np.argsort(-row, kind="stable")[:wide]
-            out.append(pd.DataFrame({"qid": qid, "vec_id": ids[top], "score": row[top], "ham": [((int(b) ^ int(mine)) & (1 << 64) - 1).bit_count() for b in bits[top]]}))
+            out.append(pd.DataFrame({"qid": qid, "vec_id": ids[top], "score": row[top], "bits": bits[top], "asked_bits": mine}))
         return pd.concat(out)
 
-    found = asked.groupBy("met").cogroup(blocked.groupBy("block")).applyInPandas(scored, "qid bigint, vec_id bigint, score double, ham int")
-    shortlist = best(found, "qid", "score", "vec_id", wide).drop("place")
+    found = asked.groupBy("met").cogroup(blocked.groupBy("block")).applyInPandas(scored, "qid bigint, vec_id bigint, score double, bits bigint, asked_bits bigint")
+    apart = F.bit_count(F.col("bits").bitwiseXOR(F.col("asked_bits")))
+    shortlist = best(found, "qid", "score", "vec_id", wide).withColumn("ham", apart).drop("place", "bits", "asked_bits")
     blended = F.col("score") / F.coalesce(F.nullif(F.max("score").over(W.partitionBy("qid")), F.lit(0.0)), F.lit(1.0)) - penalty * F.col("ham") / 64
     return best(shortlist.withColumn("blended", F.round(blended, 6)), "qid", "blended", "vec_id", k)
 

@@ -241,10 +241,31 @@ def prj13_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("item_id", titles.title_kind().alias("kind"), titles.grader().alias("grader"), titles.grade().alias("grade"), titles.exclude_reason().alias("exclude_reason"), titles.finish().alias("printing"), titles.sealed_kind("title").alias("sealed_kind"))
 
 
+_GRADERS = " ".join(f"WHEN regexp_matches(upper(title), '\\b{g}\\b') THEN '{'BGS' if g == 'BECKETT' else g}'" for g in titles.GRADER.split("|"))
+_VARIANTS = "SELECT concat('crd_', p_partkey) AS card_id, CASE WHEN p_partkey % 2 = 0 THEN 'Two Swords' ELSE 'Prize' END AS variant, CASE WHEN p_partkey % 2 = 0 THEN '2x\\\\s*sword' ELSE 'psa 10' END AS pattern FROM {part} WHERE p_partkey % 7 = 0"
+
+
+def _graders_sql() -> str:
+    titles_sql = _titles_sql()
+    head, body = titles_sql.rsplit("SELECT item_id,", 1)
+    return f"""{head}SELECT t.item_id, CASE k.kind WHEN 'GRADED' THEN coalesce(k.grader, t.file_grader) WHEN 'NEEDS_GRADE' THEN coalesce(CASE {_GRADERS} END, t.file_grader) END AS grader,
+      CASE WHEN v.card_id IS NULL THEN k.printing WHEN regexp_matches(title, v.pattern, 'i') THEN v.variant ELSE 'Normal' END AS printing
+      FROM (SELECT *, CASE WHEN card_id % 3 <> 0 THEN 'TAG' END AS file_grader FROM titles) t JOIN (SELECT item_id AS id, min(kind) AS kind, min(grader) AS grader, min(printing) AS printing FROM (SELECT item_id,{body}) x GROUP BY item_id) k ON k.id = t.item_id
+      LEFT JOIN ({_VARIANTS.replace("{part}", "part").replace(chr(92) * 2, chr(92))}) v ON v.card_id = 'crd_' || t.card_id"""
+
+
+def prj14_listing_printings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ13, PRJ14: the grader of each listing, also without a grade, and its printing, a named variant of its card first."""
+    rows = view(spark, sf_dir, "titles").withColumns({"file_grader": F.when(F.col("card_id") % 3 != 0, "TAG"), "card_id": F.concat(F.lit("crd_"), F.col("card_id").cast("string"))})
+    found = titles.printings(rows, rows_of(spark, sf_dir, _VARIANTS))
+    return found.select("item_id", titles.listing_grader().alias("grader"), "printing")
+
+
 def _register_titles() -> None:
     from tradewind.plans import registered
 
     registered.QUERIES["prj13_titles"], registered.ORACLES["prj13_titles"] = prj13_titles, _titles_sql()
+    registered.QUERIES["prj14_listing_printings"], registered.ORACLES["prj14_listing_printings"] = prj14_listing_printings, _graders_sql()
 
 
 _register_titles()
