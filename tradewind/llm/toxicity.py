@@ -259,7 +259,7 @@ def train(
     min_documents: int = 3,
     max_features: int = 4096,
     rounds: int = 300,
-    decay: float = 1e-4,
+    decay: float = 1e-5,
 ) -> Model:
     """Learns from labelled documents outside the held-out fold, ``train_rows`` at most.
 
