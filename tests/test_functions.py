@@ -242,6 +242,19 @@ def test_chains_of_merges_of_any_length(spark):
     assert roots(rows(spark, "player_id bigint, merged_into_id bigint", [])).count() == 0
 
 
+def test_imported_decks(spark, tmp_path):
+    from tradewind.sinks.decks import COLUMNS, KEYS, import_decks
+    from tradewind.sinks.versions import VersionedTable
+
+    table = VersionedTable(spark, f"file://{tmp_path}/decks", COLUMNS, KEYS, buckets=3)
+    resolved = rows(spark, "deck_id int, entries string", [(1, "4 crd_a\n2 crd_b"), (2, "1 crd_a"), (3, "")])
+    problems = rows(spark, "deck_id int, problems string", [(1, ""), (2, "unmatched lines"), (3, "")])
+    assert import_decks(table, resolved, problems, 0) and not import_decks(table, resolved, problems, 0)
+    assert sorted(map(tuple, table.rows().collect())) == [(1, "crd_a", 4), (1, "crd_b", 2)]
+    assert import_decks(table, rows(spark, "deck_id int, entries string", [(1, "3 crd_c")]), problems, 1)
+    assert [tuple(r) for r in table.rows().collect()] == [(1, "crd_c", 3)]  # the newer list, whole
+
+
 def test_snapshot_gate(spark):
     from tradewind.operators.series import group_averages, snapshot_gate
 

@@ -9,6 +9,9 @@ from tradewind.functions import text, titles
 from tradewind.operators import catalog as C
 from tradewind.operators import search as S
 from tradewind.plans.registered import query
+from tradewind.sinks.decks import COLUMNS, KEYS, import_decks
+from tradewind.sinks.shared import shared_path
+from tradewind.sinks.versions import VersionedTable
 from tradewind.sources.views import rows_of, view
 
 _ACC, _FOLD = text.ACCENTED, text.FOLDED
@@ -49,6 +52,21 @@ def tx2_import_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.import_problems(decks, C.resolve_decklists(decks, view(spark, sf_dir, "cards"), mainline=80))
 
 
+@query(f"""WITH {_DECKS}, p AS (SELECT deck_id, regexp_replace(lower(coalesce(place, '')), '[^a-z0-9]', '', 'g') AS k FROM {{decklists}}),
+  good AS (SELECT deck_id FROM p JOIN resolved USING (deck_id) WHERE regexp_matches(k, '^(?:top|t)?([0-9]+)(?:th|st|nd|rd)?$') AND unmatched = '' AND total > 0)
+  SELECT CAST(deck_id AS BIGINT) AS deck_id, card_id, qty AS quantity FROM per WHERE deck_id IN (FROM good)""")
+def tx2_imported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TX2, SNK1: the decks without problems committed to a stored table, in two imports that each run twice."""
+    decks, cards = view(spark, sf_dir, "decklists"), view(spark, sf_dir, "cards")
+    table = VersionedTable(spark, shared_path(spark, "imported"), COLUMNS, KEYS)
+    resolved = C.resolve_decklists(decks, cards, mainline=80)
+    problems = C.import_problems(decks, resolved)
+    for number, half in enumerate((F.col("deck_id") % 2 == 0, F.col("deck_id") % 3 != 1, F.col("deck_id") % 2 == 1)):
+        for _ in range(2):
+            import_decks(table, resolved.where(half), problems.where(half), number)
+    return table.rows()
+
+
 _QUERIES = "SELECT doc_id AS qid, concat(coalesce(text, ''), ' ', CAST(doc_id % 40 AS STRING), '/204') AS text FROM {documents} WHERE doc_id % 50 = 0"
 _TARGETS = "SELECT item_id AS cid, text, CAST(item_id AS INT) AS number FROM {benchmark}"
 
