@@ -293,6 +293,41 @@ def test_verified_links(spark, text_tile):
     assert 1 < len(set(want)) < 40 and [got.get(i, i) for i in range(40)] == want
 
 
+@pytest.mark.parametrize("pivots", [1, 4])
+def test_verified_links_of_a_large_family(spark, pivots):
+    """A component of which most texts are one family, some chains reach it over others, and the rest are apart: the same links as all pairs give."""
+    from tradewind.llm.components import connected_components
+    from tradewind.llm.simhash import verified_links
+
+    rng = np.random.default_rng(8)
+    base = [f"v{x}" for x in range(60)]
+    texts = [" ".join([*base[:-1], f"last{i}"]) for i in range(70)]
+    for i in range(50):  # longer and longer ends of their own: linked to the family, to each other, or to nothing
+        own = base.copy()
+        own[int(rng.integers(20, 60)) :] = [f"w{i // 5}x{k}" for k in range(int(rng.integers(1, 30)))]
+        texts.append(" ".join(own))
+    n, sets = len(texts), [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for t in texts]
+    want = roots(n, [(a, b) for a, b in itertools.combinations(range(n), 2) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8])
+    rows = spark.createDataFrame([(i, 0, t.encode()) for i, t in enumerate(texts)] + [(n, 1, b"two words")], "node bigint, component bigint, text binary")
+    got = {r.node: r.component for r in connected_components(verified_links(rows, 5, 0.8, 6, 4, pivots)).collect()}
+    assert 2 < len(set(want)) < 50 and [got.get(i, i) for i in range(n)] == want
+
+
+def test_bands_of_unlike_texts(spark):
+    """Texts without a common shingle share no band, whatever their number; pairs at the similarity share one as often as stated."""
+    from tradewind.llm.simhash import band_factors, band_keys
+
+    factors, rng = band_factors(0.8, 5, 0.99), np.random.default_rng(2)
+    apart = [band_keys(rng.integers(0, 1 << 63, 60, dtype=np.uint64) * np.uint64(2), factors) for _ in range(5000)]
+    keys = np.stack(apart)
+    assert all(len(np.unique(keys[:, k])) == 5000 for k in range(len(factors))) and len(np.unique(keys)) == keys.size
+    met = 0
+    for _ in range(1000):
+        all_ = rng.integers(0, 1 << 63, 100, dtype=np.uint64)  # 80 of 100 in common
+        met += bool((band_keys(all_[:90], factors) == band_keys(all_[10:], factors)).any())
+    assert met >= 980
+
+
 def brute_strings(rows, size: int = 50) -> dict:
     first: dict[bytes, int] = {}
     bodies = [(i, (t or "").encode()) for i, t, *_ in rows]

@@ -19,12 +19,19 @@ components give every document the smallest id reachable.
 
 ``similar_documents`` links texts whose sets of word shingles have a given
 Jaccard similarity.  The same comparison only gathers candidates: fingerprints
-of 256 bits over the sets, a radius of the distance expected at that similarity
-and some three standard deviations, and enough sampled sets of bits that a pair
-at the radius shares a bucket with the probability ``recall``, however many rows
-there are.  The candidates' components then meet as texts, large ones as pairs
-of tiles, and every pair that isn't connected yet is compared set with set; only
-pairs that reach the similarity become links.
+of 256 bits over the sets, with a radius of the distance expected at that
+similarity and some three standard deviations.  Buckets are bands of minima of
+hashed shingles: a band of ``rows`` minima is shared with the probability of the
+similarity to the power of ``rows``, and there are enough bands that a pair at
+the similarity shares one with the probability ``recall``.  Texts that share no
+shingle share no band, so the comparisons of a text don't grow with the table.
+
+The candidates' components then meet as texts, and only pairs that reach the
+similarity become links.  A component above ``text_tile`` texts is first dealt
+once, tile by tile, each tile with a few pivots of the component.  That connects
+most of a family of copies; afterwards only the texts outside the largest group
+so connected meet all others, as pairs of tiles, so that every pair not yet
+connected is compared set with set.
 
 Defined results: a null or empty text has fingerprint 0 and an empty set, and is
 linked to its like only (by the fingerprint in ``near_duplicates``); rows may
@@ -42,9 +49,9 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructType
+from pyspark.sql.types import ArrayType, LongType, StructType
 
 from tradewind.llm.components import Forest, connected_components
 from tradewind.llm.hashing import RunHashes, mix, words_of
@@ -93,30 +100,49 @@ def shingle_sets(texts: list[bytes], shingle: int) -> Iterator[np.ndarray]:
             yield np.unique(RunHashes(own).fixed(shingle))
 
 
-def wide_fingerprints(docs: DataFrame, bits: int, shingle: int = 5) -> DataFrame:
-    """The columns of docs(text binary, ...), f0, f1, ... with fingerprints of any multiple of 64 bits, and node, a hash of the set of shingles."""
+def band_keys(hashes: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """One key per row of factors: a hash of the minima of hashes multiplied by each of the row's odd factors."""
+    flat = factors.ravel()
+    least = np.full(len(flat), ~np.uint64(0))
+    for at in range(0, len(hashes), 1024):
+        np.minimum(least, (hashes[at : at + 1024, None] * flat).min(axis=0), out=least)
+    key = np.arange(1, len(factors) + 1, dtype=np.uint64)
+    for column in least.reshape(factors.shape).T:
+        key = mix(key ^ mix(column))
+    return key
+
+
+def band_factors(similarity: float, rows: int, recall: float, seed: int = 5) -> np.ndarray:
+    """Odd factors, a row for each band of so many minima that a pair of the similarity shares one with the probability recall."""
+    bands = math.ceil(math.log(1 - recall) / math.log(max(1 - similarity**rows, 1e-12)))
+    return np.random.default_rng(seed).integers(0, 1 << 63, (bands, rows), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def wide_fingerprints(docs: DataFrame, bits: int, shingle: int, factors: np.ndarray) -> DataFrame:
+    """The columns of docs(text binary, ...), f0, f1, ... with fingerprints of any multiple of 64 bits, node, a hash of the set of shingles, and its bands."""
     n_words = bits // BITS
-    names = [*docs.columns, *_names(n_words), "node"]
+    names = [*docs.columns, *_names(n_words), "node", "bands"]
     at_text = docs.columns.index("text")
     seeds = np.random.default_rng(77).integers(1, 1 << 63, n_words, dtype=np.uint64)
 
-    def of(hashes: np.ndarray) -> list[int]:
+    def of(hashes: np.ndarray) -> list:
         ones = np.zeros(bits, np.int64)
         for at in range(0, len(hashes), 1024):
             wide = mix(hashes[at : at + 1024, None] ^ seeds)
             ones += np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         node = np.array([xxhash.xxh64_intdigest(hashes.tobytes())], np.uint64).view(np.int64)
-        return [*np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64).tolist(), int(node[0])]
+        return [*np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64).tolist(), int(node[0]), band_keys(hashes, factors).view(np.int64)]
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
             fps = [of(h) for h in shingle_sets([v or b"" for v in batch.column(at_text).to_pylist()], shingle)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([f[k] for f in fps], pa.int64()) for k in range(n_words + 1))], names)
+            wide = [pa.array([f[k] for f in fps], pa.int64()) for k in range(n_words + 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *wide, pa.array([f[-1] for f in fps], pa.list_(pa.int64()))], names)
 
     schema = StructType(list(docs.schema.fields))
-    for name in names[len(docs.columns) :]:
+    for name in names[len(docs.columns) : -1]:
         schema = schema.add(name, LongType())
-    return docs.mapInArrow(made, schema)
+    return docs.mapInArrow(made, schema.add("bands", ArrayType(LongType())))
 
 
 def _names(n_words: int) -> list[str]:
@@ -229,13 +255,16 @@ def _run_sizes(left: np.ndarray) -> np.ndarray:
     return left[starts]
 
 
-def near_links(distinct: DataFrame, words: list[str], masks: list[list[int]], radius: int, tile: int, tasks: int, one_in: int = 1) -> DataFrame:
-    """Links (a, b) that connect all nodes of distinct(node, *words) within the radius whose words agree under some mask.
+def mask_keys(masks: list[int], word: str) -> Column:
+    """(choice, value) for each mask: a hash of the word's bits under it."""
+    return F.array(*(F.struct(F.lit(i).alias("choice"), F.xxhash64(F.col(word).bitwiseAND(F.lit(_signed(m)))).alias("value")) for i, m in enumerate(masks)))
+
+
+def near_links(distinct: DataFrame, words: list[str], keys: Column, radius: int, tile: int, tasks: int, one_in: int = 1) -> DataFrame:
+    """Links (a, b) that connect all nodes of distinct(node, *words, ...) within the radius that share one of keys, an array of (choice, value).
 
     Buckets to be tiled are counted over one in ``one_in`` nodes; that shifts only where work is done.
     """
-    value = lambda own: F.xxhash64(*(F.col(w).bitwiseAND(F.lit(_signed(m))) for w, m in zip(words, own, strict=True)))
-    keys = F.array(*(F.struct(F.lit(i).alias("choice"), value(m).alias("value")) for i, m in enumerate(masks)))
     deal = lambda nodes: nodes.select("node", *words, F.explode(keys).alias("k")).select("node", *words, "k.choice", "k.value")
     dealt = deal(distinct)
     counted = dealt if one_in == 1 else deal(distinct.where(F.pmod(F.xxhash64("node", F.lit(11)), F.lit(one_in)) == 0))
@@ -267,11 +296,10 @@ def _signed(n: int) -> int:
     return n - (1 << 64) if n >> 63 else n
 
 
-def _grouped(prints: DataFrame, words: list[str], masks: list[list[int]], radius: int, tile: int, tasks: int) -> DataFrame:
-    """The rows of prints(doc_id, node, *words) with their component's smallest doc_id."""
-    own = [w for w in words if w != "node"]
-    classes = prints.groupBy("node", *own).agg(F.min("doc_id").alias("first_id"))
-    component = connected_components(near_links(classes.select("node", *own), words, masks, radius, tile, tasks))
+def _grouped(prints: DataFrame, masks: list[int], radius: int, tile: int, tasks: int) -> DataFrame:
+    """The rows of prints(doc_id, node) with their component's smallest doc_id; node is the fingerprint."""
+    classes = prints.groupBy("node").agg(F.min("doc_id").alias("first_id"))
+    component = connected_components(near_links(classes.select("node"), ["node"], mask_keys(masks, "node"), radius, tile, tasks))
     placed = classes.join(component, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("component"))
     smallest = placed.groupBy("component").agg(F.min("first_id").alias("component_id"))
     by_print = placed.join(smallest, "component").select("node", "component_id").distinct()
@@ -289,9 +317,9 @@ def near_duplicates(
 ) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row."""
     prints = stored(fingerprints(docs, doc_id, text, shingle).withColumnRenamed("fp", "node"), "fingerprints")
-    masks = [[m] for m in block_masks(radius, blocks)]
+    masks = block_masks(radius, blocks)
     tasks = max(partitions(docs.sparkSession), prints.count() * len(masks) >> ROWS_LOG2)
-    found = _grouped(prints, ["node"], masks, radius, tile, tasks)
+    found = _grouped(prints, masks, radius, tile, tasks)
     return found.select("doc_id", F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -300,15 +328,8 @@ def expected_distance(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def sampled_masks(bits: int, sampled: int, choices: int, seed: int = 5) -> list[list[int]]:
-    """Masks, by word, of so many sampled bits for each choice."""
-    rng = np.random.default_rng(seed)
-    picks = [rng.choice(bits, sampled, replace=False) for _ in range(choices)]
-    return [[sum(1 << int(b % BITS) for b in pick if b // BITS == k) for k in range(bits // BITS)] for pick in picks]
-
-
-def exact_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs of sorted sets whose Jaccard similarity is reached."""
+def exact_links(sets: list[np.ndarray], similarity: float, known: list | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of sorted sets whose Jaccard similarity is reached; sets of one known group are connected already."""
     n = len(sets)
     sizes = np.array([len(x) for x in sets], np.int64)
     owner = np.repeat(np.arange(n), sizes)
@@ -317,6 +338,10 @@ def exact_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int, in
     holders, starts = owner[order], np.searchsorted(which[order], np.arange(len(values) + 1))
     begins = np.cumsum(sizes) - sizes
     forest = Forest(n)
+    if known is not None:
+        first, group = np.unique(np.array(known, np.int64), return_index=True, return_inverse=True)[1:]
+        forest.add(first[group], np.arange(n))
+    given = len(forest.edges)
     for i in range(n - 1):
         root = forest.roots()
         if (root == root[0]).all():
@@ -336,43 +361,73 @@ def exact_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int, in
         union = sizes[apart] + sizes[i] - both
         near = apart[both / np.maximum(union, 1) >= similarity]
         forest.add(np.full(len(near), i), near)
-    return forest.edges
+    return forest.edges[given:]
 
 
-def verified_links(texts: DataFrame, shingle: int, similarity: float, tile: int, tasks: int) -> DataFrame:
-    """Links (a, b) that connect all nodes of texts(node, component, text) of that similarity within each component.
+def dealt_links(dealt: DataFrame, texts: DataFrame, shingle: int, similarity: float, tasks: int) -> DataFrame:
+    """Links (a, b) that connect all nodes of that similarity within each bucket of dealt(bucket, node, known).
 
-    Components above ``tile`` texts are dealt as pairs of tiles; a task holds one component or pair of tiles at a time.
+    Nodes of one known group count as connected.  A task holds one bucket at a time.
     """
-    large = texts.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > tile)
-    large = F.broadcast(large.select("component", F.ceil(F.col("n") / tile).cast("int").alias("tiles")))
-    own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("tiles")).cast("int")
-    other = F.sequence(F.lit(0), F.col("tiles") - 1)
-    pair = F.explode(F.when(F.col("tiles").isNull(), F.array(F.lit(0))).otherwise(F.transform(other, lambda o: F.least(o, own) * F.col("tiles") + F.greatest(o, own))))
-    tiled = texts.join(large, "component", "left").withColumn("pair", pair)
-    rows = tiled.select(F.xxhash64("component", "pair").alias("bucket"), "node", "text").repartition(tasks, "bucket").sortWithinPartitions("bucket", "node")
+    rows = dealt.join(texts.select("node", "text"), "node").select("bucket", "node", "text", "known").repartition(tasks, "bucket").sortWithinPartitions("bucket", "node")
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, nodes, sets = None, [], []
+        bucket, nodes, sets, known = None, [], [], []
 
         def done() -> pa.RecordBatch:
-            edges = exact_links(sets, similarity) if len(sets) > 1 else []
+            edges = exact_links(sets, similarity, known) if len(sets) > 1 else []
             a, b = ([nodes[e[k]] for e in edges] for k in (0, 1))
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         for batch in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
             given = shingle_sets([v or b"" for v in batch.column(2).to_pylist()], shingle)
-            for of, node, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), given, strict=True):
+            for of, node, group, own in zip(*(batch.column(k).to_pylist() for k in (0, 1, 3)), given, strict=True):
                 if of != bucket:
                     yield done()
-                    bucket, nodes, sets = of, [], []
+                    bucket, nodes, sets, known = of, [], [], []
                 nodes.append(node)
                 sets.append(own)
+                known.append(group)
         yield done()
 
     return rows.mapInArrow(linked, "a bigint, b bigint").distinct()
 
 
+def verified_links(texts: DataFrame, shingle: int, similarity: float, tile: int, tasks: int, pivots: int = 16) -> DataFrame:
+    """Links (a, b) that connect all nodes of texts(node, component, text) of that similarity within each component.
+
+    Only ids are dealt here; the texts follow them.  Components above ``tile`` texts are dealt in two passes (see above).
+    """
+    members = texts.select("node", "component")
+    sizes = members.groupBy("component").agg(F.count("*").alias("n"))
+    whole = members.join(sizes.where(F.col("n") <= tile), "component").select(F.xxhash64("component").alias("bucket"), "node", F.col("node").alias("known"))
+    small = dealt_links(whole, texts, shingle, similarity, tasks)
+    large = sizes.where(F.col("n") > tile).select("component", F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
+    placed = stored(members.join(large, "component").withColumn("tile", F.pmod(F.xxhash64("node", F.lit(7)), F.col("tiles")).cast("int")), "large")
+    if placed.isEmpty():
+        return small
+    # every tile once, with some pivots of its component
+    leads = placed.groupBy("component", "tiles", F.pmod(F.xxhash64("node", F.lit(13)), F.lit(pivots)).alias("lead")).agg(F.min("node").alias("node"))
+    leads = leads.select("component", "node", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"))
+    once = placed.select("component", "node", "tile").unionByName(leads).distinct()
+    bucket = F.xxhash64("component", "tile").alias("bucket")
+    first = stored(dealt_links(once.select(bucket, "node", F.col("node").alias("known")), texts, shingle, similarity, tasks), "first-links")
+    # the largest group of each component is settled inside; the rest meets everything
+    roots = connected_components(first).withColumnRenamed("component", "root")
+    grouped = placed.join(roots, "node", "left").withColumn("known", F.coalesce("root", "node")).drop("root")
+    counted = grouped.groupBy("component", "known").agg(F.count("*").alias("n"))
+    main = counted.groupBy("component").agg(F.max(F.struct("n", "known"))["known"].alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"))
+    main = main.select("component", "main", F.ceil((F.col("n") - F.col("most")) / tile).cast("int").alias("rests")).where(F.col("rests") > 0)
+    apart = stored(grouped.join(main, "component").withColumn("rest", F.pmod(F.xxhash64("node", F.lit(17)), F.col("rests")).cast("int")), "apart")
+    pair = lambda rest, tile_: F.struct(rest.alias("rest"), tile_.alias("tile"))
+    met = F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda r: pair(r, F.col("tile")))
+    meets = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: pair(F.col("rest"), t))
+    pairs = F.when(F.col("known") == F.col("main"), met).otherwise(F.array_union(met, meets))
+    dealt = apart.select("component", "node", "known", F.explode(pairs).alias("p"))
+    second = dealt_links(dealt.select(F.xxhash64("component", "p.rest", "p.tile").alias("bucket"), "node", "known"), texts, shingle, similarity, tasks)
+    return small.unionByName(first).unionByName(second).distinct()
+
+
 def similar_rows(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -381,8 +436,8 @@ def similar_rows(
     similarity: float = 0.8,
     margin: float = 0.07,
     bits: int = 256,
-    sampled: int = 12,
-    recall: float = 0.97,
+    rows: int = 5,
+    recall: float = 0.99,
     tile: int = 1 << 14,
     text_tile: int = 512,
     keep: tuple[str, ...] = (),
@@ -394,17 +449,17 @@ def similar_rows(
     """
     words = _names(bits // BITS)
     radius = round((expected_distance(similarity) + margin) * bits)
-    meet = math.comb(bits - radius, sampled) / math.comb(bits, sampled)  # of a pair at the radius, in one choice
-    choices = math.ceil(math.log(1 - recall) / math.log(1 - meet))
+    factors = band_factors(similarity, rows, recall)
     given = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"), F.struct(F.lit(0), *keep).alias("kept"))
     # numbered once, as they are written
-    prints = stored(wide_fingerprints(given, bits, shingle).withColumn("row", F.monotonically_increasing_id()), "fingerprints")
-    tasks = max(partitions(docs.sparkSession), prints.count() * choices >> ROWS_LOG2)
+    prints = stored(wide_fingerprints(given, bits, shingle, factors).withColumn("row", F.monotonically_increasing_id()), "fingerprints")
+    tasks = max(partitions(docs.sparkSession), prints.count() * len(factors) >> ROWS_LOG2)
     first = F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "row")).alias("first")
-    classes = stored(prints.groupBy("node", *words).agg(first), "sets")
-    near = connected_components(near_links(classes.select("node", *words), words, sampled_masks(bits, sampled, choices), radius, tile, tasks, one_in=64))
+    classes = stored(prints.groupBy("node", *words).agg(first, F.first("bands").alias("bands")), "sets")
+    keys = F.transform("bands", lambda value, i: F.struct(i.alias("choice"), value.alias("value")))
+    near = connected_components(near_links(classes.select("node", *words, "bands"), words, keys, radius, tile, tasks, one_in=64))
     chosen = classes.join(near, "node").select(F.col("first.row").alias("row"), "node", "component")
-    texts = chosen.join(prints.select("row", "text"), "row").select("node", "component", "text")
+    texts = stored(chosen.join(prints.select("row", "text"), "row").select("node", "component", "text"), "candidates")
     component = connected_components(verified_links(texts, shingle, similarity, text_tile, partitions(docs.sparkSession)))
     placed = classes.join(component, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
     smallest = placed.groupBy("component").agg(F.min("first").alias("least"))
