@@ -10,7 +10,7 @@ from tradewind.operators import catalog as C
 from tradewind.operators import search as S
 from tradewind.plans.registered import query
 from tradewind.sinks.decks import COLUMNS, KEYS, import_decks
-from tradewind.sinks.shared import shared_path
+from tradewind.sinks.shared import shared_path, staged
 from tradewind.sinks.versions import VersionedTable
 from tradewind.sources.views import rows_of, view
 
@@ -57,9 +57,9 @@ def tx2_import_check(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT CAST(deck_id AS BIGINT) AS deck_id, card_id, qty AS quantity FROM per WHERE deck_id IN (FROM good)""")
 def tx2_imported(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TX2, SNK1: the decks without problems committed to a stored table, in two imports that each run twice."""
-    decks, cards = view(spark, sf_dir, "decklists"), view(spark, sf_dir, "cards")
+    decks, cards = staged(view(spark, sf_dir, "decklists"), "decklists"), view(spark, sf_dir, "cards")
     table = VersionedTable(spark, shared_path(spark, "imported"), COLUMNS, KEYS)
-    resolved = C.resolve_decklists(decks, cards, mainline=80)
+    resolved = staged(C.resolve_decklists(decks, cards, mainline=80), "resolved")
     problems = C.import_problems(decks, resolved)
     for number, half in enumerate((F.col("deck_id") % 2 == 0, F.col("deck_id") % 3 != 1, F.col("deck_id") % 2 == 1)):
         for _ in range(2):

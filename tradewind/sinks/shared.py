@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -18,3 +18,10 @@ def shared_path(spark: SparkSession, name: str) -> str:
         folder = f"file://{tempfile.mkdtemp(prefix='tradewind-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def staged(rows: DataFrame, name: str) -> DataFrame:
+    """The rows written to the shared folder and read again, for what several jobs read."""
+    path = shared_path(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
