@@ -22,3 +22,34 @@ def test_import_computes_its_decks_once(spark):
     assert import_decks(table, resolved, problems, 0) and not import_decks(table, resolved, problems, 0)
     assert seen.value == 2
     assert sorted(map(tuple, table.rows().collect())) == [(1, "crd_1", 2), (1, "crd_2", 1)]
+
+
+def test_links_compare_each_pair_of_names_once(spark):
+    from tradewind.operators.catalog import linked_events
+
+    wanted = spark.range(300).selectExpr("id AS wid", "DATE '2024-05-01' AS day", "concat('Grand malmogameweek s', id % 2, '00') AS name")
+    events = spark.range(400).selectExpr("id AS eid", "DATE '2024-05-02' AS day", "concat('Malmo s', id % 4, '00') AS name")
+    twice = wanted.union(wanted).union(wanted.where("wid = 0").selectExpr("wid", "day", "concat(name, ' more') AS name"))
+    found = linked_events(twice, events)
+    assert found.count() == 300 * 400 and found.distinct().count() == 300 * 400
+    assert {tuple(r) for r in found.where("wid < 2 AND eid < 2").collect()} == {(0, 0, "malmogameweek,s000"), (1, 0, "malmogameweek"), (0, 1, "malmogameweek"), (1, 1, "malmogameweek,s100")}
+    # words meet in pairs of names and days, never in pairs of ids
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Aggregate [" in line and "wid#" in line and " w#" in line]
+
+
+def test_alike_rules_of_a_list_are_looked_up_once(spark):
+    from tradewind.operators.alerts import WINDOWS, fired
+
+    rules = spark.range(50).selectExpr("id AS rule_id", "true AS enabled", "7L AS watchlist_id", "CAST(NULL AS bigint) AS product_id", "CAST(NULL AS string) AS printing", "'low' AS basis", "'above' AS kind", "10D AS threshold", "'7d' AS window_key", "CASE WHEN id <> 4 THEN 3 END AS cooldown_days")
+    items = spark.range(40).selectExpr("7L AS watchlist_id", "id AS product_id", "CASE WHEN id % 2 = 0 THEN 'Foil' END AS printing")
+    moves = [f"CAST(0 AS double) AS {p}_{w}" for p in ("pct", "mkt_pct") for w in WINDOWS]
+    moved = spark.range(40).selectExpr("id AS product_id", "'Normal' AS printing", "id AS low_today", "id AS market_today", *moves)
+    history = spark.createDataFrame([(0, 20, "Normal", "2024-05-01"), (1, 20, "Normal", "2024-04-01"), (2, 20, "Foil", "2024-05-01"), (3, 21, None, "2024-05-01"), (4, 22, "Normal", "2024-01-01")], "rule_id bigint, product_id bigint, printing string, fired_on string").withColumn("fired_on", F.to_date("fired_on"))
+    found = fired(rules, items, moved, history, "2024-05-02")
+    # 30 cards of 10 and more under 50 rules, less the one that fired yesterday and the one whose cooldown is unknown
+    rows = {tuple(r) for r in found.collect()}
+    assert len(rows) == found.count() == 50 * 30 - 2 and (0, 20, "Normal", 20.0) not in rows and (1, 20, "Normal", 20.0) in rows and (4, 22, "Normal", 22.0) not in rows
+    # a rule's history lies with the rule: the rows that fire are not joined with it
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_contains(quiet" in plan
