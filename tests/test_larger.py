@@ -53,3 +53,22 @@ def test_alike_rules_of_a_list_are_looked_up_once(spark):
     # a rule's history lies with the rule: the rows that fire are not joined with it
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "array_contains(quiet" in plan
+
+
+def test_batches_are_spread_over_files_and_stay_batches(spark):
+    from tradewind.streaming.runs import each_batch, in_batches
+
+    rows = spark.range(400).selectExpr("id", "timestamp_seconds(CASE WHEN id < 397 THEN id ELSE 100000 + id * 400 END) AS at")
+    stream, seen = in_batches(rows, F.col("at"), 4, "spread", rows_per_file=20), []
+    each_batch(stream, "spread", lambda batch, number: seen.append((batch.count(), batch.select(F.input_file_name()).distinct().count())))
+    # five files a batch, whatever it holds, and all of a batch's rows in its turn
+    assert [n for n, _ in seen if n] == [397, 3] and seen[0][1] == 5
+
+
+def test_values_under_the_threshold_move_the_watermark(spark):
+    from tradewind.streaming.alerts import cooled_alerts
+    from tradewind.streaming.runs import in_batches, run_once
+
+    rows = spark.createDataFrame([(1, 3600, 90.0), (2, 7200, 95.0), (3, 90000, 1.0)], "user bigint, s bigint, value double").selectExpr("user", "timestamp_seconds(s) AS ts", "value")
+    found = run_once(cooled_alerts(in_batches(rows, F.col("ts"), 2, "low"), "user", "value", "ts", 80.0, 2, "6 hours"), "low")
+    assert sorted(r.user for r in found.collect()) == [1, 2]

@@ -79,6 +79,8 @@ def cooled_alerts(rows: DataFrame, key: str, value: str, at: str, threshold: flo
     watermark has passed them; later ones than that are dropped by Spark.
     """
     kind = rows.schema[key].dataType.simpleString()
-    hits = rows.select(key, at, value).where((F.col(value) >= threshold) & F.col(key).isNotNull()).withWatermark(at, delay)
+    marked = rows.select(key, at, value).withWatermark(at, delay)
+    # rows under the threshold move the watermark too; a filter that reads the time isn't pushed below it
+    hits = marked.where(F.when((F.col(value) >= threshold) & F.col(key).isNotNull(), F.col(at)).isNotNull())
     schema = f"{key} {kind}, fired_at timestamp, observed double"
     return hits.groupBy(key).transformWithStateInPandas(Cooldown(key, at, value, cooldown_days), schema, "append", "EventTime")
