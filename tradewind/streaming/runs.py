@@ -19,16 +19,26 @@ def arriving(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int =
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet*")
 
 
-def in_batches(rows: DataFrame, arrived: Column, batches: int, name: str) -> DataFrame:
-    """Replays a table as a stream: its rows in order of arrival, one file a batch; what rows say of their time isn't changed."""
+def in_batches(rows: DataFrame, arrived: Column, batches: int, name: str, rows_per_file: int = 500_000) -> DataFrame:
+    """Replays a table as a stream: its rows in order of arrival, batch by batch; what rows say of their time isn't changed.
+
+    Every batch is as many files, so a trigger that takes that number of files
+    takes one batch; larger tables have more of them, and no task writes or
+    reads a whole batch.
+    """
     spark = rows.sparkSession
     path, at = shared_path(spark, name), F.unix_micros(arrived.cast("timestamp"))
-    first, last = rows.agg(F.min(at), F.max(at)).first()
+    first, last, count = rows.agg(F.min(at), F.max(at), F.count("*")).first()
     step = 1 if first is None else (last - first + batches) // batches
+    files = max(1, -(-count // (rows_per_file * batches)))
     stamped = rows.withColumn("_batch", F.coalesce(F.floor((at - F.lit(first)) / step), F.lit(0)))
     for i in range(batches):
-        stamped.where(F.col("_batch") == i).drop("_batch").coalesce(1).write.parquet(f"{path}/{i:04d}")
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(path)
+        batch, folder = stamped.where(F.col("_batch") == i).drop("_batch"), f"{path}/{i:04d}"
+        (batch.coalesce(1) if files == 1 else batch.repartition(files)).write.parquet(folder)
+        # a part without rows isn't written: empty files take the places that are left
+        for _ in range(files - len(spark.read.schema(rows.schema).parquet(folder).inputFiles())):
+            rows.limit(0).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).option("recursiveFileLookup", True).parquet(path)
 
 
 def _writer(rows: DataFrame, name: str):
