@@ -72,3 +72,17 @@ def test_values_under_the_threshold_move_the_watermark(spark):
     rows = spark.createDataFrame([(1, 3600, 90.0), (2, 7200, 95.0), (3, 90000, 1.0)], "user bigint, s bigint, value double").selectExpr("user", "timestamp_seconds(s) AS ts", "value")
     found = run_once(cooled_alerts(in_batches(rows, F.col("ts"), 2, "low"), "user", "value", "ts", 80.0, 2, "6 hours"), "low")
     assert sorted(r.user for r in found.collect()) == [1, 2]
+
+
+def test_names_of_the_same_words_are_scored_once(spark):
+    from tradewind.operators.search import resolve_names
+
+    cards = spark.range(3000).selectExpr("id AS cid", "CASE WHEN id % 3 = 0 THEN 'Red Ring' WHEN id % 3 = 1 THEN 'ring red' ELSE concat('Blue Bolt ', id % 2) END AS name")
+    queries = spark.range(200).selectExpr("id AS qid", "CASE WHEN id < 199 THEN 'red ring' ELSE 'bolt 1' END AS text")
+    found = resolve_names(queries, cards)
+    rows = {tuple(r) for r in found.collect()}
+    assert len(rows) == found.count() == 200 * 5
+    assert {r for r in rows if r[0] == 7} == {(7, c, 1.0, p + 1) for p, c in enumerate((0, 1, 3, 4, 6))}
+    assert {r[1] for r in rows if r[0] == 199} == {5, 11, 17, 23, 29}
+    # words are joined for one card and one query of the same words
+    assert "first" in found._jdf.queryExecution().optimizedPlan().toString()

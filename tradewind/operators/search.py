@@ -63,12 +63,19 @@ def resolve_names(queries: DataFrame, cards: DataFrame, k: int = 5) -> DataFrame
     best similarity that any word of the card has to it: 1 exact, 0.9 as a
     prefix, 0.75 by an edit; the score is the weighted mean over the query's
     words.  Only the vocabulary is compared with query words, blocked by shared
-    deletions, and distances are computed for those pairs alone.
+    deletions, and distances are computed for those pairs alone.  Cards of the
+    same words, and queries of the same, are scored once.
     """
     n = cards.agg(F.count("*").alias("n"))  # one row
-    held = cards.select("cid", F.explode(words("name")).alias("word"))
-    vocabulary = held.groupBy("word").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("word", F.log(1 + F.col("n") / F.col("df")).alias("idf"))
-    asked = queries.select("qid", F.explode(words("text")).alias("q"))
+    vocabulary = cards.select(F.explode(words("name")).alias("word")).groupBy("word").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("word", F.log(1 + F.col("n") / F.col("df")).alias("idf"))
+    said = lambda rows, i, c: rows.groupBy(i).agg(F.array_sort(F.flatten(F.collect_list(words(c)))).alias("words"))
+    same = W.partitionBy("words")
+    # of cards of the same words no more than the k first can be among the best, and the first stands for them
+    named = said(cards, "cid", "name").withColumn("words", F.array_distinct("words"))
+    members = named.withColumn("nth", F.row_number().over(same.orderBy("cid"))).where(F.col("nth") <= k).withColumn("first", F.min("cid").over(same)).select("first", "cid", "words")
+    held = members.where(F.col("first") == F.col("cid")).select("cid", F.explode("words").alias("word"))
+    typed = said(queries, "qid", "text").withColumn("asked", F.min("qid").over(same)).select("qid", "asked", "words")
+    asked = typed.where(F.col("qid") == F.col("asked")).select("qid", F.explode("words").alias("q"))
     distinct = asked.select("q").distinct()
     exact = distinct.join(vocabulary.withColumn("q", F.col("word")), "q").select("q", "word", "idf", F.lit(1.0).alias("s"))
     starts = vocabulary.withColumn("q", F.explode(F.expr("CASE WHEN length(word) > 3 THEN transform(sequence(3, length(word) - 1), i -> substring(word, 1, i)) ELSE array() END")))
@@ -80,7 +87,9 @@ def resolve_names(queries: DataFrame, cards: DataFrame, k: int = 5) -> DataFrame
     total = asked.join(weight, "q").groupBy("qid").agg(F.sum("w").alias("total"))
     by_word = asked.join(pairs, "q").join(held, "word").groupBy("qid", "cid", "q").agg(F.max("s").alias("s")).join(weight, "q")
     scored = by_word.groupBy("qid", "cid").agg(F.sum(F.col("w") * F.col("s")).alias("sum")).join(total, "qid").select("qid", "cid", F.round(F.col("sum") / F.col("total"), 6).alias("score"))
-    return best(scored, "qid", "score", "cid", k)
+    firsts = best(scored, "qid", "score", "cid", k).select(F.col("qid").alias("asked"), F.col("cid").alias("first"), "score")
+    found = best(firsts.join(members.select("first", "cid"), "first"), "asked", "score", "cid", k).select("asked", "cid", "score", "place")
+    return typed.select("qid", "asked").join(found, "asked").select("qid", "cid", "score", "place")
 
 
 def nearest_vectors(queries: DataFrame, vectors: DataFrame, k: int = 5, penalty: float = 0.12, wide: int = 25, block: int = 4096) -> DataFrame:
