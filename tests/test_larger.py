@@ -86,3 +86,19 @@ def test_names_of_the_same_words_are_scored_once(spark):
     assert {r[1] for r in rows if r[0] == 199} == {5, 11, 17, 23, 29}
     # words are joined for one card and one query of the same words
     assert "first" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_titles_are_read_once(spark):
+    from tradewind.functions.titles import read_once
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(title):
+        seen.add(1)
+        return title and title.upper()
+
+    rows = spark.range(900).selectExpr("id", "CASE id % 3 WHEN 0 THEN 'psa 10' WHEN 1 THEN 'raw' END AS title")
+    found = read_once(rows, {"said": counted("title")}).collect()
+    assert seen.value == 3
+    assert len(found) == 900 and {(r.title, r.said) for r in found} == {("psa 10", "PSA 10"), ("raw", "RAW"), (None, None)}
