@@ -102,3 +102,18 @@ def test_titles_are_read_once(spark):
     found = read_once(rows, {"said": counted("title")}).collect()
     assert seen.value == 3
     assert len(found) == 900 and {(r.title, r.said) for r in found} == {("psa 10", "PSA 10"), ("raw", "RAW"), (None, None)}
+
+
+def test_trigrams_of_long_texts_take_time_in_proportion(spark):
+    import time
+
+    from tradewind.functions.text import trigrams
+
+    texts = ["abcabcd", "aé🂡xé", "ab", "", None]
+    want = [["abc", "bca", "cab", "bcd"], ["aé🂡", "é🂡x", "🂡xé"], [], [], []]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    assert [r.q for r in rows.select("i", trigrams("t").alias("q")).orderBy("i").collect()] == want
+    began = time.monotonic()
+    long = spark.range(4).selectExpr("repeat(concat('abcdefgh', id), 60000) AS t").withColumn("q", trigrams("t"))
+    assert {r.n for r in long.where(F.size("q") > 2).select(F.size("q").alias("n")).collect()} == {9}
+    assert time.monotonic() - began < 40
