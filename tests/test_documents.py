@@ -28,3 +28,12 @@ def test_pages(spark):
     got = {r.page: json.loads(r.document) for r in D.pages(rows, "k", [F.desc("id")], ["id", "v"]).collect()}
     assert [len(got[p]["rows"]) for p in range(3)] == [100, 100, 50] and [r["id"] for p in range(3) for r in got[p]["rows"]] == list(range(249, -1, -1))
     assert got[0]["rows"][0] == {"id": 249, "v": None} and got[2]["k"] == "s"
+
+
+def test_snapshots_are_read_once(spark):
+    from tradewind.plans.documents import fn_json_deck_changes
+
+    found = fn_json_deck_changes(spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # one scan of the cards, which are shuffled by deck and stay there
+    assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") == 1

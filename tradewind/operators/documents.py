@@ -31,13 +31,16 @@ def snapshot_changes(versions: DataFrame) -> DataFrame:
     passed over.  Printings that a snapshot leaves out are Normal; several
     entries of a card are added up.
     """
-    good = read_snapshots(versions).where("n_cards IS NOT NULL").select("deck_id", "version", F.try_variant_get("cards", "$", CARD).alias("items"))
-    order = good.select("deck_id", "version").withColumn("next", F.lead("version").over(W.partitionBy("deck_id").orderBy("version")))
-    each = good.select("deck_id", "version", F.explode("items").alias("c")).select("deck_id", "version", "c.card_id", F.coalesce("c.printing", F.lit("Normal")).alias("printing"), F.coalesce("c.quantity", F.lit(0)).alias("n"))
+    # read once, and a card lies with its deck from here on: versions follow each other and are compared where they are
+    good = versions.select("deck_id", "version", F.try_variant_get(F.try_parse_json("cards"), "$", CARD).alias("items")).where("items IS NOT NULL")
+    order = good.withColumn("next", F.lead("version").over(W.partitionBy("deck_id").orderBy("version")))
+    each = order.select("deck_id", "version", "next", F.explode("items").alias("c"))
     # a card counts for its own version, and as what was before for the next one
-    here = each.withColumn("was", F.lit(0))
-    after = each.join(order.where("next IS NOT NULL"), ["deck_id", "version"]).select("deck_id", F.col("next").alias("version"), "card_id", "printing", F.lit(0).alias("n"), F.col("n").alias("was"))
-    both = here.unionByName(after).groupBy("deck_id", "version", "card_id", "printing").agg(F.sum("was").alias("before"), F.sum("n").alias("now"))
+    n = F.coalesce("c.quantity", F.lit(0))
+    here, after = F.struct("version", F.lit(0).alias("was"), n.alias("n")), F.struct(F.col("next").alias("version"), n.alias("was"), F.lit(0).alias("n"))
+    sides = F.when(F.col("next").isNull(), F.array(here)).otherwise(F.array(here, after))
+    counted = each.select("deck_id", F.col("c.card_id").alias("card_id"), F.coalesce("c.printing", F.lit("Normal")).alias("printing"), F.explode(sides).alias("s"))
+    both = counted.groupBy("deck_id", F.col("s.version").alias("version"), "card_id", "printing").agg(F.sum("s.was").alias("before"), F.sum("s.n").alias("now"))
     return both.where("before <> now")
 
 

@@ -20,7 +20,8 @@ _BROKEN = "deck_id % 20 = 0 AND version = 2"
   SELECT deck_id, version, card_id, printing, CAST(sum(before) AS BIGINT) AS before, CAST(sum(now) AS BIGINT) AS now FROM b GROUP BY ALL HAVING sum(before) <> sum(now)""")
 def fn_json_deck_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN JSON: what each version of a deck changes, out of snapshots as JSON text, some of which can't be read."""
-    written = D.snapshot(rows_of(spark, sf_dir, _VERSIONS), ["deck_id", "version"])
+    # a deck's cards are brought together once, for its snapshots and their changes
+    written = D.snapshot(rows_of(spark, sf_dir, _VERSIONS).repartition("deck_id"), ["deck_id", "version"])
     return D.snapshot_changes(written.withColumn("cards", F.when(F.expr(_BROKEN), '[{"card_id": ').otherwise(F.col("cards"))))
 
 
