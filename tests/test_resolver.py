@@ -57,3 +57,14 @@ def test_empty_tables(spark, cards):
     asked = spark.createDataFrame([(1, "elsa")], "qid bigint, text string")
     assert resolve_cards(asked.limit(0), cards.drop("qid", "text")).count() == 0
     assert resolve_cards(asked, spark.createDataFrame([], CARDS)).count() == 0
+
+
+def test_keys_of_words_are_not_broadcast(spark):
+    from tradewind.operators.resolver import expansions
+
+    words = lambda n: spark.range(n).selectExpr("lower(hex(id * 104729 % 268435456)) AS w").distinct()
+    met = expansions(words(300).selectExpr("w AS q"), words(3000).selectExpr("w AS word"))
+    assert met.where("q = word").count() == 300
+    plan = met._jdf.queryExecution().executedPlan().toString().split("Final Plan")[-1].split("Initial Plan")[0]
+    # whatever their sizes are taken for: prefixes, one deletion and two
+    assert plan.count("SortMergeJoin") >= 3

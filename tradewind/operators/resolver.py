@@ -21,6 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tradewind.functions.text import deletions, osa_distance, words
+from tradewind.sinks.shared import staged
 
 #: A hit's weight by field.
 FIELD_WEIGHTS = {"name": 1.0, "version": 0.92, "extra": 0.36}
@@ -36,10 +37,11 @@ def expansions(asked: DataFrame, vocabulary: DataFrame) -> DataFrame:
     q, word = F.length("q"), F.length("word")
     exact = asked.join(vocabulary.withColumn("q", F.col("word")), "q").select("q", "word", F.lit(1.0).alias("quality"))
     starts = vocabulary.where(word > 4).withColumn("q", F.explode(F.transform(F.sequence(F.lit(4), word - 1), lambda i: F.substring("word", F.lit(1), i))))
-    prefix = asked.join(starts, "q").select("q", "word", (0.72 + 0.2 * q / word).alias("quality"))
+    # keys are many times their words, which the planner doesn't see: their tables are shuffled, never sent to the driver
+    prefix = asked.hint("merge").join(starts, "q").select("q", "word", (0.72 + 0.2 * q / word).alias("quality"))
     dealt = lambda t, of, least, keys: t.where(F.length(of) >= least).withColumn("d", F.explode(keys(of)))
-    one = dealt(asked, "q", 4, deletions).join(dealt(vocabulary, "word", 3, deletions), "d").select("q", "word")
-    two = dealt(asked, "q", 6, _two_deletions).join(dealt(vocabulary, "word", 4, _two_deletions), "d").select("q", "word")
+    one = dealt(asked, "q", 4, deletions).hint("merge").join(dealt(vocabulary, "word", 3, deletions), "d").select("q", "word")
+    two = dealt(asked, "q", 6, _two_deletions).hint("merge").join(dealt(vocabulary, "word", 4, _two_deletions), "d").select("q", "word")
     pairs = one.unionByName(two).distinct().where(F.col("q") != F.col("word")).withColumn("edits", osa_distance("q", "word"))
     near = pairs.where((F.col("edits") == 1) | ((F.col("edits") == 2) & (q >= 6)))
     quality = F.when(F.col("edits") == 1, 0.8).when(q >= 8, 0.6).otherwise(0.55)
@@ -62,7 +64,7 @@ def resolve_cards(queries: DataFrame, cards: DataFrame, k: int = 5, least: float
     vocabulary = held.groupBy("word").agg(F.greatest(named, F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).select("word", F.least(F.lit(3.0), F.log(1 + F.col("n") / F.col("df"))).alias("idf"))
     asked = queries.select("qid", F.explode(words("text")).alias("q"))
     distinct = asked.select("q").distinct()
-    met = expansions(distinct, vocabulary.select("word"))
+    met = staged(expansions(distinct, vocabulary.select("word")), "met")  # three steps below read it
     meant = met.join(vocabulary, "word").groupBy("q").agg(F.max_by("idf", F.struct("quality", "idf")).alias("meant"))
     is_stop = lambda c: c.isin(*stop) if stop else F.lit(False)
     weight = F.when(is_stop(F.col("q")), 0.12).otherwise(F.coalesce("meant", F.lit(1.2)))
