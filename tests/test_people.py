@@ -77,3 +77,31 @@ def test_collisions(spark):
     got = {r.player_id: tuple(r)[1:] for r in collisions(players, spark.createDataFrame(played, "store string, player1_id int, player2_id int")).collect()}
     # 2 has played the busiest; 3 shares two opponents with it; 5 shares one
     assert got == {3: (1, 0.9, 0, 2), 5: (1, 0.5, 0, 1)}
+
+
+@pytest.mark.parametrize(("few", "tile"), [(64, 8192), (2, 3)])
+def test_linked_accounts_equal_all_pairs(spark, monkeypatch, few, tile):
+    from tradewind.operators import people
+
+    monkeypatch.setattr(people, "FEW", few)
+    monkeypatch.setattr(people, "TILE", tile)
+    rng = random.Random(5)
+    shown = ["Anna Berg", "anna-berg", "Berg Anna", "BERG  anna", "AnnaBerg", "An naberg", "Solo", "--", None]
+    players = [(i, "Only One" if i == 60 else rng.choice(shown), rng.choice(["melee", "rph", "rph", None])) for i in range(61)]
+    entries = [(rng.choice([*range(12), None]), rng.randrange(70)) for _ in range(110)]
+    split = lambda s: " ".join(sorted("".join(c if c.isalnum() else " " for c in (s or "").lower()).split()))
+    at = {p: {e for e, q in entries if q == p and e is not None} for p, *_ in players}
+    want = set()
+    for i, s, p in players:
+        named = [(j, t, q) for j, t, q in players if norm(s or "") and norm(t or "") and (norm(s) == norm(t) or split(s) == split(t))]
+        links = [x for x in named if x[0] != i]
+        if links:
+            across = [(t, q) for j, t, q in links if norm(t) == norm(s) and p and q and p != q]
+            evidence = "exact" if any(t == s for t, _ in across) else "normalized" if across else None
+            ids = (min(j for j, t, _ in named if norm(t) == norm(s)), min(j for j, t, _ in named if split(t) == split(s)))
+            counts = (len(across), len(links), sum(t == s for _, t, _ in links), sum(not at[i] & at[j] for j, *_ in links))
+            want.add((i, *ids, p, evidence, {"exact": 1.0, "normalized": 0.95, None: None}[evidence], *counts))
+    got = people.linked_accounts(spark.createDataFrame(players, "player_id bigint, name string, platform string"), spark.createDataFrame(entries, "event_id int, player_id bigint")).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    # accounts of one platform, turned words and pairs that met are all there
+    assert any(r[4] is None for r in want) and any(r[1] != r[2] for r in want) and any(r[-1] < r[-3] for r in want)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,6 +12,8 @@ from tradewind.functions.similar import similar_strings
 
 #: Certainty of suggestions: the same display name, the same letters and digits, and accounts of one platform with and without common circles.
 EXACT, NORMALISED, SAME_CIRCLE, APART = 1.0, 0.95, 0.9, 0.5
+#: Classes of up to FEW accounts meet pair by pair, larger ones by bits in tiles of about TILE by TILE accounts.
+FEW, TILE = 64, 8192
 
 
 def name_key(name: str) -> Column:
@@ -41,6 +45,79 @@ def alias_suggestions(players: DataFrame) -> DataFrame:
     return found.select("player_id", "class_id", "platform", F.when(exact, "exact").otherwise("normalized").alias("evidence"), F.when(exact, EXACT).otherwise(NORMALISED).alias("confidence"), (F.col("n") - F.col("own")).alias("n_other"))
 
 
+def _met_in_tile(rows: pd.DataFrame) -> pd.DataFrame:
+    """(kind, id, player_id, n): each account of the tile's first side with the number of the second's that it met, itself included if it's there."""
+    first, second = rows[rows["side"] != 2], rows[rows["side"] != 1]
+    events = pd.Index(second["event_id"].unique())
+    at = events.get_indexer(first["event_id"])
+    known = at >= 0
+    first, at = first[known], at[known]
+    bit, members = pd.factorize(second["player_id"])
+    there = np.zeros((len(events), len(members) // 8 + 1), np.uint8)
+    np.bitwise_or.at(there, (events.get_indexer(second["event_id"]), bit // 8), (1 << (bit % 8)).astype(np.uint8))
+    ids, owner = np.unique(first["player_id"].to_numpy(), return_inverse=True)
+    bounds = np.cumsum(np.bincount(owner, minlength=len(ids)))
+    n = [int(np.bitwise_count(np.bitwise_or.reduce(there[own])).sum()) for own in np.split(at[np.argsort(owner, kind="stable")], bounds[:-1])] if len(ids) else []
+    return pd.DataFrame({"kind": rows["kind"].iloc[0], "id": rows["id"].iloc[0], "player_id": ids, "n": np.array(n, "int64")})
+
+
+def met_members(members: DataFrame, entries: DataFrame) -> DataFrame:
+    """(kind, id, player_id, n): for accounts of members(kind, id, player_id) how many others of the class (kind, id) they met in an event of entries(event_id, player_id)."""
+    sizes = members.groupBy("kind", "id").agg(F.count("*").alias("size")).where("size > 1")
+    there = members.join(sizes, ["kind", "id"]).join(entries.where("event_id IS NOT NULL").select("event_id", "player_id").distinct(), "player_id")
+    few = there.where(F.col("size") <= FEW).select("kind", "id", "player_id", "event_id")
+    met = few.join(few.withColumnRenamed("player_id", "other"), ["kind", "id", "event_id"]).where("player_id <> other").groupBy("kind", "id", "player_id").agg(F.countDistinct("other").alias("n"))
+    tiles = F.ceil(F.col("size") / TILE).cast("int")
+    many = there.where(F.col("size") > FEW).withColumn("own", F.pmod(F.xxhash64("player_id"), tiles).cast("int")).withColumn("facing", F.explode(F.sequence(F.lit(0), tiles - 1)))
+    tile = lambda i, j, side: F.struct(F.col(i).alias("i"), F.col(j).alias("j"), F.lit(side).alias("side"))
+    dealt = F.when(F.col("own") == F.col("facing"), F.array(tile("own", "own", 0))).otherwise(F.array(tile("own", "facing", 1), tile("facing", "own", 2)))
+    schema = ", ".join(f"{c} {members.schema[c].dataType.simpleString()}" for c in ("kind", "id", "player_id")) + ", n bigint"
+    found = many.select("kind", "id", "player_id", "event_id", F.inline(dealt)).groupBy("kind", "id", "i", "j").applyInPandas(_met_in_tile, schema)
+    # every account with an event meets itself in one tile
+    return met.unionByName(found.groupBy("kind", "id", "player_id").agg((F.sum("n") - 1).alias("n")))
+
+
+def linked_accounts(players: DataFrame, entries: DataFrame) -> DataFrame:
+    """Each account of players(player_id, name, platform) that another, of whatever platform, shares its name with.
+
+    Accounts link if their names have the same letters and digits (one class_id,
+    the smallest account of the class) or the same words in any order (one
+    words_id), so that the two classes with their members hold every pair.
+    n_links counts the accounts linked, n_exact those of them with the very
+    display name, n_possible those that it never met in an event of
+    entries(event_id, player_id): who met is two people.  n_other, evidence and
+    confidence are those of alias_suggestions(): accounts of other platforms with
+    the same letters and digits; evidence is null where there are none.  Names
+    without letters and digits match nothing.
+    """
+    words = F.array_join(F.array_sort(F.regexp_extract_all(F.lower(F.coalesce("name", F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))), " ")
+    keyed = players.select("player_id", "name", "platform", name_key("name").alias("k"), words.alias("w")).where("k <> ''")
+    counted = lambda by, *more: keyed.groupBy(*by).agg(*more)
+    n = lambda name: F.count("*").alias(name)
+    found = (
+        keyed.join(counted(["k"], F.min("player_id").alias("class_id"), n("n_k"), F.count("platform").alias("known")), "k")
+        .join(counted(["w"], F.min("player_id").alias("words_id"), n("n_w")), "w")
+        .join(counted(["k", "w"], F.min("player_id").alias("both_id"), n("n_kw")), ["k", "w"])
+        .join(counted(["k", "platform"], n("own")), ["k", "platform"], "left")
+        .join(counted(["k", "name"], n("n_name"), F.min("platform").alias("s1"), F.max("platform").alias("s2")), ["k", "name"])
+        .withColumn("n_links", F.col("n_k") + F.col("n_w") - F.col("n_kw") - 1)
+        .where("n_links > 0")
+    )
+    # met in either class: where neither holds the other, those of both are counted twice
+    part = lambda kind, sign, c: F.struct(F.lit(kind).alias("kind"), F.col(c).alias("id"), F.lit(sign).alias("sign"))
+    by_key, by_words, by_both = part(0, 1, "class_id"), part(1, 1, "words_id"), part(2, -1, "both_id")
+    classes = F.when(F.col("n_w") == F.col("n_kw"), F.array(by_key)).when(F.col("n_k") == F.col("n_kw"), F.array(by_words)).otherwise(F.array(by_key, by_words, by_both))
+    members = found.select("player_id", F.inline(classes))
+    met = met_members(members.drop("sign"), entries)
+    n_met = members.join(met, ["kind", "id", "player_id"]).groupBy("player_id").agg(F.sum(F.col("sign") * F.col("n")).alias("n_met"))
+    exact, other = F.col("platform").isNotNull() & (F.col("s1") != F.col("s2")), F.coalesce(F.col("known") - F.col("own"), F.lit(0))
+    return found.join(n_met, "player_id", "left").select(
+        "player_id", "class_id", "words_id", "platform",
+        F.when(exact, "exact").when(other > 0, "normalized").alias("evidence"), F.when(exact, EXACT).when(other > 0, NORMALISED).alias("confidence"),
+        other.alias("n_other"), "n_links", (F.col("n_name") - 1).alias("n_exact"), (F.col("n_links") - F.coalesce("n_met", F.lit(0))).alias("n_possible"),
+    )
+
+
 def similar_names(players: DataFrame, of: str, among: str, least: float = 0.85, top: int = 3) -> DataFrame:
     """(player_id, other_id, confidence): for accounts of a platform the most similar names of another, ``top`` accounts at most.
 

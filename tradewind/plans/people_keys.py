@@ -56,13 +56,23 @@ _PLAYED = "SELECT CASE WHEN o_orderkey % 6 <> 0 THEN o_orderkey % 40 END AS stor
 _KEY = "regexp_replace(lower(name), '[^a-z0-9]', '', 'g')"
 
 
-@query(f"""WITH a AS (SELECT *, {_KEY} AS k FROM ({_NAMED}) WHERE {_KEY} <> '')
-  SELECT a.player_id, (SELECT min(b.player_id) FROM a b WHERE b.k = a.k) AS class_id, a.platform, CASE WHEN EXISTS (SELECT 1 FROM a b WHERE b.name = a.name AND b.platform <> a.platform) THEN 'exact' ELSE 'normalized' END AS evidence,
-    CASE WHEN EXISTS (SELECT 1 FROM a b WHERE b.name = a.name AND b.platform <> a.platform) THEN 1.0::DOUBLE ELSE 0.95 END AS confidence, (SELECT count(*) FROM a b WHERE b.k = a.k AND b.platform <> a.platform) AS n_other
-  FROM a WHERE EXISTS (SELECT 1 FROM a b WHERE b.k = a.k AND b.platform <> a.platform)""")
+#: Beside them a second account of each customer, its words turned for some, on whatever platform; what each entered.
+_LINKED = f"""{_NAMED} UNION ALL
+  SELECT CAST(-1000000000 - o_custkey AS BIGINT), concat(CASE WHEN o_custkey % 3 = 0 THEN 'Mr. ' ELSE '' END, CASE WHEN o_custkey % 2 = 0 THEN 'anna  berg' ELSE 'Berg Anna' END, ' ', o_custkey % 97), CASE WHEN o_custkey % 5 = 0 THEN 'melee' ELSE 'rph' END FROM (SELECT DISTINCT o_custkey FROM {{orders}}) x"""
+_MET = "SELECT o_orderkey % 300 AS event_id, CAST(o_custkey AS BIGINT) AS player_id FROM {orders} UNION ALL SELECT o_orderkey % 300, CAST(-1000000000 - o_custkey AS BIGINT) FROM {orders}"
+_TOKENS = "array_to_string(list_sort(list_filter(regexp_split_to_array(lower(name), '[^a-z0-9]+'), lambda w: w <> '')), ' ')"
+
+
+@query(f"""WITH a AS (SELECT *, {_KEY} AS k, {_TOKENS} AS w FROM ({_LINKED}) WHERE {_KEY} <> ''), m AS (SELECT DISTINCT event_id, player_id FROM ({_MET})),
+  p AS (SELECT x.player_id AS a, y.player_id AS b, x.name = y.name AS exact, x.k = y.k AND x.platform <> y.platform AS other FROM a x JOIN a y ON x.k = y.k AND x.player_id <> y.player_id
+    UNION ALL SELECT x.player_id, y.player_id, FALSE, FALSE FROM a x JOIN a y ON x.w = y.w AND x.k <> y.k),
+  v AS (SELECT DISTINCT p.a, p.b FROM p JOIN m s ON s.player_id = p.a JOIN m t ON t.player_id = p.b AND t.event_id = s.event_id),
+  n AS (SELECT p.a, count(*) AS n_links, count(*) FILTER (exact) AS n_exact, count(*) FILTER (other) AS n_other, count(*) FILTER (v.a IS NULL) AS n_possible, coalesce(bool_or(exact AND other), FALSE) AS shown FROM p LEFT JOIN v ON v.a = p.a AND v.b = p.b GROUP BY p.a)
+  SELECT a.player_id, min(a.player_id) OVER (PARTITION BY a.k) AS class_id, min(a.player_id) OVER (PARTITION BY a.w) AS words_id, a.platform, CASE WHEN shown THEN 'exact' WHEN n_other > 0 THEN 'normalized' END AS evidence,
+    CASE WHEN shown THEN 1.0::DOUBLE WHEN n_other > 0 THEN 0.95 END AS confidence, n_other, n_links, n_exact, n_possible FROM a JOIN n ON n.a = a.player_id""")
 def el12_alias_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """EL12: accounts whose name another platform has too, with their class."""
-    return P.alias_suggestions(rows_of(spark, sf_dir, _NAMED))
+    """EL12: accounts whose name others have too, of any platform and in any order of words, with their classes and how many of them they can be."""
+    return P.linked_accounts(rows_of(spark, sf_dir, _LINKED), rows_of(spark, sf_dir, _MET))
 
 
 @query(f"""WITH a AS (SELECT *, platform || '|' || {_KEY} AS k FROM ({_NAMED}) WHERE {_KEY} <> ''), m AS ({_PLAYED}), s AS (SELECT store, player1_id AS p, player2_id AS o FROM m UNION ALL SELECT store, player2_id, player1_id FROM m WHERE player2_id IS NOT NULL),
