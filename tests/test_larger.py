@@ -117,3 +117,26 @@ def test_trigrams_of_long_texts_take_time_in_proportion(spark):
     long = spark.range(4).selectExpr("repeat(concat('abcdefgh', id), 60000) AS t").withColumn("q", trigrams("t"))
     assert {r.n for r in long.where(F.size("q") > 2).select(F.size("q").alias("n")).collect()} == {9}
     assert time.monotonic() - began < 40
+
+
+def test_listings_are_read_once_and_whole_names_decided_alone(spark):
+    from tradewind.operators.listings import match_titles
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    sales = spark.createDataFrame([("1", "Hero Aurora Dawn #7"), ("2", "Unknown 207/204"), ("3", "Aurora #9")], "item_id string, title string").withColumn("sold_date", F.to_date(F.lit("2024-01-01")))
+    named = "concat('c', id) AS card_id, 'Hero' AS name, IF(id = 7, 'Aurora Dawn', concat('Other', id)) AS version, 'Set 1' AS set_name, IF(id = 8, '207', '7') AS collector_number, 'Rare' AS rarity, DATE '2023-01-01' AS released_at"
+    cards = spark.sql(f"SELECT {named} FROM range(40)")
+    # a card without words is none: its date doesn't make the only other card of number 9 too early
+    late = spark.createDataFrame([("w", "???", None, "9", "2020-01-01"), ("late", "Aurora", None, "9", "2025-01-01")], "card_id string, name string, version string, collector_number string, day string")
+    late = late.selectExpr("card_id", "name", "version", "'Set 2' AS set_name", "collector_number", "'Rare' AS rarity", "to_date(day) AS released_at")
+    found = match_titles(sales.mapInArrow(counted, sales.schema), cards.unionByName(late))
+    assert seen.value == 3  # nothing is left to read but the items that the cards are joined to
+    assert {r.item_id: r.card_id for r in found.collect()}["1"] == "c7" and seen.value == 6
+    alone = match_titles(sales.where("item_id = '3'"), late).collect()
+    assert [r.card_id for r in alone] == ["late"]

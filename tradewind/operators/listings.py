@@ -13,6 +13,9 @@ Candidates come from one join on short keys, never on a card's frequent words:
 A card that shares nothing but words of less than half its name with a title is
 no candidate.  The field is scored, and the best of it is decided in tiers by
 one minimum of ordered keys a title; equal titles of a day are matched once.
+A title that names a card in full is decided among such cards alone, met by
+pairs of their two rarest words: what it must know of its whole field are
+marks that the earliest releases of its keys give.
 """
 
 from __future__ import annotations
@@ -24,9 +27,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tradewind.functions import listings as L
+from tradewind.sinks.shared import staged
 
 #: Days before a set's release from which its cards can be sold.
 EARLY_DAYS = 14
+#: Share of a card's words from which a title names it in full.
+FULL = 0.85
 
 
 def catalogue_cards(cards: DataFrame) -> DataFrame:
@@ -84,17 +90,17 @@ def _keys(words: Column, numbers: Column, single: Column, rare: Column, pairs: l
     return F.filter(F.array_distinct(F.concat(*some)), lambda k: k.isNotNull())
 
 
-def _rare_words(cards: DataFrame) -> DataFrame:
-    """(card_id, rare): of each card's words in order of frequency those that half a name can't do without."""
+def _rare_words(cards: DataFrame, share: float = 0.5) -> DataFrame:
+    """(card_id, rare): of each card's words in order of frequency those of which ``share`` of a name has two at least; all of names of one or two words."""
     held = cards.select("card_id", F.size("words").alias("n"), F.explode("words").alias("word"))
     frequency = held.groupBy("word").agg(F.count("*").alias("df"))
     place = F.row_number().over(W.partitionBy("card_id").orderBy("df", "word"))
-    kept = held.join(frequency, "word").withColumn("place", place).where((F.col("n") <= 2) | (F.col("place") <= F.col("n") - F.ceil(F.col("n") / 2) + 2))
+    kept = held.join(frequency, "word").withColumn("place", place).where((F.col("n") <= 2) | (F.col("place") <= F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 2))
     return kept.groupBy("card_id").agg(F.collect_list("word").alias("rare"))
 
 
 def title_candidates(read: DataFrame, cards: DataFrame) -> DataFrame:
-    """(title, sold_date, card_id): the field of each title, from titles and cards as read above."""
+    """(title, sold_date, card_id), or (tid, card_id) of titles with a tid: the field of each title, from titles and cards as read above."""
     indexed = cards.join(_rare_words(cards), "card_id", "left").where(F.size("words") > 0)
     region = F.when(F.col("language").isNotNull(), F.col("base"))
     none = F.array().cast("array<string>")
@@ -105,17 +111,36 @@ def title_candidates(read: DataFrame, cards: DataFrame) -> DataFrame:
         _keys(words, F.col("numbers"), words, words, [("s", F.col("hint")), ("r", F.col("rarity")), ("l", F.col("language"))]),
         F.flatten(F.transform("printed", lambda n: _with_words(words, "b", n))),
     )
-    asked = read.select("title", "sold_date", F.explode(title_keys).alias("key"))
-    return asked.join(indexed.select("card_id", F.explode(card_keys).alias("key")), "key").select("title", "sold_date", "card_id").distinct()
+    kept = ["tid"] if "tid" in read.columns else ["title", "sold_date"]
+    asked = read.select(*kept, F.explode(title_keys).alias("key"))
+    return asked.join(indexed.select("card_id", F.explode(card_keys).alias("key")), "key").select(*kept, "card_id").distinct()
 
 
-def _datable(read: DataFrame, cards: DataFrame) -> DataFrame:
-    """Titles some card of which, by any word or number, was out when it sold: only then are dates trusted."""
+def field_marks(read: DataFrame, cards: DataFrame) -> DataFrame:
+    """read with dated, any_exact and any_owner, each out of the earliest release of a key, so that no card of a title is looked at.
+
+    dated: whether some card, by any word or number, was out at the sale, as
+    only then dates are trusted.  any_exact and any_owner: whether one of the
+    cards that were out has the lettered number, or owns the printed one.
+    """
     released = F.coalesce("released", F.lit("0001-01-01").cast("date"))
-    keys = lambda numbers: F.concat(F.transform("words", lambda w: _key("w", w)), F.transform(numbers, lambda n: _key("n", n)))
-    earliest = cards.select(F.explode(keys(F.array("number"))).alias("key"), released.alias("released")).groupBy("key").agg(F.min("released").alias("released"))
-    asked = read.where("sold_date IS NOT NULL").select("title", "sold_date", F.explode(keys(F.col("numbers"))).alias("key"))
-    return asked.join(earliest, "key").where(F.col("released") <= F.date_add("sold_date", EARLY_DAYS)).select("title", "sold_date").distinct()
+    of_set = lambda kind, *parts: F.array(_key(kind, *parts), _key(kind, *parts, F.col("set_name")))
+    card_keys = F.concat(F.transform("words", lambda w: _key("w", w)), of_set("n", F.col("number")), F.flatten(F.transform("words", lambda w: of_set("b", F.col("base"), w))))
+    earliest = cards.select(F.explode(F.filter(card_keys, lambda k: k.isNotNull())).alias("key"), released.alias("released")).groupBy("key").agg(F.min("released").alias("released"))
+    hint = F.col("hint")
+    by_set = lambda kind, *parts: F.when(hint.isNull(), _key(kind, *parts)).otherwise(_key(kind, *parts, hint))
+    asks = lambda what, keys: F.transform(keys, lambda k: F.struct(F.lit(what).alias("what"), k.alias("key")))
+    owners = F.concat(F.transform("printed", lambda n: by_set("n", n)), F.flatten(F.transform("printed", lambda n: F.transform("words", lambda w: by_set("b", n, w)))))
+    asked = F.concat(
+        asks("any", F.concat(F.transform("words", lambda w: _key("w", w)), F.transform("numbers", lambda n: _key("n", n)))),
+        asks("exact", F.transform("lettered", lambda n: _key("n", n))), asks("owner", owners),
+    )
+    out = F.coalesce(F.col("released") <= F.date_add("sold_date", EARLY_DAYS), F.lit(True))
+    is_ = lambda what: F.col("what") == what
+    marks = [F.max(is_("any") & out).alias("dated")] + [F.max(is_(x) & y).alias(n) for x, y, n in (("exact", out, "exact_out"), ("exact", F.lit(True), "exact"), ("owner", out, "owner_out"), ("owner", F.lit(True), "owner"))]
+    found = read.select("tid", "sold_date", F.inline(asked)).join(earliest, "key").groupBy("tid").agg(*marks)
+    chosen = lambda n: F.coalesce(F.when(F.col("dated"), F.col(f"{n}_out")).otherwise(F.col(n)), F.lit(False)).alias(f"any_{n}")
+    return read.join(found, "tid", "left").select(*read.columns, F.coalesce("dated", F.lit(False)).alias("dated"), chosen("exact"), chosen("owner"))
 
 
 def _score(t: str, c: str) -> dict[str, Column]:
@@ -153,6 +178,28 @@ def _score(t: str, c: str) -> dict[str, Column]:
     }
 
 
+def _whole_names(read: DataFrame, cards: DataFrame) -> DataFrame:
+    """(tid, card_id): cards of two words and more of which a title may have FULL of the name, some of them repeatedly."""
+    keys = cards.where(F.size("words") > 1).join(_rare_words(cards, FULL), "card_id").select("card_id", F.explode(_pairs(F.col("rare"))).alias("key"))
+    return read.select("tid", F.explode(_pairs(F.col("words"))).alias("key")).join(keys, "key").select("tid", "card_id")
+
+
+def _best(read: DataFrame, cards: DataFrame, field: DataFrame, full_only: bool = False) -> DataFrame:
+    """(tid, b): the best card of each title's field(tid, card_id), with its marks."""
+    pairs = field.select("tid", "card_id").join(cards.select("card_id", F.struct("words", "set_name", "number", "rarity", "released", "base", "language", "age").alias("c")), "card_id")
+    pairs = pairs.join(read.select("tid", "dated", "any_exact", "any_owner", F.struct("words", "hint", "hint_words", "numbers", "printed", "lettered", "rarity", "language", "fair", "sold_date").alias("t")), "tid")
+    marked = pairs.select("tid", "card_id", "dated", "any_exact", "any_owner", *[x.alias(n) for n, x in _score("t", "c").items()])
+    scored = marked.where((~F.col("too_early") | ~F.col("dated")) & ~F.col("only_set"))
+    points = lambda condition, value: F.when(condition, value).otherwise(0.0)
+    terms = [F.col("cover"), points(F.col("number_hit"), 0.4), points(F.col("set_hit"), 0.4), points(F.col("fair_hit"), 0.6), F.col("by_rarity"), F.col("by_language")]
+    terms += [F.when(F.col("any_exact"), F.when(F.col("exact"), 0.8).otherwise(-0.5)).otherwise(0.0), points(F.col("any_owner") & F.col("owns") & (F.col("shared") >= 1), 0.5)]
+    total = reduce(lambda a, b: a + b, terms) - points(F.col("hinted") & ~F.col("set_hit") & (F.col("cover") < 0.9), 0.3)
+    full = (F.col("cover") >= FULL) & (F.col("shared") >= 2) & (~F.col("any_owner") | F.col("owns") | ~F.col("set_named"))
+    first = lambda c: F.when(full & F.col(c), 0).otherwise(1).alias(f"not_{c}")
+    order = [F.when(full, 0).otherwise(1).alias("tier"), first("exact"), first("rarity_ok"), first("fair_hit"), first("number_hit"), first("set_hit"), (-F.when(full, F.col("cover")).otherwise(total)).alias("least"), (-F.col("age")).alias("age"), (-total).alias("rest"), F.col("card_id")]
+    return (scored.where(full) if full_only else scored).groupBy("tid").agg(F.min(F.struct(*order, total.alias("total"), "cover", "number_hit", "set_hit", "printed", "agrees")).alias("b"))
+
+
 def match_titles(sales: DataFrame, cards: DataFrame) -> DataFrame:
     """sales(item_id, title, sold_date) with card_id, confidence and cn_conflict.
 
@@ -161,22 +208,14 @@ def match_titles(sales: DataFrame, cards: DataFrame) -> DataFrame:
     null.  Of cards that are equal in all keys of a tier the
     higher score decides, then the smaller card_id.
     """
-    own, read = catalogue_cards(cards), read_titles(sales)
-    pairs = title_candidates(read, own).join(read.select("title", "sold_date", F.struct("words", "hint", "hint_words", "numbers", "printed", "lettered", "rarity", "language", "fair", "sold_date").alias("t")).withColumnRenamed("sold_date", "_sold").withColumnRenamed("title", "_title"), (F.col("title") == F.col("_title")) & F.col("sold_date").eqNullSafe(F.col("_sold"))).drop("_title", "_sold")
-    pairs = pairs.join(own.select("card_id", F.struct("words", "set_name", "number", "rarity", "released", "base", "language", "age").alias("c")), "card_id")
-    marked = pairs.select("title", "sold_date", "card_id", *[x.alias(n) for n, x in _score("t", "c").items()])
-    dated = _datable(read, own).select(F.col("title").alias("_title"), F.col("sold_date").alias("_sold"), F.lit(True).alias("datable"))
-    gated = marked.join(dated, (F.col("title") == F.col("_title")) & (F.col("sold_date") == F.col("_sold")), "left").where(~F.col("too_early") | F.col("datable").isNull())
-    field = W.partitionBy("title", "sold_date")
-    scored = gated.withColumn("any_exact", F.max("exact").over(field)).withColumn("any_owner", F.max("owns").over(field)).where("NOT only_set")
-    points = lambda condition, value: F.when(condition, value).otherwise(0.0)
-    terms = [F.col("cover"), points(F.col("number_hit"), 0.4), points(F.col("set_hit"), 0.4), points(F.col("fair_hit"), 0.6), F.col("by_rarity"), F.col("by_language")]
-    terms += [F.when(F.col("any_exact"), F.when(F.col("exact"), 0.8).otherwise(-0.5)).otherwise(0.0), points(F.col("any_owner") & F.col("owns") & (F.col("shared") >= 1), 0.5)]
-    total = reduce(lambda a, b: a + b, terms) - points(F.col("hinted") & ~F.col("set_hit") & (F.col("cover") < 0.9), 0.3)
-    full = (F.col("cover") >= 0.85) & (F.col("shared") >= 2) & (~F.col("any_owner") | F.col("owns") | ~F.col("set_named"))
-    first = lambda c: F.when(full & F.col(c), 0).otherwise(1).alias(f"not_{c}")
-    order = [F.when(full, 0).otherwise(1).alias("tier"), first("exact"), first("rarity_ok"), first("fair_hit"), first("number_hit"), first("set_hit"), (-F.when(full, F.col("cover")).otherwise(total)).alias("least"), (-F.col("age")).alias("age"), (-total).alias("rest"), F.col("card_id")]
-    found = scored.groupBy("title", "sold_date").agg(F.min(F.struct(*order, total.alias("total"), "cover", "number_hit", "set_hit", "printed", "agrees")).alias("b"))
+    own = catalogue_cards(cards).where(F.size("words") > 0)
+    # read and marked once: titles are asked for by keys, by their whole field and by what is left of them
+    read = staged(read_titles(sales).withColumn("tid", F.monotonically_increasing_id()), "titles_read")
+    read = staged(field_marks(read, own), "titles_marked")
+    # a card that a title names in full comes before all others, so only titles without one look at the rest
+    whole = staged(_best(read, own, _whole_names(read, own), full_only=True), "titles_whole")
+    rest = read.join(whole, "tid", "left_anti")
+    found = read.select("tid", "title", "sold_date").join(whole.unionByName(_best(rest, own, title_candidates(rest, own))), "tid")
     b = lambda n: F.col(f"b.{n}")
     sure = (b("number_hit") & b("set_hit")) | ((b("cover") >= 0.5) & (b("number_hit") | b("set_hit"))) | (b("number_hit") & (b("cover") >= 0.25)) | (b("cover") >= 0.85)
     conflict = sure & b("printed") & ~b("agrees") & ~b("set_hit")
