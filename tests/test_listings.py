@@ -102,3 +102,31 @@ def test_reading(spark):
     assert got[1].likely == ["207"] and not got[1].printed
     assert [g.hint for g in got[2:6]] == ["D23 Collection", "Promo Set 1", "Archazia's Island", None]
     assert [g.fair for g in got[2:4]] == [False, True]
+
+
+def test_best_of_keys_is_best_of_all_cards(spark, monkeypatch):
+    """The index gives what comparing every candidate gives, and holds one card of a key however many are alike."""
+    import random
+
+    from tradewind.operators import listings as O
+
+    rng = random.Random(4)
+    names = ["Elsa Ice", "Robin Hood", "Azurite Sea", "Winterspell", "Attack Vine", "Hero"]
+    rest = ["Hot Bolt", "Hot Ring", "Red Bolt", "Sea Captain Bolt", "", "Keep One Red Ring Tall Dark Bolt"]  # the last has more than LONGEST words
+    sets = ["Azurite Sea", "Winterspell", "Attack of the Vine!", "Promo Set 1", "D23 Collection", "Set 9"]
+    numbers = ["7", "12", "207", "24A", "24B", "25ja", "25zh", "6"]
+    day = lambda: dt.date(2023 + rng.randrange(3), 1 + rng.randrange(12), 1)
+    cards = [(f"c{k}", rng.choice(names), rng.choice(rest), rng.choice(sets), rng.choice(numbers), rng.choice(["Common", "Enchanted", "Epic", "Promo"]), rng.choice([None, day(), day()])) for k in range(400)]
+    tails = ["#7", "207/204", "#24B", "25/P1 Japanese", "25/P1 Chinese", "Enchanted #12", "Epic", "Azurite PSA 10", "Winterspell 207", "D23 Expo 1st Edition 6/204", "D23 Collection", "attack of the vine 12/204", ""]
+    titles = [(str(k), f"{rng.choice(names)} {rng.choice(rest)} {rng.choice(tails)} {rng.choice(['', 'Bolt', 'Hot', rng.choice(tails)])}", rng.choice([None, day(), day()])) for k in range(500)]
+    sales = spark.createDataFrame(titles, "item_id string, title string, sold_date date")
+    catalogue = spark.createDataFrame(cards, "card_id string, name string, version string, set_name string, collector_number string, rarity string, released_at date")
+    got = sorted(tuple(r) for r in match_titles(sales, catalogue).collect())
+    monkeypatch.setattr(O, "MOST_KNOWN", 3)  # some titles one by one
+    assert sorted(tuple(r) for r in match_titles(sales, catalogue).collect()) == got
+    monkeypatch.setattr(O, "LONGEST", 0)  # all cards one by one
+    assert sorted(tuple(r) for r in match_titles(sales, catalogue).collect()) == got and sum(r[1] is not None for r in got) > 100
+    monkeypatch.setattr(O, "LONGEST", 6)
+    alike = spark.range(3000).selectExpr("concat('c', id) AS card_id", "'Hot Bolt' AS name", "concat('keep', id) AS version", "'Set 9' AS set_name", "'7' AS collector_number", "'Common' AS rarity", "DATE '2023-01-01' AS released_at")
+    held = O.card_index(catalogue_cards(alike), read_titles(sales).select("hint", "hint_words").limit(0)).selectExpr("max(size(held)) AS n", "count(*) AS keys").first()
+    assert held.n == 1 and held.keys > 3000
