@@ -140,3 +140,19 @@ def test_listings_are_read_once_and_whole_names_decided_alone(spark):
     assert {r.item_id: r.card_id for r in found.collect()}["1"] == "c7" and seen.value == 6
     alone = match_titles(sales.where("item_id = '3'"), late).collect()
     assert [r.card_id for r in alone] == ["late"]
+
+
+def test_rate_limits_keep_a_row_once(spark):
+    from tradewind.streaming import events as E
+    from tradewind.streaming.runs import in_batches, run_once, run_until
+
+    rows = spark.range(300).selectExpr("timestamp_seconds(883612800 + id * 137) AS ts", "id % 7 AS user_id", "id % 3 AS pool")
+    batches = lambda name: in_batches(rows, F.col("ts") + F.expr("make_interval(0, 0, 0, 0, 0, CAST(minute(ts) % 40 AS INT), 0)"), 3, name)
+    limits = {"most": 2, "pool_most": 9, "pool_busy": 6, "light": 1}
+    live = run_once(E.rate_limits(batches("live"), "user_id", "pool", delay="1 hour", **limits), "limits")
+    slots, until = run_until(E.slot_counts(batches("slots"), "user_id", "pool", delay="1 hour"), "slots")
+    got = E.refused(slots, until, "user_id", "pool", **limits)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, live.collect())) and got.count() > 50
+    assert slots.agg(F.sum("n")).first()[0] <= 300  # each row lies in one slot, not in six windows
+    nothing, until = run_until(E.slot_counts(in_batches(rows.limit(0), F.col("ts"), 2, "none"), "user_id", "pool"), "none")
+    assert E.refused(nothing, until, "user_id", "pool").count() == 0

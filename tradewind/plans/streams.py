@@ -16,7 +16,7 @@ from tradewind.sinks.versions import VersionedTable
 from tradewind.sources.views import rows_of
 from tradewind.streaming import events as E
 from tradewind.streaming.alerts import cooled_alerts
-from tradewind.streaming.runs import arriving, each_batch, in_batches, run_once
+from tradewind.streaming.runs import arriving, each_batch, in_batches, run_once, run_until
 
 _CENTS = "CAST(round(value * 100) AS BIGINT)"
 #: The watermark at the end: milliseconds of the newest time, less the delay.
@@ -96,7 +96,8 @@ _SLIDES = "SELECT *, ts - INTERVAL (k * 10) MINUTE AS shifted FROM {events} CROS
   SELECT began, event_type, user_id, n, pool_n FROM t WHERE (n >= 2 OR pool_n >= 9 OR (pool_n >= 6 AND n >= 1)) AND began + INTERVAL 1 HOUR <= {_LAST} - INTERVAL 6 HOUR""")
 def sm6_rate_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SM6: sliding hours in which a user or a whole type of event is refused (limits fitted to the table's density)."""
-    found = run_once(E.rate_limits(_timed(spark, sf_dir, "sm6"), "user_id", "event_type", most=2, pool_most=9, pool_busy=6, light=1, delay="6 hours"), "limits")
+    slots, until = run_until(E.slot_counts(_timed(spark, sf_dir, "sm6"), "user_id", "event_type", delay="6 hours"), "slots")
+    found = E.refused(slots, until, "user_id", "event_type", most=2, pool_most=9, pool_busy=6, light=1)
     return found.withColumn("began", F.col("began").cast("timestamp_ntz"))
 
 

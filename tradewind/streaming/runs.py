@@ -49,10 +49,17 @@ def _writer(rows: DataFrame, name: str):
 
 def run_once(rows: DataFrame, name: str) -> DataFrame:
     """Runs a stream until it has read all there is, and reads what it has appended, exactly once by the sink's own log."""
+    return run_until(rows, name)[0]
+
+
+def run_until(rows: DataFrame, name: str) -> tuple[DataFrame, Column]:
+    """The same with the watermark at the end, up to which all has been given out."""
     spark = rows.sparkSession
     out = shared_path(spark, name)
-    _writer(rows, name).format("parquet").option("path", out).start().awaitTermination()
-    return spark.read.schema(rows.schema).parquet(out)
+    query = _writer(rows, name).format("parquet").option("path", out).start()
+    query.awaitTermination()
+    times = (query.lastProgress or {"eventTime": {}})["eventTime"] or {}
+    return spark.read.schema(rows.schema).parquet(out), F.lit(times.get("watermark", "1970-01-01T00:00:00.000Z")).cast("timestamp")
 
 
 def each_batch(rows: DataFrame, name: str, write: Callable[[DataFrame, int], None]) -> None:
