@@ -68,3 +68,13 @@ def test_keys_of_words_are_not_broadcast(spark):
     plan = met._jdf.queryExecution().executedPlan().toString().split("Final Plan")[-1].split("Initial Plan")[0]
     # whatever their sizes are taken for: prefixes, one deletion and two
     assert plan.count("SortMergeJoin") >= 3
+
+
+def test_no_table_goes_to_the_driver(spark, cards):
+    """Only the one row of the cards' number is broadcast, however small the tables look."""
+    from tradewind.operators.resolver import expansions, resolve_cards
+
+    asked = spark.createDataFrame([(7, "baloo carefree")], "qid bigint, text string")
+    plans = [resolve_cards(asked, cards.drop("qid", "text")), expansions(spark.sql("SELECT 'baloo' AS q"), spark.sql("SELECT 'balloo' AS word"))]
+    for rows in plans:
+        assert "BroadcastHashJoin" not in rows._jdf.queryExecution().executedPlan().toString()

@@ -35,7 +35,7 @@ def _two_deletions(word: str) -> Column:
 def expansions(asked: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(q, word, quality) for the words of asked(q) against vocabulary(word); distances only for pairs that share a deletion."""
     q, word = F.length("q"), F.length("word")
-    exact = asked.join(vocabulary.withColumn("q", F.col("word")), "q").select("q", "word", F.lit(1.0).alias("quality"))
+    exact = asked.hint("merge").join(vocabulary.withColumn("q", F.col("word")), "q").select("q", "word", F.lit(1.0).alias("quality"))
     starts = vocabulary.where(word > 4).withColumn("q", F.explode(F.transform(F.sequence(F.lit(4), word - 1), lambda i: F.substring("word", F.lit(1), i))))
     # keys are many times their words, which the planner doesn't see: their tables are shuffled, never sent to the driver
     prefix = asked.hint("merge").join(starts, "q").select("q", "word", (0.72 + 0.2 * q / word).alias("quality"))
@@ -65,17 +65,18 @@ def resolve_cards(queries: DataFrame, cards: DataFrame, k: int = 5, least: float
     asked = queries.select("qid", F.explode(words("text")).alias("q"))
     distinct = asked.select("q").distinct()
     met = staged(expansions(distinct, vocabulary.select("word")), "met")  # three steps below read it
-    meant = met.join(vocabulary, "word").groupBy("q").agg(F.max_by("idf", F.struct("quality", "idf")).alias("meant"))
+    # all of these tables grow with the cards or the queries: none is sent to the driver
+    meant = met.hint("merge").join(vocabulary, "word").groupBy("q").agg(F.max_by("idf", F.struct("quality", "idf")).alias("meant"))
     is_stop = lambda c: c.isin(*stop) if stop else F.lit(False)
     weight = F.when(is_stop(F.col("q")), 0.12).otherwise(F.coalesce("meant", F.lit(1.2)))
     own = W.partitionBy("qid")
     lighter = own.orderBy("w", F.desc("q"))  # the sum up to a word is what it and all lighter ones can give
-    weighed = asked.join(meant, "q", "left").select("qid", "q", weight.alias("w"))
+    weighed = asked.hint("merge").join(meant, "q", "left").select("qid", "q", weight.alias("w"))
     weighed = weighed.select("*", F.sum("w").over(own).alias("total"), F.sum("w").over(lighter.rowsBetween(W.unboundedPreceding, 0)).alias("upto"))
-    hits = weighed.join(met, "q")
+    hits = weighed.hint("merge").join(met, "q")
     fetching = hits.where(F.col("upto") >= least * F.col("total") - 1e-6).select("qid", "word").distinct()
-    candidates = fetching.join(held.select("cid", "word"), "word").select("qid", "cid").distinct()
-    found = candidates.join(held, "cid").join(hits, ["qid", "word"])
+    candidates = fetching.hint("merge").join(held.select("cid", "word"), "word").select("qid", "cid").distinct()
+    found = candidates.hint("merge").join(held, "cid").hint("merge").join(hits, ["qid", "word"])
     hit = F.max(F.struct((F.col("quality") * F.col("f")).alias("s"), "field", "word")).alias("hit")
     by_word = found.groupBy("qid", "cid", "q", "w", "total").agg(hit)
     of = lambda c: F.size(F.collect_set(F.when((F.col("hit.field") == c) & ~is_stop(F.col("hit.word")), F.col("hit.word"))))
@@ -83,7 +84,7 @@ def resolve_cards(queries: DataFrame, cards: DataFrame, k: int = 5, least: float
     summed = summed.where(F.round("coverage", 6) >= least)
     told = lambda c: F.size(F.filter(words(c), lambda w: ~is_stop(w)))
     facts = cards.select("cid", "played", "collected", told("name").alias("c"), told("version").alias("v"), F.array_join(words(F.concat_ws(" ", "name", "version")), " ").alias("full"))
-    scored = summed.join(facts, "cid").join(queries.select("qid", F.array_join(words("text"), " ").alias("typed")), "qid")
+    scored = summed.hint("merge").join(facts, "cid").hint("merge").join(queries.select("qid", F.array_join(words("text"), " ").alias("typed")), "qid")
     share = lambda hits_, all_: F.coalesce(F.col(hits_) / F.nullif(F.col(all_), F.lit(0)), F.lit(0.0))
     score = F.col("coverage") * (0.72 + 0.28 * share("n_name", "c")) + 0.1 * share("n_version", "v") + F.when(F.col("full") == F.col("typed"), 0.08).otherwise(0.0)
     by_play, by_worth = (0.03, 0.1) if collector else (0.12, 0.03)
